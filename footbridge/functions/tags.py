@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from footbridge import model as M
 
+# level tags: a number with an optional exponent, and the three accepted shapes
+_ANY = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_NO_DASH = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE]\+?[0-9]+)?"
+_LIST = rf"^;*\s*{_ANY}\s*(?:;+\s*{_ANY}\s*)*;+$|^;+\s*{_ANY}\s*$|^;*\s*{_ANY}\s*(?:;+\s*{_ANY}\s*)+$"
+_RANGE = rf"^({_NO_DASH})\s*-\s*({_ANY})$"
+_SINGLE = rf"^{_NO_DASH}$"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -24,19 +30,15 @@ def number(text: Column) -> Column:
 
 
 def parse_levels(raw: Column) -> Column:
-    """Level tag to floors: ``;`` list, dash range, single; anything else is ground."""
+    """Level tag to floors: ``;`` list, dash range, single; anything else is ground.
+
+    A dash after the first character always means a range, so ``1e-3`` is no number here.
+    """
     text = F.trim(raw)
-    listed = F.transform(F.filter(F.split(text, ";"), lambda p: p != ""), number)
-    dash = F.locate("-", text, 2)
-    ranged = F.array(
-        number(F.substring(text, F.lit(1), dash - 1)), number(F.substring(text, dash + 1, F.length(text)))
-    )
-    floors = (
-        F.when(text.contains(";"), listed).when(dash > 0, ranged).otherwise(F.array(number(text)))
-    )
-    ground = F.array(F.lit(0.0))
-    broken = F.exists(floors, lambda v: v.isNull()) | (F.size(floors) == 0)
-    return F.when(raw.isNull() | (raw == "") | broken, ground).otherwise(floors)
+    spread = F.regexp_replace(F.regexp_replace(text, _RANGE, "$1;$2"), r"^;+|;+$", "")
+    return F.when(
+        text.rlike(f"{_LIST}|{_RANGE}|{_SINGLE}"), F.split(spread, r"\s*;[;\s]*").try_cast("array<double>")
+    ).otherwise(F.array(F.lit(0.0)))
 
 
 def ref_tokens(value: Column) -> Column:

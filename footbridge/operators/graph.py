@@ -180,9 +180,9 @@ def _levelled_points(
     One join on the node and one window per way. What depends on the node alone (mechanism,
     use count, ``keep`` mark) is added while rows are still clustered by node.
     """
-    levels = tg.parse_levels(tg.tag("tags", "level"))
+    levels = F.col("levels")
     points = way_points(
-        ways, nodes,
+        ways.withColumn("levels", tg.parse_levels(tg.tag("tags", "level"))), nodes,
         F.element_at(levels, 1).alias("l0"), F.element_at(levels, -1).alias("l1"),
         F.size(levels).alias("floors"),
         tg.speed("tags").alias("speed"), tg.penalty("tags").alias("penalty"),
@@ -197,18 +197,24 @@ def _levelled_points(
     way = Window.partitionBy("way_id")
     order = way.orderBy("pos")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = haversine(F.lag("lat").over(order), F.lag("lon").over(order), F.col("lat"), F.col("lon"))
-    measured = points.withColumn("step", F.coalesce(gap, F.lit(0.0))).withColumn(
-        "joined", F.coalesce(F.lag("pos").over(order) == F.col("pos") - 1, F.lit(False))
-    ).withColumn("cum", F.sum("step").over(so_far))
-    whole = way.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("step").over(whole)
-    count = F.count(F.lit(1)).over(whole)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    measured = points.select(
+        "*", F.lag("lat").over(order).alias("lat0"), F.lag("lon").over(order).alias("lon0"),
+        F.coalesce(F.lag("pos").over(order) == F.col("pos") - 1, F.lit(False)).alias("joined"),
+    ).withColumn("step", F.coalesce(haversine("lat0", "lon0", "lat", "lon"), F.lit(0.0))).drop("lat0", "lon0")
+    summed = measured.select(
+        "*", F.sum("step").over(so_far).alias("cum"),
+        F.sum(F.when(F.col("joined"), F.col("step") / F.col("speed") + F.col("penalty")).otherwise(0.0))
+        .over(so_far).alias("cum_s"),
+        F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(so_far).alias("breaks"),
+        F.sum("step").over(whole).alias("total"), F.count(F.lit(1)).over(whole).alias("present"),
+        F.lead("joined").over(order).alias("next_joined"),
+    )
     floor = F.when((F.col("floors") == 1) | (F.col("present") == 1), F.col("l0")).otherwise(
         F.col("l0") + (F.col("l1") - F.col("l0"))
         * (F.col("cum") / F.when(F.col("total") == 0.0, F.lit(1.0)).otherwise(F.col("total")))
     )
-    return measured.withColumn("total", total).withColumn("present", count).withColumn("floor", floor)
+    return summed.withColumn("floor", floor)
 
 
 def way_node_levels(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -234,18 +240,25 @@ def _vertices(
 
 
 def _directed(hops: DataFrame) -> DataFrame:
-    """Forward and backward rows of undirected hops, as the way's direction allows."""
-    forward = hops.where("dir >= 0").select(
-        F.col("a").alias("src"), F.col("a_lv").alias("src_lv"),
-        F.col("b").alias("dst"), F.col("b_lv").alias("dst_lv"),
-        "seconds", "metres", "way_id", F.col("pos").alias("from_pos"), F.col("b_pos").alias("to_pos"), "lift",
-    )
-    backward = hops.where("dir <= 0").select(
-        F.col("b").alias("src"), F.col("b_lv").alias("src_lv"),
-        F.col("a").alias("dst"), F.col("a_lv").alias("dst_lv"),
-        "seconds", "metres", "way_id", F.col("b_pos").alias("from_pos"), F.col("pos").alias("to_pos"), "lift",
-    )
-    return forward.unionByName(backward)
+    """The directed edges of each hop in one pass: forward and backward as the way allows.
+
+    A search may also start on a mechanism node as a plain vertex and leave on any floor, so an
+    edge out of such a node appears once more from its plain vertex.
+    """
+    plain = f"cast({PLAIN} as double)"
+
+    def end(src: str, src_lv: str, dst: str, dst_lv: str, pos: str, to: str) -> str:
+        return (f"named_struct('src', {src}, 'src_lv', {src_lv}, 'dst', {dst}, 'dst_lv', {dst_lv}, "
+                f"'from_pos', {pos}, 'to_pos', {to}, 'legal', ")
+
+    split = f"<> {plain}"
+    made = F.expr(f"""array(
+        {end('a', 'a_lv', 'b', 'b_lv', 'pos', 'b_pos')} dir >= 0),
+        {end('b', 'b_lv', 'a', 'a_lv', 'b_pos', 'pos')} dir <= 0),
+        {end('a', plain, 'b', 'b_lv', 'pos', 'b_pos')} dir >= 0 and a_lv {split}),
+        {end('b', plain, 'a', 'a_lv', 'b_pos', 'pos')} dir <= 0 and b_lv {split}))""")
+    return hops.select(F.explode(made).alias("e"), "seconds", "metres", "way_id", "lift").where("e.legal").select(
+        "e.src", "e.src_lv", "e.dst", "e.dst_lv", "seconds", "metres", "way_id", "e.from_pos", "e.to_pos", "lift")
 
 
 def vertical_edges(ports: DataFrame) -> DataFrame:
@@ -284,16 +297,9 @@ def walk_edges(
     """
     points = _vertices(ways.where(tg.is_walkable("tags")), nodes, keep if contract else None, contract)
     order = Window.partitionBy("way_id").orderBy("pos")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    points = (
-        points
-        .withColumn("cost", F.when(F.col("joined"), F.col("step") / F.col("speed") + F.col("penalty")).otherwise(0.0))
-        .withColumn("cum_s", F.sum("cost").over(so_far))
-        .withColumn("breaks", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(so_far))
-    )
     if contract:
         wanted = F.coalesce("wanted", F.lit(False)) if keep is not None else F.lit(False)
-        points = points.withColumn("next_joined", F.lead("joined").over(order)).where(
+        points = points.where(
             (F.col("uses") > 1) | (F.col("pos") == 0) | (F.col("pos") == F.col("last_pos"))
             | F.col("mech").isNotNull() | wanted
             | ~F.col("joined") | ~F.coalesce("next_joined", F.lit(False))
@@ -307,11 +313,8 @@ def walk_edges(
         (F.lead("cum").over(order) - F.col("cum")).alias("metres"),
         (F.lead("breaks").over(order) - F.col("breaks")).alias("broken"),
     ).where("b is not null and broken = 0")
-    along = _directed(hops)
-    # a search may start on a mechanism node as a plain vertex and leave on any floor
-    from_plain = along.where(F.col("src_lv") != PLAIN).withColumn("src_lv", F.lit(PLAIN))
     ports = points.where("mech is not null").select("node_id", "mech", "level")
-    return along.unionByName(from_plain).unionByName(vertical_edges(ports))
+    return _directed(hops).unionByName(vertical_edges(ports))
 
 
 def apply_profile(

@@ -1,10 +1,11 @@
 """Shortest walks for whole tables of requests.
 
 A *search* is one set of start vertices; every request that starts there shares it. The
-search table holds one row per (search, vertex) with the best seconds so far. A round
-joins only the rows improved in the last round with the edges, takes the minimum per
-vertex and merges it in. Several rounds run inside one Spark job; the table is then written
-out, which bounds lineage and lets Spark choose the next joins from real sizes.
+search table holds one row per (search, vertex) with the best seconds so far. One Spark job
+takes the rows improved last time through several rounds of "offer my cost plus the edge to
+every neighbour, keep the minimum per vertex", then merges them into the table. Only that
+moving shell is shuffled per round; the table itself is shuffled once per job, and is written
+out after it, which bounds lineage and lets Spark choose the next joins from real sizes.
 """
 
 from __future__ import annotations
@@ -20,43 +21,49 @@ from footbridge.session import count_true, cut, materialise
 # an offer must beat the known cost by more than this to count
 IMPROVES = 1e-9
 _KEY = ["search", "node", "lv"]
+_PATH = "array<struct<way_id:bigint,from_pos:int,to_pos:int,node:bigint,lv:double>>"
 
 
-def _round(state: DataFrame, edges: DataFrame, with_path: bool) -> DataFrame:
-    """One relaxation: offers from the improved vertices, merged into the table."""
-    front = state.where(F.col("fresh") & (F.col("seconds") <= F.col("limit_s")))
-    offers = front.join(
-        edges.withColumnRenamed("seconds", "w").withColumnRenamed("metres", "m"),
-        (front["node"] == edges["src"]) & (front["lv"] == edges["src_lv"]),
-    )
-    cols = [
-        "search", F.col("dst").alias("node"), F.col("dst_lv").alias("lv"),
-        (F.col("seconds") + F.col("w")).alias("seconds"), (F.col("metres") + F.col("m")).alias("metres"),
-        "limit_s", F.lit(None).cast("double").alias("known_s"),
-    ]
-    kept = ["search", "node", "lv", "seconds", "metres", "limit_s", F.col("seconds").alias("known_s")]
-    if with_path:
-        hop = F.struct("way_id", "from_pos", "to_pos", F.col("dst").alias("node"), F.col("dst_lv").alias("lv"))
-        cols.append(F.concat("path", F.array(hop)).alias("path"))
-        kept.append("path")
-    merged = state.select(*kept).unionByName(offers.select(*cols))
+def adjacency(edges: DataFrame) -> DataFrame:
+    """One row per vertex with its outgoing edges; a vertex has as many as ways meet there."""
+    out = F.expr("collect_list(struct(dst, dst_lv, seconds as w, metres as m, way_id, from_pos, to_pos))")
+    return edges.groupBy(F.col("src").alias("node"), F.col("src_lv").alias("lv")).agg(out.alias("next"))
+
+
+def _merge(rows: DataFrame, with_path: bool, also: str = "true") -> DataFrame:
+    """The best row per vertex; ``fresh`` if it beats what was known (``known_s``) and ``also`` holds."""
     # plain doubles keep this a hash aggregate; only a wanted path needs the wider ordering,
-    # where equal costs go to the row already in the table so nothing flips between rounds
-    picked = [F.min_by("metres", "seconds").alias("metres")]
-    if with_path:
-        best = F.struct("seconds", F.coalesce("known_s", F.lit(float("inf"))).alias("k"))
-        picked = [F.min_by("metres", best).alias("metres"), F.min_by("path", best).alias("path")]
-    return merged.groupBy(*_KEY).agg(
-        F.min("seconds").alias("seconds"), *picked,
-        F.max("limit_s").alias("limit_s"), F.min("known_s").alias("known_s"),
-    ).withColumn(
-        "fresh", F.col("known_s").isNull() | (F.col("seconds") < F.col("known_s") - F.lit(IMPROVES))
-    ).drop("known_s")
+    # where equal costs go to the known row so nothing flips between rounds
+    order = "struct(seconds, coalesce(known_s, double('inf')))" if with_path else "seconds"
+    picked = [f"min_by(metres, {order}) as metres"] + ([f"min_by(path, {order}) as path"] if with_path else [])
+    merged = rows.groupBy(*_KEY).agg(*[F.expr(e) for e in [
+        "min(seconds) as seconds", *picked, "max(limit_s) as limit_s", "min(known_s) as known_s", f"{also} as also"]])
+    return merged.selectExpr(
+        *_KEY, "seconds", "metres", "limit_s", *(["path"] if with_path else []),
+        f"also and (known_s is null or seconds < known_s - {IMPROVES}D) as fresh")
+
+
+def _round(shell: DataFrame, next_of: DataFrame, with_path: bool) -> DataFrame:
+    """Every row stays and, if improved and within its limit, offers to its neighbours.
+
+    Rows and offers come out of one pass, so a chain of rounds reads each round once.
+    """
+    stay = "struct(node, lv, seconds, metres, seconds as known_s" + (", path" if with_path else "") + ")"
+    hop = ", concat(path, array(struct(e.way_id, e.from_pos, e.to_pos, e.dst as node, e.dst_lv as lv))) as path"
+    offer = (
+        "transform(next, e -> struct(e.dst as node, e.dst_lv as lv, seconds + e.w as seconds, "
+        "metres + e.m as metres, cast(null as double) as known_s" + (hop if with_path else "") + "))"
+    )
+    rows = shell.join(next_of, ["node", "lv"], "left").selectExpr(
+        "search", "limit_s",
+        f"explode(concat(array({stay}), if(fresh and seconds <= limit_s and next is not null, {offer}, array()))) as r",
+    ).selectExpr("search", "limit_s", "r.*")
+    return _merge(rows, with_path)
 
 
 def spread(
     edges: DataFrame, starts: DataFrame, with_path: bool = False,
-    rounds_per_job: int = 4, max_rounds: int | None = None,
+    rounds_per_job: int = 8, max_rounds: int | None = None,
 ) -> DataFrame:
     """Cheapest seconds from every search's starts to every vertex up to its limit.
 
@@ -64,25 +71,31 @@ def spread(
     kept as the rim of the search but not walked on from; it is what tells a walk cut short by
     the limit from one that does not exist.
     """
-    state = starts.groupBy("search", "node").agg(
+    next_of = cut(adjacency(edges))
+    columns = [*_KEY, "seconds", "metres", "limit_s", *(["path"] if with_path else [])]
+    table = starts.groupBy("search", "node").agg(
         F.min("start_s").alias("seconds"), F.max("limit_s").alias("limit_s")
-    ).select(
-        "search", "node", F.lit(PLAIN).alias("lv"), "seconds",
-        (F.col("seconds") * M.WALK_SPEED).alias("metres"), "limit_s",
-        *([F.expr("cast(array() as array<struct<way_id:bigint,from_pos:int,to_pos:int,node:bigint,lv:double>>)")
-           .alias("path")] if with_path else []),
-        F.lit(True).alias("fresh"),
+    ).selectExpr(
+        "search", "node", f"cast({PLAIN} as double) as lv", "seconds", f"seconds * {M.WALK_SPEED}D as metres",
+        "limit_s", *([f"cast(array() as {_PATH}) as path"] if with_path else []), "true as fresh",
     )
-    done = 0
+    table, shell, done = None, table, 0
     while True:
         for _ in range(rounds_per_job):
-            state = _round(state, edges, with_path)
+            shell = _round(shell, next_of, with_path)
         done += rounds_per_job
-        state, seen = materialise(
-            state, fresh=count_true(F.col("fresh") & (F.col("seconds") <= F.col("limit_s")))
-        )
+        if table is None:
+            table = shell
+        else:
+            # only what the last round improved, and the table did not know, moves on
+            known = table.selectExpr(*columns, "seconds as known_s", "false as fresh")
+            offered = shell.selectExpr(*columns, "cast(null as double) as known_s", "fresh")
+            table = _merge(known.unionByName(offered), with_path, "bool_or(fresh)")
+        moving = "fresh and seconds <= limit_s"
+        table, seen = materialise(table, fresh=count_true(F.expr(moving)))
         if not seen["fresh"] or (max_rounds is not None and done >= max_rounds):
-            return state
+            return table
+        shell = table.where(moving)
 
 
 def walk_cutoff(sources: DataFrame, targets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -111,7 +124,7 @@ def cutoff_seconds(straight_m: Column) -> Column:
 
 def shortest_walks(
     requests: DataFrame, starts: DataFrame, goals: DataFrame, edges: DataFrame,
-    with_path: bool = False, rounds_per_job: int = 4,
+    with_path: bool = False, rounds_per_job: int = 8,
 ) -> DataFrame:
     """The cheapest walk of every request, or why there is none.
 

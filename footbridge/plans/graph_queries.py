@@ -282,7 +282,7 @@ JOIN {{o_floor}} f ON f.node_id=n.id JOIN {{o_touch}} t ON t.node_id=n.id AND t.
 JOIN {{o_leads}} k ON k.way_id=f.way_id
 WHERE {hav('n.lat','n.lon','m.lat','m.lon')}<=40 AND abs(f.floor-1)<=0.5 AND NOT EXISTS(SELECT 1 FROM {{o_own}} x WHERE x.relation_id=l.relation_id AND x.ref=l.ref AND x.node_id=n.id)
   AND f.way_id NOT IN (SELECT way_id FROM {{o_plat}} x WHERE x.relation_id=l.relation_id AND x.ref=l.ref)
-GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY l.relation_id, l.ref ORDER BY min({hav('n.lat','n.lon','m.lat','m.lon')}), n.id, f.way_id)=1"""
+GROUP BY l.relation_id, l.ref, n.id, f.way_id QUALIFY row_number() OVER (PARTITION BY l.relation_id, l.ref ORDER BY min({hav('n.lat','n.lon','m.lat','m.lon')}), n.id, f.way_id)=1"""
 SHARED_VIEWS["o_anchor"] = """
 SELECT o.relation_id, o.ref, o.node_id, false AS by_coord FROM {o_own} o WHERE NOT EXISTS(SELECT 1 FROM {o_saved} s WHERE s.relation_id=o.relation_id AND s.ref=o.ref)
 UNION ALL SELECT relation_id, ref, node_id, true FROM {o_saved}"""

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footbridge.session import tune
+from footbridge.session import cut, tune
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -188,6 +188,12 @@ def oracle_text(sql: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH RECURSIVE {', '.join(ctes)} {body}" if ctes else body
 
 
+# Views several queries read are written once per session and data folder, the way a map is
+# loaded once before it is queried. The element tables below are written the same way.
+STORED = ("fx_nodes", "fx_way_nodes", "fx_ways", "fx_legs")
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class World:
     """Lazy access to the derived tables, in view form and in element form."""
 
@@ -199,12 +205,21 @@ class World:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _stored(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = cut(build())
+        return _WRITTEN[key]
+
     def view(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
         if name not in self._views:
-            deps = {d: self.view(d) for d in _DEP.findall(VIEWS[name])}
-            self._views[name] = self.spark.sql(VIEWS[name], **deps)
+            def build() -> DataFrame:
+                deps = {d: self.view(d) for d in _DEP.findall(VIEWS[name])}
+                return self.spark.sql(VIEWS[name], **deps)
+
+            self._views[name] = self._stored(name, build) if name in STORED else build()
         return self._views[name]
 
     def _tags(self, df: DataFrame, **columns: str):
@@ -214,26 +229,29 @@ class World:
     @cached_property
     def nodes(self) -> DataFrame:
         v = self.view("fx_nodes")
-        return v.select("id", "lat", "lon", self._tags(
+        return self._stored("nodes", lambda: v.select("id", "lat", "lon", self._tags(
             v, highway="highway", railway="railway", public_transport="public_transport", bus="bus",
-            ref="ref", name="name", level="level"))
+            ref="ref", name="name", level="level")))
 
     @cached_property
     def ways(self) -> DataFrame:
-        tags = self.view("fx_ways")
-        lists = self.view("fx_way_nodes").groupBy("way_id").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda s: s["node_id"]).alias("nodes"))
-        return tags.join(lists, "way_id").select(F.col("way_id").alias("id"), "nodes", self._tags(
-            tags, railway="railway", highway="highway", conveying="conveying", ref="ref", local_ref="local_ref",
-            railway__track_ref="track_ref", level="level", area="area", public_transport="public_transport", tram="tram"))
+        def build() -> DataFrame:
+            tags = self.view("fx_ways")
+            lists = self.view("fx_way_nodes").groupBy("way_id").agg(
+                F.transform(F.sort_array(F.collect_list(F.struct("pos", "node_id"))), lambda s: s["node_id"]).alias("nodes"))
+            return tags.join(lists, "way_id").select(F.col("way_id").alias("id"), "nodes", self._tags(
+                tags, railway="railway", highway="highway", conveying="conveying", ref="ref", local_ref="local_ref",
+                railway__track_ref="track_ref", level="level", area="area", public_transport="public_transport", tram="tram"))
+
+        return self._stored("ways", build)
 
     @cached_property
     def members(self) -> DataFrame:
-        return self.view("fx_members")
+        return self._stored("members", lambda: self.view("fx_members"))
 
     @cached_property
     def relations(self) -> DataFrame:
         v = self.view("fx_relations")
-        return v.select("id", self._tags(
+        return self._stored("relations", lambda: v.select("id", self._tags(
             v, public_transport="public_transport", type="type", name="name", name__en="name_en",
-            country="country", highway="highway", level="level"))
+            country="country", highway="highway", level="level")))

@@ -42,6 +42,8 @@ def local_session(cores: str = "*", name: str = "footbridge", **extra: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "8")
+        # call-site capture costs several driver round trips per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
