@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = [
     "graph_queries",
+    "spatial_queries",
 ]
 
 
