@@ -136,5 +136,6 @@ def station_candidates(
     per_station = pairs.groupBy("query_id", "relation_id").agg(
         F.min("dist_m").alias("dist_m"), F.first("name", ignorenulls=True).alias("name")
     )
-    order = Window.partitionBy("query_id").orderBy("dist_m", "relation_id")
+    # overlapping relations share a centre up to the last bits of a mean: compare millimetres
+    order = Window.partitionBy("query_id").orderBy(F.round("dist_m", 3), "relation_id")
     return per_station.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

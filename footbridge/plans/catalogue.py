@@ -5,6 +5,8 @@ from importlib import import_module
 MODULES = [
     "graph_queries",
     "spatial_queries",
+    "journey_queries",
+    "survey_queries",
 ]
 
 

@@ -67,7 +67,7 @@ def station_centroids(w: World):
 @query("station_candidates", "O-36", f"""
 WITH q AS (SELECT journey_id*10+leg_no AS query_id, st, arr_lat AS lat, arr_lon AS lon FROM {{fx_legs}} WHERE cancelled UNION ALL SELECT journey_id*10+leg_no, st, dep_lat, dep_lon FROM {{fx_legs}} WHERE cancelled),
 d AS (SELECT q.query_id, s.relation_id, min({hav('q.lat','q.lon','s.lat','s.lon')}) AS dist FROM q JOIN {{o_station}} s ON s.st BETWEEN q.st-1 AND q.st+2 WHERE q.lat IS NOT NULL GROUP BY q.query_id, s.relation_id HAVING min({hav('q.lat','q.lon','s.lat','s.lon')})<=600)
-SELECT query_id, relation_id, round(dist,1) AS dist_m, row_number() OVER (PARTITION BY query_id ORDER BY dist, relation_id) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, relation_id)<=6""")
+SELECT query_id, relation_id, round(dist,1) AS dist_m, row_number() OVER (PARTITION BY query_id ORDER BY round(dist,3), relation_id) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dist,3), relation_id)<=6""")
 def station_candidates(w: World):
     legs = w.view("fx_legs").where("cancelled")
     key = (F.col("journey_id") * 10 + F.col("leg_no")).alias("query_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from footbridge import model as M
 from footbridge.functions import tags as tg
-from footbridge.operators import graph, platforms, walks, ways as way_ops
+from footbridge.operators import graph, journeys, platforms, spatial, walks, ways as way_ops
 from footbridge.session import cut
 
 
@@ -70,36 +70,41 @@ class Stations:
         return cut(platforms.stitch_bridges(self.ways, self.nodes))
 
 
-def resolve_ends(st: Stations, ends: DataFrame, recover: bool = True) -> DataFrame:
+def resolve_ends(st: Stations, ends: DataFrame, recover: bool = True) -> tuple[DataFrame, DataFrame]:
     """Platform ends to graph vertices over all tiers.
 
     ``ends`` has ``end_id, relation_id, ref`` and optionally ``lat, lon`` (the caller's own
-    coordinate). Returns ``end_id, way_id, node_id, by_coord``; unresolved ends have no row.
+    coordinate, used only when nothing on the map carries the ref). Returns the mapping
+    ``end_id, place`` and the vertices ``place, way_id, node_id, by_coord``. Ends that come down
+    to the same vertices share a place, so a search from it runs once; unresolved ends have none.
     """
     if "lat" not in ends.columns:
-        ends = ends.withColumn("lat", F.lit(None).cast("double")).withColumn("lon", F.lit(None).cast("double"))
+        ends = ends.withColumns({c: F.lit(None).cast("double") for c in ("lat", "lon")})
     ends = ends.select("end_id", "relation_id", "ref", "lat", "lon").distinct()
     asked = ends.select("relation_id", "ref").distinct()
     by_tag = platforms.resolve_platforms(asked, st.footprint, st.ways)
     misses = asked.join(by_tag.select("relation_id", "ref").distinct(), ["relation_id", "ref"], "left_anti")
     by_stop = platforms.resolve_by_stop(misses, st.boxes, st.stops, st.ways, st.nodes)
-    tagged = platforms.way_anchors(by_tag, st.platform_points).unionByName(
-        by_stop.select("relation_id", "ref", "way_id", F.col("anchor").alias("node_id")))
-    tagged = cut(tagged)
-    known = ends.join(tagged, ["relation_id", "ref"]).select(
-        "end_id", "way_id", "node_id", F.lit(False).alias("by_coord"))
-    left = ends.join(tagged.select("relation_id", "ref").distinct(), ["relation_id", "ref"], "left_anti")
-    snapped = platforms.resolve_by_coord(left, st.ways, st.nodes).select(
-        "end_id", "way_id", F.col("anchor").alias("node_id"), "by_coord")
-    resolved = cut(known.unionByName(snapped))
+    tagged = cut(platforms.way_anchors(by_tag, st.platform_points).unionByName(
+        by_stop.select("relation_id", "ref", "way_id", F.col("anchor").alias("node_id"))))
+    place = F.concat_ws("|", "relation_id", "ref").alias("place")
+    known = tagged.select("relation_id", "ref", place).distinct()
+    placed = ends.join(known, ["relation_id", "ref"], "left")
+    spot = F.concat_ws("@", F.lit(""), "anchor", "way_id").alias("place")
+    snapped = cut(platforms.resolve_by_coord(placed.where("place is null").drop("place"), st.ways, st.nodes))
+    mapping = placed.where("place is not null").select("end_id", "place").unionByName(
+        snapped.select("end_id", spot))
+    vertices = tagged.select(place, "way_id", "node_id", F.lit(False).alias("by_coord")).unionByName(
+        snapped.select(spot, "way_id", F.col("anchor").alias("node_id"), "by_coord").distinct())
     if not recover:
-        return resolved
-    own = resolved.select(F.col("end_id").alias("platform"), "way_id").distinct()
-    anchors = resolved.select(F.col("end_id").alias("platform"), "node_id").distinct()
-    lonely = cut(platforms.isolated_platforms(own, st.ways))
-    saved = cut(platforms.recover_isolated(lonely, own, st.ways, st.nodes, anchors)).select(
-        F.col("platform").alias("end_id"), "way_id", F.col("anchor").alias("node_id"), F.lit(True).alias("by_coord"))
-    return resolved.join(saved.select("end_id").distinct(), "end_id", "left_anti").unionByName(saved)
+        return mapping, vertices
+    own = cut(vertices).withColumnRenamed("place", "platform")
+    ways_of = own.select("platform", "way_id").distinct()
+    lonely = cut(platforms.isolated_platforms(ways_of, st.ways))
+    saved = cut(platforms.recover_isolated(lonely, ways_of, st.ways, st.nodes, own)).select(
+        F.col("platform").alias("place"), "way_id", F.col("anchor").alias("node_id"), F.lit(True).alias("by_coord"))
+    own = own.withColumnRenamed("platform", "place")
+    return mapping, own.join(saved.select("place").distinct(), "place", "left_anti").unionByName(saved)
 
 
 def graph_edges(
@@ -133,41 +138,65 @@ def walk_between(
     one row per request: ``found, seconds, metres, reason, source_by_coord, target_by_coord``.
     """
     coords = "from_lat" in requests.columns
-    if coords:
-        keyed = requests.withColumn("start_key", end_key("relation_id", "from_ref", "from_lat", "from_lon")).withColumn(
-            "goal_key", end_key("relation_id", "to_ref", "to_lat", "to_lon"))
+    if not coords:
+        requests_in = requests.withColumns({c: F.lit(None).cast("double") for c in ("from_lat", "from_lon", "to_lat", "to_lon")})
     else:
-        keyed = requests.withColumn("start_key", end_key("relation_id", "from_ref")).withColumn(
-            "goal_key", end_key("relation_id", "to_ref"))
-        keyed = keyed.withColumns({c: F.lit(None).cast("double") for c in ("from_lat", "from_lon", "to_lat", "to_lon")})
-    keyed = cut(keyed)
-    ends = keyed.select(F.col("start_key").alias("end_id"), "relation_id", F.col("from_ref").alias("ref"),
-                        F.col("from_lat").alias("lat"), F.col("from_lon").alias("lon")).unionByName(
-        keyed.select(F.col("goal_key").alias("end_id"), "relation_id", F.col("to_ref").alias("ref"),
-                     F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")))
-    anchors = cut(resolve_ends(st, ends, recover))
+        requests_in = requests
+    keyed = cut(requests_in.withColumn("from_end", end_key("relation_id", "from_ref", "from_lat", "from_lon")).withColumn(
+        "to_end", end_key("relation_id", "to_ref", "to_lat", "to_lon")))
+    ends = keyed.selectExpr("from_end as end_id", "relation_id", "from_ref as ref", "from_lat as lat", "from_lon as lon").unionByName(
+        keyed.selectExpr("to_end as end_id", "relation_id", "to_ref as ref", "to_lat as lat", "to_lon as lon"))
+    mapping, anchors = resolve_ends(st, ends, recover)
+    anchors = cut(anchors)
     edges = graph_edges(st, anchors, step_free, stitched, contract)
-    flags = anchors.groupBy("end_id").agg(F.bool_or("by_coord").alias("by_coord"))
-    both = keyed.join(flags.withColumnsRenamed({"end_id": "start_key", "by_coord": "source_by_coord"}), "start_key", "left").join(
-        flags.withColumnsRenamed({"end_id": "goal_key", "by_coord": "target_by_coord"}), "goal_key", "left")
+    flags = anchors.groupBy("place").agg(F.bool_or("by_coord").alias("by_coord"))
+    placed = cut(mapping.join(flags, "place"))
+    both = keyed.join(placed.selectExpr("end_id as from_end", "place as start_key", "by_coord as source_by_coord"), "from_end", "left").join(
+        placed.selectExpr("end_id as to_end", "place as goal_key", "by_coord as target_by_coord"), "to_end", "left")
     both = cut(both)
     ready = both.where("source_by_coord is not null and target_by_coord is not null")
     # the straight line depends on the pair of ends, not on the request
     pairs = ready.select("start_key", "goal_key").distinct().withColumn(
         "request_id", F.concat_ws(">", "start_key", "goal_key"))
     cutoffs = walks.walk_cutoff(
-        pairs.join(anchors.select(F.col("end_id").alias("start_key"), "node_id"), "start_key"),
-        pairs.join(anchors.select(F.col("end_id").alias("goal_key"), "node_id"), "goal_key"), st.nodes)
+        pairs.join(anchors.select(F.col("place").alias("start_key"), "node_id"), "start_key"),
+        pairs.join(anchors.select(F.col("place").alias("goal_key"), "node_id"), "goal_key"), st.nodes)
     asked = cut(pairs.join(cutoffs, "request_id").select("request_id", "start_key", "goal_key", "cutoff_s"))
     found = walks.shortest_walks(
-        asked, anchors.select(F.col("end_id").alias("start_key"), "node_id"),
-        anchors.select(F.col("end_id").alias("goal_key"), "node_id"), edges, with_path)
+        asked, anchors.select(F.col("place").alias("start_key"), "node_id"),
+        anchors.select(F.col("place").alias("goal_key"), "node_id"), edges, with_path)
     by_pair = found.join(asked.select("request_id", "start_key", "goal_key"), "request_id").drop("request_id")
     return both.join(by_pair, ["start_key", "goal_key"], "left").select(
         *requests.columns,
         F.coalesce("found", F.lit(False)).alias("found"), "seconds", "metres", "reached_node",
         *(["path"] if with_path else []),
+        *(["start_key", "goal_key"] if with_path else []),
         F.when(F.col("source_by_coord").isNull() | F.col("target_by_coord").isNull(), F.lit(M.PLATFORM_NOT_FOUND))
         .otherwise(F.col("reason")).alias("reason"),
         F.coalesce("source_by_coord", F.lit(False)).alias("source_by_coord"),
         F.coalesce("target_by_coord", F.lit(False)).alias("target_by_coord"))
+
+
+def assess_changes(st: Stations, changes: DataFrame, step_free: bool = False, stitched: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Changes of train to walks and verdicts: (keyed changes with times, one walk per key).
+
+    Guards run before any spatial work; the walk of a change shared by journeys is found once.
+    """
+    keyed, unique = journeys.distinct_changes(journeys.with_times(changes))
+    guarded = cut(journeys.guard(unique))
+    routable = guarded.where("ruled_out is null")
+    across = guarded.where(F.col("ruled_out") == M.CROSS_STATION)
+
+    def points(df: DataFrame, *sides: str) -> DataFrame:
+        parts = [df.selectExpr("change_key as query_id", f"{s}_lat as lat", f"{s}_lon as lon") for s in sides]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    near = spatial.station_candidates(points(routable, "arr", "dep"), st.centres, M.CANDIDATE_RADIUS_M, M.CANDIDATE_LIMIT)
+    # a change between two stations is only named after the one it arrives at
+    named = spatial.station_candidates(points(across, "arr"), st.centres, M.CANDIDATE_RADIUS_M, 1)
+    candidates = cut(near.unionByName(named).withColumnRenamed("query_id", "change_key"))
+    asked = routable.join(candidates.select("change_key", "relation_id"), "change_key").selectExpr(
+        "change_key", "relation_id", "arr_ref as from_ref", "dep_ref as to_ref",
+        "arr_lat as from_lat", "arr_lon as from_lon", "dep_lat as to_lat", "dep_lon as to_lon")
+    walked = walk_between(st, asked, step_free, stitched)
+    return keyed, cut(journeys.resolve_walks(guarded, candidates, walked))

@@ -147,7 +147,7 @@ FROM {plat} WHERE st%3<>2"""
 VIEWS["fx_catalog"] = """
 SELECT doc_id AS id, trim(split_part(replace(text, chr(10), ' '), ' ', 1)||' '||split_part(replace(text, chr(10), ' '), ' ', 2)) AS name,
   47.0e0+(doc_id%97)*0.02e0 AS latitude, 8.0e0+(doc_id%13)*0.001e0 AS longitude, lang AS country,
-  doc_id%10=0 AS is_main, CASE WHEN doc_id%7=0 THEN split_part(replace(text, chr(10), ' '), ' ', 3) WHEN doc_id%7=1 THEN upper(split_part(replace(text, chr(10), ' '), ' ', 1)||' '||split_part(replace(text, chr(10), ' '), ' ', 2)) ELSE '' END AS alias,
+  doc_id%10=0 AS is_main, CASE WHEN doc_id%7=0 THEN split_part(replace(text, chr(10), ' '), ' ', 3) WHEN doc_id%7=1 THEN lower(split_part(replace(text, chr(10), ' '), ' ', 1)||' '||split_part(replace(text, chr(10), ' '), ' ', 2)) ELSE '' END AS alias,
   CASE WHEN doc_id%3=0 THEN CAST(8000000+doc_id AS STRING) ELSE '' END AS db_id, doc_id%6<>5 AS suggestable
 FROM {documents}"""
 VIEWS["fx_rings"] = """
