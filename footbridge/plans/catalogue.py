@@ -7,6 +7,7 @@ MODULES = [
     "spatial_queries",
     "journey_queries",
     "survey_queries",
+    "height_queries",
 ]
 
 

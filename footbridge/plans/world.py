@@ -155,6 +155,14 @@ SELECT st AS ring_id, CASE WHEN rw=0 THEN cl ELSE 49-cl END AS pos,
   cl*0.4e0+(cl%2)*0.0001e0 AS x, CAST(st+rw AS DOUBLE) AS y FROM {grid} WHERE rw IN (0,1)
 UNION ALL SELECT st, 50, 0e0, CAST(st AS DOUBLE) FROM {grid} WHERE rw=0 AND cl=0"""
 
+VIEWS["fx_path"] = """
+SELECT st AS path_id, cl AS seq, id AS node_id FROM {grid} WHERE rw=0
+UNION ALL SELECT st, 24+rw, id FROM {grid} WHERE cl=24 AND rw BETWEEN 1 AND 10
+UNION ALL SELECT st, 34+(24-cl), id FROM {grid} WHERE rw=10 AND cl BETWEEN 12 AND 23"""
+VIEWS["fx_path_way"] = """
+SELECT path_id, 0 AS ord, path_id*1000 AS way_id FROM {fx_path} WHERE seq=0
+UNION ALL SELECT path_id, 1, path_id*1000+124 FROM {fx_path} WHERE seq=0 UNION ALL SELECT path_id, 2, path_id*1000+10 FROM {fx_path} WHERE seq=0"""
+
 _DEP = re.compile(r"\{(\w+)\}")
 
 
