@@ -18,7 +18,8 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # not least(): that would skip a null and call an unknown distance half the globe
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
 
 
 def lat_margin(metres: float) -> float:

@@ -8,6 +8,7 @@ MODULES = [
     "journey_queries",
     "survey_queries",
     "height_queries",
+    "boarding_queries",
 ]
 
 

@@ -66,7 +66,7 @@ LEFT JOIN {o_z} x ON x.way_id=h.way_id AND x.node_id=h.a LEFT JOIN {o_z} y ON y.
 SHARED_VIEWS["o_kind"] = """
 SELECT way_id, CASE WHEN conveying<>'' THEN 'escalator' WHEN highway='elevator' THEN 'elevator' WHEN highway='steps' THEN 'stairs' WHEN railway<>'' THEN 'platform' WHEN highway='footway' AND level='0;1' THEN 'ramp' WHEN highway='footway' THEN 'walkway' ELSE 'other' END AS kind FROM {fx_ways}"""
 SHARED_VIEWS["o_trans"] = """
-SELECT z.path_id, z.seq, 'node' AS at, CASE WHEN n.highway='elevator' THEN 'elevator' ELSE 'vertical' END AS kind, before AS from_z, za AS to_z, z.a AS node_id FROM (SELECT *, lag(zb) OVER (PARTITION BY path_id ORDER BY seq) AS before FROM {o_hz}) z JOIN {fx_nodes} n ON n.id=z.a WHERE abs(before-za)>0.01
+SELECT z.path_id, z.seq, 'node' AS change_at, CASE WHEN n.highway='elevator' THEN 'elevator' ELSE 'vertical' END AS kind, before AS from_z, za AS to_z, z.a AS node_id FROM (SELECT *, lag(zb) OVER (PARTITION BY path_id ORDER BY seq) AS before FROM {o_hz}) z JOIN {fx_nodes} n ON n.id=z.a WHERE abs(before-za)>0.01
 UNION ALL SELECT z.path_id, z.seq, CASE WHEN z.way_id IS NULL THEN 'stitch' ELSE 'way' END, CASE WHEN z.way_id IS NULL THEN 'stitch' ELSE k.kind END, za, zb, CASE WHEN z.way_id IS NULL THEN z.a END FROM {o_hz} z LEFT JOIN {o_kind} k USING (way_id) WHERE z.way_id IS NULL OR abs(za-zb)>0.01"""
 
 
@@ -74,9 +74,9 @@ def moves(w: World):
     return heights.transitions(hops(w), heights.node_heights(w.ways, w.nodes), w.ways, w.nodes)
 
 
-@query("level_transitions", "O-96", "SELECT path_id, seq, at, kind, round(from_z,2) AS from_z, round(to_z,2) AS to_z FROM {o_trans}")
+@query("level_transitions", "O-96", "SELECT path_id, seq, change_at, kind, round(from_z,2) AS from_z, round(to_z,2) AS to_z FROM {o_trans}")
 def level_transitions(w: World):
-    return moves(w).select("path_id", "seq", "at", "kind", F.round("from_z", 2).alias("from_z"), F.round("to_z", 2).alias("to_z"))
+    return moves(w).select("path_id", "seq", F.col("at").alias("change_at"), "kind", F.round("from_z", 2).alias("from_z"), F.round("to_z", 2).alias("to_z"))
 
 
 @query("attributed_transitions", "O-97")

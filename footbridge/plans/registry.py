@@ -38,6 +38,6 @@ def check_sql(name: str) -> str:
 def hav(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> str:
     """Great-circle metres as SQL text."""
     return (
-        f"(2*6371000.0e0*asin(sqrt(least(1.0e0, pow(sin(radians(({b_lat})-({a_lat}))/2),2)"
-        f"+cos(radians({a_lat}))*cos(radians({b_lat}))*pow(sin(radians(({b_lon})-({a_lon}))/2),2)))))"
+        f"(2*6371000.0e0*asin(sqrt(pow(sin(radians(({b_lat})-({a_lat}))/2),2)"
+        f"+cos(radians({a_lat}))*cos(radians({b_lat}))*pow(sin(radians(({b_lon})-({a_lon}))/2),2))))"
     )
