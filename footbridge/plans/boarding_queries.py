@@ -82,9 +82,9 @@ def alighting(w: World):
 
 
 @query("alighting_points", "O-106", """
-SELECT seat_id, round(offset_m,2) AS offset_m, offset_m<0 OR offset_m>length_m AS clamped, round(a_lat+(b_lat-a_lat)*(least(greatest(offset_m,0),length_m)-c0)/(c1-c0),6) AS lat, round(a_lon+(b_lon-a_lon)*(least(greatest(offset_m,0),length_m)-c0)/(c1-c0),6) AS lon FROM {o_bracket}""")
+SELECT seat_id, round(offset_m,4) AS offset_m, offset_m<0 OR offset_m>length_m AS clamped, round(a_lat+(b_lat-a_lat)*(least(greatest(offset_m,0),length_m)-c0)/(c1-c0),6) AS lat, round(a_lon+(b_lon-a_lon)*(least(greatest(offset_m,0),length_m)-c0)/(c1-c0),6) AS lon FROM {o_bracket}""")
 def alighting_points(w: World):
-    return alighting(w).select("seat_id", F.round("offset_m", 2).alias("offset_m"), "clamped", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    return alighting(w).select("seat_id", F.round("offset_m", 4).alias("offset_m"), "clamped", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 @query("coach_at_offset", "O-107", """

@@ -9,6 +9,7 @@ MODULES = [
     "survey_queries",
     "height_queries",
     "boarding_queries",
+    "feed_queries",
 ]
 
 
