@@ -10,6 +10,7 @@ MODULES = [
     "height_queries",
     "boarding_queries",
     "feed_queries",
+    "live_queries",
 ]
 
 
