@@ -62,16 +62,17 @@ def _round(shell: DataFrame, next_of: DataFrame, with_path: bool) -> DataFrame:
 
 
 def spread(
-    edges: DataFrame, starts: DataFrame, with_path: bool = False,
+    next_of: DataFrame, starts: DataFrame, with_path: bool = False, goals: DataFrame | None = None,
     rounds_per_job: int = 8, max_rounds: int | None = None,
 ) -> DataFrame:
     """Cheapest seconds from every search's starts to every vertex up to its limit.
 
-    ``starts`` has ``search, node, start_s, limit_s``. A vertex first offered beyond the limit is
+    ``next_of`` comes from ``adjacency``; ``starts`` has ``search, node, start_s, limit_s``. With ``goals``
+    (``search, node``) a search that has reached all of them only follows vertices cheaper than its
+    dearest goal, as weights are never negative. A vertex first offered beyond the limit is
     kept as the rim of the search but not walked on from; it is what tells a walk cut short by
     the limit from one that does not exist.
     """
-    next_of = cut(adjacency(edges))
     columns = [*_KEY, "seconds", "metres", "limit_s", *(["path"] if with_path else [])]
     table = starts.groupBy("search", "node").agg(
         F.min("start_s").alias("seconds"), F.max("limit_s").alias("limit_s")
@@ -96,6 +97,11 @@ def spread(
         if not seen["fresh"] or (max_rounds is not None and done >= max_rounds):
             return table
         shell = table.where(moving)
+        if goals is not None:
+            plain = table.where(F.col("lv") == PLAIN).select("search", "node", "seconds")
+            bound = goals.join(plain, ["search", "node"], "left").groupBy("search").agg(
+                F.expr("if(count(seconds) = count(1), max(seconds), null) as bound"))
+            shell = shell.join(bound, "search", "left").where("bound is null or seconds < bound").drop("bound")
 
 
 def walk_cutoff(sources: DataFrame, targets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -133,7 +139,9 @@ def shortest_walks(
     goals:    ``goal_key, node_id``
 
     Requests with the same ``start_key`` share one search, run to the largest of their cutoffs.
-    Returns ``request_id, found, seconds, metres, reason`` (and ``path``).
+    Returns ``request_id, found, seconds, metres, reason, reach_s`` (and ``path``). On contracted
+    edges ``disconnected`` is certain unless ``reach_s`` passes the cutoff: then an inner node of a
+    chain may lie beyond it, and the request has to be asked again on the plain edges.
     """
     if "start_s" not in starts.columns:
         starts = starts.withColumn("start_s", F.lit(0.0))
@@ -141,10 +149,12 @@ def shortest_walks(
     seeds = starts.join(limits, "start_key").select(
         F.col("start_key").alias("search"), F.col("node_id").alias("node"), "start_s", "limit_s"
     )
-    state = spread(edges, seeds, with_path, rounds_per_job)
-    wanted = requests.select("start_key", "goal_key").distinct().join(
+    next_of = cut(adjacency(edges))
+    wanted = cut(requests.select("start_key", "goal_key").distinct().join(
         goals.select("goal_key", "node_id").distinct(), "goal_key"
-    )
+    ))
+    targets = wanted.select(F.col("start_key").alias("search"), F.col("node_id").alias("node")).distinct()
+    state = spread(next_of, seeds, with_path, targets, rounds_per_job)
     arrived = state.where(F.col("lv") == PLAIN).withColumnsRenamed({"search": "start_key", "node": "node_id"})
     order = F.struct("seconds", "node_id")
     best = wanted.join(arrived, ["start_key", "node_id"]).groupBy("start_key", "goal_key").agg(
@@ -152,7 +162,10 @@ def shortest_walks(
         F.min_by("node_id", order).alias("reached_node"),
         *([F.min_by("path", order).alias("path")] if with_path else []),
     )
-    rim = state.groupBy(F.col("search").alias("start_key")).agg(F.max("seconds").alias("rim_s"))
+    # the rim tells a cut search from a finished one; the reach adds the longest edge out of it
+    longest = next_of.select("node", "lv", F.expr("array_max(transform(next, e -> e.w)) as out_s"))
+    rim = state.join(longest, ["node", "lv"], "left").groupBy(F.col("search").alias("start_key")).agg(
+        F.max("seconds").alias("rim_s"), F.max(F.col("seconds") + F.coalesce("out_s", F.lit(0.0))).alias("reach_s"))
     out = requests.join(best, ["start_key", "goal_key"], "left").join(rim, "start_key", "left")
     found = F.coalesce(F.col("seconds") <= F.col("cutoff_s"), F.lit(False))
     return out.select(
@@ -163,7 +176,7 @@ def shortest_walks(
         *([F.when(found, F.col("path")).alias("path")] if with_path else []),
         F.when(found, F.lit(None).cast("string"))
         .when(F.coalesce(F.col("rim_s") > F.col("cutoff_s"), F.lit(False)), F.lit(M.EXCEEDED))
-        .otherwise(F.lit(M.DISCONNECTED)).alias("reason"),
+        .otherwise(F.lit(M.DISCONNECTED)).alias("reason"), "reach_s",
     )
 
 

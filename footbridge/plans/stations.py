@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from footbridge import model as M
 from footbridge.functions import tags as tg
 from footbridge.operators import graph, journeys, platforms, spatial, walks, ways as way_ops
-from footbridge.session import cut
+from footbridge.session import count_true, cut, materialise
 
 
 @dataclass
@@ -162,9 +162,19 @@ def walk_between(
         pairs.join(anchors.select(F.col("place").alias("start_key"), "node_id"), "start_key"),
         pairs.join(anchors.select(F.col("place").alias("goal_key"), "node_id"), "goal_key"), st.nodes)
     asked = cut(pairs.join(cutoffs, "request_id").select("request_id", "start_key", "goal_key", "cutoff_s"))
-    found = walks.shortest_walks(
-        asked, anchors.select(F.col("place").alias("start_key"), "node_id"),
-        anchors.select(F.col("place").alias("goal_key"), "node_id"), edges, with_path)
+    from_at = anchors.select(F.col("place").alias("start_key"), "node_id")
+    goal_at = anchors.select(F.col("place").alias("goal_key"), "node_id")
+    found = walks.shortest_walks(asked, from_at, goal_at, edges, with_path).join(
+        asked.select("request_id", "cutoff_s"), "request_id")
+    doubt = (F.col("reason") == M.DISCONNECTED) & (F.col("reach_s") > F.col("cutoff_s"))
+    found, seen = materialise(found, doubt=count_true(doubt))
+    if contract and seen["doubt"]:
+        again = asked.join(found.where(doubt).select("request_id"), "request_id", "left_semi")
+        plain = graph_edges(st, anchors, step_free, stitched, contract=False)
+        redone = walks.shortest_walks(again, from_at, goal_at, plain, with_path).join(
+            asked.select("request_id", "cutoff_s"), "request_id")
+        found = found.where(~F.coalesce(doubt, F.lit(False))).unionByName(redone)
+    found = found.drop("cutoff_s", "reach_s")
     by_pair = found.join(asked.select("request_id", "start_key", "goal_key"), "request_id").drop("request_id")
     return both.join(by_pair, ["start_key", "goal_key"], "left").select(
         *requests.columns,
