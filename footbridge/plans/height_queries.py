@@ -223,7 +223,8 @@ def edge_stations(w: World):
     return linkage.edge_stations(edges, member_ways, w.ways)
 
 
-@query("path_polylines", "O-116")
+@query("path_polylines", "O-116", """
+SELECT p.path_id, count(*)-1 AS n_points, round(min(n.lat),6) AS lat, round(max(n.lon),6) AS lon FROM {fx_path_way} p JOIN {fx_way_nodes} wn USING (way_id) JOIN {fx_nodes} n ON n.id=wn.node_id GROUP BY p.path_id""")
 def path_polylines(w: World):
     line = linkage.path_polyline(w.view("fx_path_way"), w.ways, w.nodes)
     return line.groupBy("path_id").agg(F.count(F.lit(1)).alias("n_points"), F.round(F.min("lat"), 6).alias("lat"), F.round(F.max("lon"), 6).alias("lon"))
