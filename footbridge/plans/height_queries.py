@@ -10,6 +10,7 @@ from footbridge.plans.graph_queries import all_pairs, stations
 from footbridge.plans.registry import SHARED_VIEWS, hav, query
 from footbridge.plans.stations import graph_edges, resolve_ends, walk_between
 from footbridge.plans.world import World
+from footbridge.session import cut
 
 SHARED_VIEWS["o_pathpt"] = "SELECT p.path_id, p.seq, p.node_id, n.lat, n.lon FROM {fx_path} p JOIN {fx_nodes} n ON n.id=p.node_id"
 SHARED_VIEWS["o_origin"] = "SELECT path_id, avg(lat) AS lat0, avg(lon) AS lon0 FROM {o_pathpt} GROUP BY path_id"
@@ -71,7 +72,8 @@ UNION ALL SELECT z.path_id, z.seq, CASE WHEN z.way_id IS NULL THEN 'stitch' ELSE
 
 
 def moves(w: World):
-    return heights.transitions(hops(w), heights.node_heights(w.ways, w.nodes), w.ways, w.nodes)
+    # both are read several times below, so they are written once
+    return heights.transitions(cut(hops(w)), cut(heights.node_heights(w.ways, w.nodes)), w.ways, w.nodes)
 
 
 @query("level_transitions", "O-96", "SELECT path_id, seq, change_at, kind, round(from_z,2) AS from_z, round(to_z,2) AS to_z FROM {o_trans}")
@@ -81,7 +83,7 @@ def level_transitions(w: World):
 
 @query("attributed_transitions", "O-97")
 def attributed_transitions(w: World):
-    return heights.attribute_transitions(moves(w), w.ways, w.nodes).select("path_id", "seq", "at", "kind")
+    return heights.attribute_transitions(cut(moves(w)), w.ways, w.nodes).select("path_id", "seq", "at", "kind")
 
 
 @query("platform_floor_vote", "O-98", """
