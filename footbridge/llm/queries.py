@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footbridge.llm import bpe_index, markov_secrets, mixing, quality_rules, simhash_bk
+from footbridge.llm import bpe_index, cover_tree, lang_evidence, markov_secrets, mixing, quality_rules, rff_quality, simhash_bk, simple8b, url_trust
 from footbridge.llm.registry import query, table
-from footbridge.llm.sql import MIXING, QUALITY_RULES
+from footbridge.llm.sql import MIXING, QUALITY_RULES, RULES, TOP_K, URL_TRUST
 
 
 def tokenizer(name: str) -> str:
@@ -47,3 +47,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_bk.group_documents(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_token_ids")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = simple8b.write_and_read(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op2_top_k", TOP_K)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", cover_tree.whole_vector(F.col("embedding")).alias("vec"))
+    return cover_tree.top_k(rows, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op4_url_filters", URL_TRUST)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "rule string, verdict string"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_evidence.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rff_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from footbridge.llm import mixing, quality_rules
+from footbridge.llm import mixing, quality_rules, url_trust
 
 _LIMITS = quality_rules.LIMITS
 _GAMMA = quality_rules.GAMMA
@@ -67,3 +67,47 @@ l as (select a.source, max(key) last from a join p on a.source is not distinct f
 select doc_id, size, p.source_size, target, ((whole+case when key<=coalesce(last,-1) then 1 else 0 end)*size)::bigint taken
 from d join p on d.source is not distinct from p.source left join l on d.source is not distinct from l.source
 """
+
+TOP_K = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256*x::double)) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double)))=0),
+s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score from v q, v c where q.vec_id%50=0 and q.vec_id<>c.vec_id),
+r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int rank from s)
+select query_id, rank, vec_id, score from r where rank<=5
+"""
+
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def _trust() -> str:
+    rules = ", ".join(f"('{r}', '{v}', '{r[: r.index('/')]}', '{r[r.index('/') :]}')" for r, v in RULES)
+    lower = f"translate({{}}, '{url_trust.UPPER}', '{url_trust.LOWER}')"
+    link = url_trust.LINK.replace("'", "''")
+    domain = "array_to_string(string_split({0}, '.')[-2:], '.')"
+    walk = "".join(
+        f"""
+m{i + 1} as (select kind, host, sum(mass)::bigint mass from (
+  select kind, host, mass*{100 - url_trust.KEEP}//100 mass from m0
+  union all select e.kind, e.dst, m.mass*{url_trust.KEEP}//100//e.degree from e join m{i} m on m.kind=e.kind and m.host=e.src) group by all),"""
+        for i in range(url_trust.ROUNDS)
+    )
+    return f"""
+with r(rule, verdict, rule_host, rule_path) as (values {rules}),
+p as (select row_number() over () rid, page_id, coalesce({lower.format(f"regexp_extract(url, '{url_trust.URL}', 1)")}, '') host,
+  coalesce(regexp_extract(url, '{url_trust.URL}', 2), '') path, coalesce(html, '') html from pages),
+f as (select rid, max_by(rule, length(rule)) rule, max_by(verdict, length(rule)) ruling from p, r
+  where (host=rule_host or host like '%.'||rule_host) and starts_with(path, rule_path) group by rid),
+j as (select p.*, f.rule, f.ruling from p left join f using (rid)),
+s as (select case ruling when 'allow' then 'trust' else 'distrust' end kind, host, count(*) n from j where ruling is not null group by all),
+m0 as (select kind, host, cast(floor({url_trust.UNIT}::double*n/sum(n) over (partition by kind)) as bigint) mass from s),
+away as (select host src, {lower.format("dst")} dst from (select host, unnest(regexp_extract_all(html, '{link}', 1)) dst from p)),
+up as (select distinct host src, {domain.format("host")} dst from p),
+l as (select distinct src, dst from (select * from away union all select * from up union all select dst, src from up) where src<>dst and src<>'' and dst<>''),
+k as (select 'trust' kind, src, dst from l union all select 'distrust', dst, src from l),
+e as (select *, count(*) over (partition by kind, src) degree from k),{walk}
+t as (select host, coalesce(sum(mass) filter (kind='trust'),0) trust, coalesce(sum(mass) filter (kind='distrust'),0) distrust from m{url_trust.ROUNDS} group by host)
+select page_id, j.host, path, rule, coalesce(ruling, case when distrust>trust then 'block' else 'allow' end) verdict from j left join t using (host)
+"""
+
+
+URL_TRUST = _trust()
