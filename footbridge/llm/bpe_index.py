@@ -18,10 +18,12 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +34,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(f"[^{SPACE}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")  # separators to Python's split(), text to the tokenizer
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-CACHED = 300_000  # pieces each of the two generations of the cache holds
-SLICE = 2_000_000  # characters encoded at once, at least one text
+CACHED = 200_000  # pieces each of the two generations of the cache holds
+SLICE = 1_000_000  # bytes of text encoded at once, at least one text
 
 
 def byte_symbols() -> list[str]:
@@ -64,8 +66,10 @@ class Vocabulary:
             made_at[ids[a + b]] = rank
         if any(made_at.get(x, -1) >= rank for pair, (rank, _) in self.merges.items() for x in pair):
             raise ValueError("a merge uses a symbol that only a later merge makes")
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.listed = pa.array([self.tokens.get(i) for i in range(max(self.tokens, default=-1) + 1)], pa.string())
+        # two generations of pieces and their ids, as 32-bit integers end to end
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def words(self, piece: str) -> list[str | int]:
         """Words of a piece without white space; special tokens as their ids."""
@@ -75,7 +79,7 @@ class Vocabulary:
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
         return _WORDS.findall(piece.lower())
 
-    def merged(self, words: list[str]) -> list[tuple[int, ...]]:
+    def merged(self, words: list[str]) -> list[bytes]:
         """The ids of each word."""
         symbol: list[int] = []
         starts = [0]
@@ -90,68 +94,76 @@ class Vocabulary:
                 before[s] = -1
             if s:
                 after[s - 1] = -1
-        merges, index, active, lists = self.merges, {}, [], {}
-
-        def add(pair: tuple[int, int], at: int) -> None:
-            places = index.get(pair)
-            if places is not None:
-                places.append(at)
-            elif (merge := merges.get(pair)) is not None:
-                index[pair] = [at]
-                lists[merge[0]] = pair
-                heapq.heappush(active, merge[0])
-
-        for i in range(n):
-            if after[i] >= 0:
-                add((symbol[i], symbol[i + 1]), i)
+        # every pair's places, words' borders among them: those have no neighbour and are passed over
+        everywhere: dict[tuple[int, int], list[int]] = {}
+        for i, pair in enumerate(zip(symbol, symbol[1:], strict=False)):
+            if pair in everywhere:
+                everywhere[pair].append(i)
+            else:
+                everywhere[pair] = [i]
+        merges = self.merges
+        index = {pair: places for pair, places in everywhere.items() if pair in merges}
+        pair_of = {merges[pair][0]: pair for pair in index}
+        active = list(pair_of)
+        heapq.heapify(active)
         while active:
-            pair = lists.pop(heapq.heappop(active))
+            pair = pair_of.pop(heapq.heappop(active))
             a, b = pair
             new = merges[pair][1]
             places = index.pop(pair)
             for i in sorted(places) if a == b else places:
                 j = after[i]
-                if symbol[i] != a or j < 0 or symbol[j] != b:
+                if j < 0 or symbol[i] != a or symbol[j] != b:
                     continue
                 symbol[i], symbol[j] = new, -1
-                k, p = after[j], before[i]
-                after[i] = k
+                after[i] = k = after[j]
+                p = before[i]
                 if k >= 0:
                     before[k] = i
-                    add((new, symbol[k]), i)
-                if p >= 0:
-                    add((symbol[p], new), p)
-        return [tuple(s for s in symbol[a:b] if s >= 0) for a, b in zip(starts, starts[1:], strict=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Put the ids of all pieces into the cache: those in neither generation are merged together."""
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
+                for at, left, right in ((i, i, k), (p, p, i)):
+                    if left < 0 or right < 0:
+                        continue
+                    made = symbol[left], symbol[right]
+                    if made in index:
+                        index[made].append(at)
+                    elif made in merges:
+                        index[made] = [at]
+                        rank = merges[made][0]
+                        pair_of[rank] = made
+                        heapq.heappush(active, rank)
+        return [array("i", [s for s in symbol[a:b] if s >= 0]).tobytes() for a, b in zip(starts, starts[1:], strict=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Put the ids of pieces into the younger cache; those in neither generation are merged together."""
         young, old = self.young, self.old
-        new = []
-        for piece in set(pieces):
-            if piece not in young:
-                if piece in old:
-                    young[piece] = old[piece]
-                else:
-                    new.append(piece)
-        if not new:
-            return
+        new = [p for p in pieces if p not in old]
+        young.update((p, old[p]) for p in pieces if p in old)
         parts = [self.words(p) for p in new]
         distinct = list({w for part in parts for w in part if isinstance(w, str)})
         ids = dict(zip(distinct, self.merged(distinct), strict=True))
         for piece, part in zip(new, parts, strict=True):
-            young[piece] = tuple(chain.from_iterable((w,) if isinstance(w, int) else ids[w] for w in part))
+            young[piece] = b"".join([array("i", [w]).tobytes() if isinstance(w, int) else ids[w] for w in part])
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        cut = [(_SPLIT.findall(t) if _CONTROL.search(t) else t.split()) if t else [] for t in texts]
-        self.learn([p for pieces in cut for p in pieces])
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit integers end to end."""
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
         known = self.young
-        return [list(chain.from_iterable([known[p] for p in pieces])) for pieces in cut]
-
-    def decode(self, ids: list[int] | None) -> str:
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids or () if i in tokens])
+        cut = [(_SPLIT.findall(t) if _CONTROL.search(t) else t.split()) if t else [] for t in texts]
+        ids = [list(map(known.get, pieces)) for pieces in cut]
+        lacking = [i for i, found in enumerate(ids) if None in found]
+        self.learn({p for i in lacking for p, k in zip(cut[i], ids[i], strict=True) if k is None})
+        for i in lacking:
+            ids[i] = [known[p] if k is None else k for p, k in zip(cut[i], ids[i], strict=True)]
+        return [b"".join(found) for found in ids]
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list of ids."""
+        flat = ids.flatten()
+        if len(flat) and (pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(self.listed)):
+            return pa.array([" ".join([self.tokens[i] for i in x or () if i in self.tokens]) for x in ids.to_pylist()], pa.string())
+        starts = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(pc.fill_null(pc.list_value_length(ids), 0)).cast(pa.int32())])
+        return pc.binary_join(pa.ListArray.from_arrays(starts, self.listed.take(flat)), " ")
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -176,32 +188,36 @@ def slices(lengths: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array of int) for every document."""
+def lists(ids: list[bytes]) -> pa.ListArray:
+    starts = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+
+
+def encode(docs: DataFrame, path: str, and_back: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of every document; ``and_back`` adds decoded, the text that the ids give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
-                ids = vocab.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for a, b in slices(lengths):
+                ids = lists(vocab.encode(batch.column(1).slice(a, b - a).to_pylist()))
+                columns = {"doc_id": batch.column(0).slice(a, b - a), "ids": ids} | ({"decoded": vocab.decode(ids)} if and_back else {})
+                yield pa.RecordBatch.from_pydict(columns)
 
     slim = pruned(docs, "doc_id", "text")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * and_back)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and decoded for every row of (doc_id, ids)."""
+    """doc_id, ids and decoded of every row of (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            ids = batch.column(1)
-            for a, b in slices([8 * (n or 0) for n in ids.value_lengths().to_pylist()]):
-                part = ids.slice(a, b - a)
-                text = pa.array([vocab.decode(x) for x in part.to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), part, text], names=["doc_id", "ids", "decoded"])
+            for a, b in slices([8 * (n or 0) for n in batch.column(1).value_lengths().to_pylist()]):
+                ids = batch.column(1).slice(a, b - a)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "ids": ids, "decoded": vocab.decode(ids)})
 
     slim = pruned(encoded, "doc_id", "ids")
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
@@ -209,8 +225,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and hashes of the ids and of the text that they decode to."""
-    whole = decode(encode(docs, path), path)
-    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return whole.select(
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encode(docs, path, and_back=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

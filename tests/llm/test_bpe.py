@@ -37,4 +37,10 @@ def test_cache_generations(monkeypatch):
     monkeypatch.setattr(B, "CACHED", 3)
     vocab, plain = B.Vocabulary(PATH), Tokenizer.from_file(PATH)
     for text in ["one two three four five", "six one seven", "one eight nine", "two two one ten", "ten six"]:
-        assert vocab.encode([text]) == [plain.encode(text, add_special_tokens=False).ids]
+        assert B.lists(vocab.encode([text])).to_pylist() == [plain.encode(text, add_special_tokens=False).ids]
+
+
+def test_decode_alone(spark):
+    rows = spark.createDataFrame([(1, [320, 99999, 568, -1], "x"), (2, None, "x"), (3, [], "x"), (4, [49407], "x")], "doc_id long, ids array<int>, decoded string")
+    tokens = B.vocabulary(PATH).tokens
+    assert {r.doc_id: r.decoded for r in B.decode(rows, PATH).collect()} == {1: f"{tokens[320]} {tokens[568]}", 2: "", 3: "", 4: "<|endoftext|>"}
