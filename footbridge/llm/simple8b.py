@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from footbridge.llm.bpe_index import byte_symbols
 from footbridge.llm.columns import pruned
-from footbridge.session import scratch_dir
+from footbridge.session import cut, scratch_dir
 
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0])
@@ -37,19 +39,24 @@ ESCAPE, REFUSED = 0, 15
 BLOCK = 4096
 END = 0  # the id after each document
 CHUNK = 1 << 16  # ids after which a chunk is closed
-CACHED = 500_000  # pieces each of the two generations of the tokenizer's cache holds
+CACHED = 800_000  # pieces each of the two generations of the tokenizer's cache holds
 LONG = 1 << 16  # characters of a text that the tokenizer gets at once, about
 LINES = 2000  # new pieces that the tokenizer gets as one text
 _GAP = re.compile(r"\s\s")
 _SPACE = re.compile(r"\s")
+_SIGNS = dict(enumerate(byte_symbols()))
 _ENDS = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 _FIT = np.searchsorted(WIDTHS[1:15], np.arange(65)).astype(np.uint8)  # by bit length: how many widths are too narrow
 
+_SMALL = _FIT[np.frexp(np.arange(1 << 16, dtype=np.float64))[1]]
+
 
 def _narrower(ids: np.ndarray) -> np.ndarray:
     """For each id how many of the 14 widths are too narrow; 14 means that only an escape holds it."""
+    if len(ids) and ids.max() < len(_SMALL):
+        return _SMALL[ids]
     bits = np.frexp(ids.astype(np.float64))[1]  # exact below 2^53
     wide = bits > 52
     if wide.any():
@@ -162,9 +169,13 @@ class PieceEncoder:
         """Put the ids of pieces that aren't in the younger cache there."""
         young, old, lead = self.young[after_space], self.old[after_space], " " if after_space else ""
         lines = []
+        model, sign = self.plain.model, "\u0120" if after_space else ""
         for piece in pieces:
             if piece in old:
                 young[piece] = old[piece]
+            elif piece.isalpha():  # letters only, with or without a space, are one word of the model
+                word = sign + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SIGNS))
+                young[piece] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
             elif not piece or "<|" in piece or _SPACE.search(piece):
                 young[piece] = self.whole(lead + piece)
             else:
@@ -189,15 +200,15 @@ class PieceEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         self.age()
         starts, rests = self.young
-        cut, unknown = [], (set(), set())
+        lined, unknown = [], (set(), set())
         for t in texts:
             if not t or _GAP.search(t):
-                cut.append(None)
+                lined.append(None)
                 continue
             lines = [line.split(" ") for line in t.split("\n")]
             # of each line the pieces, and their ids as far as they are known
-            cut.append([(pieces, [starts.get(pieces[0]), *map(rests.get, pieces[1:])]) for pieces in lines])
-            for pieces, known in cut[-1]:
+            lined.append([(pieces, [starts.get(pieces[0]), *map(rests.get, pieces[1:])]) for pieces in lines])
+            for pieces, known in lined[-1]:
                 if None in known:
                     if known[0] is None:
                         unknown[0].add(pieces[0])
@@ -205,7 +216,7 @@ class PieceEncoder:
         self.learn(unknown[0], False)
         self.learn(unknown[1], True)
         out = []
-        for t, lines in zip(texts, cut, strict=True):
+        for t, lines in zip(texts, lined, strict=True):
             if lines is None:
                 out.append(self.whole(t) if t else b"")
                 continue
@@ -278,7 +289,8 @@ def read(spark, path: str) -> DataFrame:
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("base"))
     chunks = sizes.select("part", "chunk", before(Window.partitionBy("part").orderBy("chunk")).alias("ahead"))
-    starts = chunks.join(parts, "part").select("part", "chunk", (F.col("base") + F.col("ahead")).alias("start"))
+    # written, so that Spark knows its true size and needn't shuffle the words to join it
+    starts = cut(chunks.join(parts, "part").select("part", "chunk", (F.col("base") + F.col("ahead")).alias("start")))
     kind = file.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +300,9 @@ def read(spark, path: str) -> DataFrame:
                 data = unpack(np.frombuffer(words, dtype="<u8"), np.array(offsets, dtype=np.int64), n).astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
-                cut = [data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                each = [data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, id_type), pa.array(begins + start, pa.int64()), pa.array(lengths, pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"]
+                    [pa.array(ids, id_type), pa.array(begins + start, pa.int64()), pa.array(lengths, pa.int64()), pa.array(each, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"]
                 )
 
     whole = file.join(starts, ["part", "chunk"]).select("doc_ids", "lengths", "n_ids", "words", "offsets", "start")
