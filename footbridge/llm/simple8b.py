@@ -165,17 +165,24 @@ class PieceEncoder:
             at = m.start() + LONG
         return b"".join(self.ids(text[a:b]).tobytes() for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True))
 
+    def word(self, sign: str, word: str) -> bytes:
+        """The ids of what the tokenizer takes for one word; ``sign`` stands for a space before it."""
+        signs = word if word.isascii() else word.encode().decode("latin-1").translate(_SIGNS)
+        return array("I", [t.id for t in self.plain.model.tokenize(sign + signs)]).tobytes()
+
     def learn(self, pieces: set[str], after_space: bool) -> None:
         """Put the ids of pieces that aren't in the younger cache there."""
         young, old, lead = self.young[after_space], self.old[after_space], " " if after_space else ""
         lines = []
-        model, sign = self.plain.model, "\u0120" if after_space else ""
+        sign = "\u0120" if after_space else ""
         for piece in pieces:
             if piece in old:
                 young[piece] = old[piece]
-            elif piece.isalpha():  # letters only, with or without a space, are one word of the model
-                word = sign + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SIGNS))
-                young[piece] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
+                continue
+            core = piece.rstrip(",.;:!?#*$%&|()")
+            if core.isalpha():  # letters only, with or without a space, are one word of the model, the signs after them another
+                ids = young.get(core) or old.get(core) or self.word(sign, core)
+                young[piece] = ids if core == piece else ids + self.word("", piece[len(core) :])
             elif not piece or "<|" in piece or _SPACE.search(piece):
                 young[piece] = self.whole(lead + piece)
             else:
