@@ -207,31 +207,34 @@ class PieceEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         self.age()
         starts, rests = self.young
-        cut = [t.split(" ") if t and not _GAP.search(t) else None for t in texts]
-        known = [pieces and [starts.get(pieces[0]), *map(rests.get, pieces[1:])] for pieces in cut]
-        unknown: tuple[set[str], set[str]] = set(), set()
-        broken: dict[tuple[str, bool], bytes] = {}  # pieces with line feeds; these seldom come again
-        lacking = [i for i, ids in enumerate(known) if ids and None in ids]
-        for i in lacking:
-            for at, (piece, ids) in enumerate(zip(cut[i], known[i], strict=True)):
-                if ids is None and "\n" in piece:
-                    broken[piece, at > 0] = b""
-                    first, *others = piece.split("\n")
-                    unknown[at > 0].add(first)
-                    unknown[0].update(others)
-                elif ids is None:
-                    unknown[at > 0].add(piece)
-        for after_space in (False, True):
-            self.learn({p for p in unknown[after_space] if p not in self.young[after_space]}, after_space)
-        for piece, after_space in broken:
-            first, *others = piece.split("\n")
-            broken[piece, after_space] = self.feed.join([self.young[after_space][first], *[starts[p] for p in others]])
-        for i in lacking:
-            ids = known[i]
-            for at, piece in enumerate(cut[i]):
-                if ids[at] is None:
-                    ids[at] = broken[piece, at > 0] if "\n" in piece else self.young[at > 0][piece]
-        return [b"".join(ids) if ids else self.whole(t) if t else b"" for t, ids in zip(texts, known, strict=True)]
+        lined, unknown = [], (set(), set())
+        for t in texts:
+            if not t or _GAP.search(t):
+                lined.append(None)
+                continue
+            lines = [line.split(" ") for line in t.split("\n")]
+            # of each line the pieces, and their ids as far as they are known
+            lined.append([(pieces, [starts.get(pieces[0]), *map(rests.get, pieces[1:])]) for pieces in lines])
+            for pieces, known in lined[-1]:
+                if None in known:
+                    if known[0] is None:
+                        unknown[0].add(pieces[0])
+                    unknown[1].update(p for p, k in zip(pieces[1:], known[1:], strict=True) if k is None)
+        self.learn(unknown[0], False)
+        self.learn(unknown[1], True)
+        out = []
+        for t, lines in zip(texts, lined, strict=True):
+            if lines is None:
+                out.append(self.whole(t) if t else b"")
+                continue
+            for pieces, known in lines:
+                if None in known:
+                    known[0] = starts[pieces[0]]
+                    for i, k in enumerate(known):
+                        if k is None:
+                            known[i] = rests[pieces[i]]
+            out.append(self.feed.join([b"".join(known) for _, known in lines]))
+        return out
 
 
 _LOADED: dict[str, PieceEncoder] = {}
