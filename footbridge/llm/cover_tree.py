@@ -92,16 +92,22 @@ class CoverTree:
                 end.append(place)
                 todo.append(len(centre) - 1)
             last[node] = len(centre)
-        self.ids, self.vectors = ids[self.order], vectors[self.order]
-        self.centre = vectors[np.array(centre)] if len(ids) else vectors[:0]
+        most = int(np.abs(vectors).max(initial=0))
+        kind = next((t for t in (np.int16, np.int32) if most <= np.iinfo(t).max), np.int64)  # trees are sent around
+        self.ids, self.vectors = ids[self.order], vectors[self.order].astype(kind)
+        self.middle = np.argsort(self.order)[np.array(centre)] if len(ids) else np.zeros(0, dtype=np.int64)
         self.radius, self.first, self.last, self.begin, self.end = (np.array(x) for x in (radius, first, last, begin, end))
 
+    @property
+    def centre(self) -> np.ndarray:
+        return self.vectors[self.middle]
+
 
 def search(queries: CoverTree, index: CoverTree, k: int, best: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Better the k best scores (descending; ties to smaller ids) and ids of each of ``queries``' points."""
     width = max(queries.vectors.shape[1], index.vectors.shape[1])
     wide = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
-    qv, rv = wide(queries.vectors), wide(index.vectors)
+    qv, rv = wide(queries.vectors).astype(np.int64), wide(index.vectors).astype(np.int64)
     qc, rc = wide(queries.centre).astype(np.float64), wide(index.centre).astype(np.float64)
     q_norm, r_norm = np.sqrt((qc**2).sum(axis=1)), np.sqrt((rc**2).sum(axis=1))
     best, who = best.copy(), who.copy()
@@ -227,7 +233,9 @@ def top_k(points: DataFrame, asking: Column, k: int) -> DataFrame:
     asked = materialise(points.where("asks").groupBy("vec").agg(F.min("vec_id").alias("vec_id")))[0]
     sample = [r.vec for r in kept[0].orderBy(F.xxhash64("vec"), "vec_id").limit(SAMPLE).collect()]
     pivots = choose_pivots(sample, min(PIVOTS, 1 + 2 * (kept[1]["n"] or 0) // SHARD))
-    index, blocks = sharded(kept[0], pivots, SHARD), sharded(asked, pivots, BLOCK)
+    index = sharded(kept[0], pivots, SHARD)
+    # blocks lie around the first, most distant pivots: few large ones, as each meets many shards
+    blocks = sharded(asked, pivots[: 1 + 2 * asked.count() // BLOCK], BLOCK)
     reach = {r.pivot: r.reach for r in index.groupBy("pivot").agg(F.max("reach").alias("reach")).collect()}  # at most PIVOTS rows
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,14 +22,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from footbridge.llm.columns import pruned
 from footbridge.llm.url_trust import domain_of, host_of
 from footbridge.session import cut
 
 BUCKETS = 1 << 15
-SAMPLE = 2000  # documents of each language that the text model is fitted on, at most
+SAMPLE = 2000  # documents of each language that the text model is fitted on, about
 WEIGHT = 5.0
 TEMPER = 60.0  # trigrams that many neighbours are worth in the long run
 _HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -48,10 +47,12 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def text_model(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (language, bucket) from at most ``sample`` labelled documents a language."""
+    """Languages and log probabilities (language, bucket) from about ``sample`` labelled documents a language: those of
+    the least hashes, by a limit that its size sets, so that no language is gathered in one task."""
     docs = pruned(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = cut(docs.select("doc_id", "lang").withColumn("place", order).where(F.col("place") <= sample).select("doc_id", "lang").distinct())
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    chosen = docs.join(cut(sizes), "lang").where(place * F.col("size") < F.lit(sample << 30))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -63,7 +64,7 @@ def text_model(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.nda
             at = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
 
-    counted = docs.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInPandas(count, "lang string, bucket long, n long")
+    counted = chosen.select("lang", "text").mapInPandas(count, "lang string, bucket long, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows a language at most
     langs = sorted(rows["lang"].unique())
     n = np.ones((len(langs), BUCKETS))

@@ -55,11 +55,11 @@ def test_bounds_hold_under_every_node():
     v = rng.integers(-300, 300, (500, 5))
     tree = C.CoverTree(v, np.arange(500))
     for node in range(len(tree.radius)):
-        under = tree.vectors[tree.begin[node] : tree.end[node]]
+        under = tree.vectors[tree.begin[node] : tree.end[node]].astype(float)
         assert np.sqrt(((under - tree.centre[node]) ** 2).sum(axis=1)).max() <= tree.radius[node] + 1e-9
     kids = np.flatnonzero(tree.last)
     assert sorted(tree.ids) == list(range(500)) and len(kids) > 3
     for node in kids:
-        c = tree.centre[tree.first[node] : tree.last[node]]
+        c = tree.centre[tree.first[node] : tree.last[node]].astype(float)
         apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(axis=2))[~np.eye(len(c), dtype=bool)]
         assert (apart > tree.radius[node] / C.BASE - 1e-9).all()
