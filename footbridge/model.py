@@ -147,6 +147,7 @@ HUB_STOPWORDS = [
     "hbf", "bf", "bhf", "bahnhof", "hauptbahnhof", "s", "u", "su", "main",
     "berlin", "hamburg", "st", "der", "am", "an",
 ]
+HUB_MAIN_WORDS = ["hauptbahnhof", "hbf"]  # both name the main station, alone or inside a longer word
 TRACK_PREFIX = r"(?i)^(gl|gleis|regio|bstg\.?|voie|quai|binario|bin\.?|spoor|via)\s+"
 QUAY_LABEL = r"(?i)(?:Gleise?|Bahnsteig)\s+([0-9]+[a-zA-Z]?(?:\s*/\s*[0-9]+[a-zA-Z]?)*)"
 COACH_CLASSES = {

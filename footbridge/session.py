@@ -51,12 +51,15 @@ def local_session(cores: str = "*", name: str = "footbridge", **extra: str) -> S
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in a session on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="footbridge-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

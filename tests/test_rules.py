@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footbridge import model as M
 from footbridge.functions import tags as tg
-from footbridge.functions.text import fold_key, fold_name, plausible_track, track_ref
+from footbridge.functions.text import fold_key, fold_name, hub_tokens, plausible_track, track_ref
 from footbridge.operators import delays, journeys, platforms, spatial, surveys
 from footbridge.sources import feeds
 
@@ -23,7 +23,7 @@ def test_levels(spark):
 
 
 def test_ref_tokens_and_order(spark):
-    assert column(spark, ["3;4", "3; 4", "Steig 1", None, ""], tg.ref_tokens) == [["3", "4"], ["3", "4"], ["Steig 1"], [], []]
+    assert column(spark, ["3;4", "3; 4", "Rampe 4", None, ""], tg.ref_tokens) == [["3", "4"], ["3", "4"], ["Rampe 4"], [], []]
     refs = ["10", "2", "A", "3a", "3", "1"]
     df = spark.createDataFrame([(r,) for r in refs], "r string")
     assert [r[0] for r in df.orderBy(tg.natural_key(F.col("r"))).collect()] == ["1", "2", "3", "3a", "10", "A"]
@@ -32,8 +32,14 @@ def test_ref_tokens_and_order(spark):
 def test_labels(spark):
     assert column(spark, ["Gl 1", "gleis 7", " 3a ", "", None, "Gleis"], track_ref) == ["1", "7", "3a", None, None, "Gleis"]
     assert column(spark, ["München Hbf", "Ångström"], fold_name) == ["munchen hbf", "angstrom"]
-    assert column(spark, ["Myeong-dong Station"], fold_key) == ["myeongdongstation"]
-    assert column(spark, ["3a", "41/42", "A", "ABC", "TE BEPAL", "", "1234567"], plausible_track) == [True, True, True, False, False, False, False]
+    assert column(spark, ["Alt-Lindow Süd 2"], fold_key) == ["altlindowsud2"]
+    assert column(spark, ["3a", "41/42", "A", "ABC", "NO TRACK", "", "1234567"], plausible_track) == [True, True, True, False, False, False, False]
+
+
+def test_hub_words(spark):
+    names = ["Grünau Hbf (tief)", "Altstadthbf am Weißen See", "Hauptbahnhof", "Nordfeld/Westfeld Nordfeld (Ost", None, ""]
+    want = [["grunau"], ["altstadt", "weissen", "see"], [], ["nordfeld", "westfeld", "ost"], None, []]
+    assert column(spark, names, hub_tokens) == want
 
 
 @pytest.mark.parametrize("walk,verdict", [(120.0, M.FEASIBLE), (280.0, M.TIGHT), (500.0, M.INFEASIBLE), (240.0, M.FEASIBLE), (300.0, M.TIGHT), (None, M.UNKNOWN)])
@@ -103,7 +109,7 @@ def test_ladder_prefers_the_precise_rung(spark):
     ways = spark.createDataFrame([
         (1, [1, 2], {"railway": "platform_edge", "ref": "3"}), (2, [3, 4], {"railway": "platform", "ref": "3"}),
         (3, [5, 6], {"railway": "platform_edge", "railway:track_ref": "412/422"}), (4, [7], {"public_transport": "platform", "local_ref": "7; 8"}),
-        (5, [8], {"railway": "platform", "ref": "Steig 1"})], M.WAYS)
+        (5, [8], {"railway": "platform", "ref": "Rampe 4"})], M.WAYS)
     foot = spark.createDataFrame([(9, i) for i in range(1, 6)], "relation_id int, way_id bigint")
     asked = spark.createDataFrame([(9, r) for r in ("3", "12", "8", "1")], "relation_id int, ref string")
     got = {(r["ref"], r["way_id"], r["rung"]) for r in platforms.resolve_platforms(asked, foot, ways).collect()}
