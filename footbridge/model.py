@@ -70,7 +70,6 @@ LANDMARK_LIMIT = 10
 MAIN_STATION_MEMBERS = 10
 MAX_TRANSFER_WALK_M = 1500.0
 MIN_IMPROVEMENT_S = 60.0
-DETAIL_MAX_RADIUS_M = 400.0
 
 # verdicts and reasons
 FEASIBLE, TIGHT, INFEASIBLE = "feasible", "tight", "infeasible"

@@ -112,15 +112,15 @@ def coach_at(offsets: DataFrame, spans: DataFrame) -> DataFrame:
         F.min_by("coach", F.struct(gap.alias("gap"), "start_m", "coach")).alias("coach"))
 
 
-def seat_walks(points: DataFrame, goals: DataFrame, edges: DataFrame, cutoff_s: float = M.PLAUSIBLE_FLOOR_S) -> DataFrame:
+def seat_walks(points: DataFrame, goals: DataFrame, edges: DataFrame, cutoff_s: float | None = None) -> DataFrame:
     """Walks that start at a seat's door: its two bracketing nodes with the seconds to reach them.
 
     ``points`` from ``alighting_points``; ``goals`` has ``goal_key, node_id`` and ``seat_id`` pairs come
-    from ``points.goal_key``. Metres include the stretch along the platform.
+    from ``points.goal_key``; without ``cutoff_s`` no walk is too long. Metres include the stretch along the platform.
     """
     starts = points.selectExpr("seat_id as start_key", "node_a as node_id", "to_a_s as start_s").unionByName(
         points.selectExpr("seat_id as start_key", "node_b as node_id", "to_b_s as start_s"))
-    asked = points.select(F.col("seat_id").alias("request_id"), F.col("seat_id").alias("start_key"), "goal_key", F.lit(cutoff_s).alias("cutoff_s"))
+    asked = points.select(F.col("seat_id").alias("request_id"), F.col("seat_id").alias("start_key"), "goal_key", F.lit(float("inf") if cutoff_s is None else cutoff_s).alias("cutoff_s"))
     return walks.shortest_walks(asked, starts, goals, edges).withColumnRenamed("request_id", "seat_id")
 
 

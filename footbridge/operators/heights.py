@@ -219,7 +219,6 @@ def pois_near_path(pois: DataFrame, path_points: DataFrame, radius_m: float) ->
 
     ``path_points`` has ``path_id, lat, lon``; the plane's origin is the path's mean coordinate.
     """
-    radius_m = min(radius_m, M.DETAIL_MAX_RADIUS_M)
     origin = origins(path_points, "path_id")
     index = pois.select(F.col("id").alias("poi_id"), "lat", "lon")
     near = radius_join(path_points.select("path_id", "lat", "lon"), index, radius_m * 1.02).join(origin, "path_id")

@@ -29,10 +29,10 @@ def opposite_platforms(pairs: DataFrame, ways: DataFrame, nodes: DataFrame) -> D
     return gap
 
 
-def edge_stations(edges: DataFrame, station_ways: DataFrame, ways: DataFrame, max_rounds: int = 10) -> DataFrame:
+def edge_stations(edges: DataFrame, station_ways: DataFrame, ways: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Platform edges to the station whose platform ways share a node with them.
 
-    Edges sharing none are grown through walkable ways for at most ``max_rounds`` rounds. Several
+    Edges sharing none are grown through walkable ways until nothing new is reached, or for ``max_rounds`` rounds. Several
     stations: the one sharing most nodes, then the lowest id. Returns ``way_id, relation_id, rounds, shared``.
     """
     own = station_ways.join(node_ways(ways), "way_id").select("relation_id", "node_id").distinct()

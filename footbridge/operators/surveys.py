@@ -28,16 +28,18 @@ def sweep_universe(
     return out
 
 
-def survey_pairs(refs: DataFrame, cap: int = M.HEALTH_MAX_PLATFORMS) -> DataFrame:
-    """Unordered platform pairs per station; above the cap an even stride of the refs.
-
-    The stride is the survey's own definition, not a row limit: it keeps at most ``cap`` refs
-    and so at most cap*(cap-1)/2 pairs per station.
-    """
+def survey_pairs(refs: DataFrame, cap: int | None = None) -> DataFrame:
+    """All unordered platform pairs per station; with ``cap``, pairs of an even stride of at most that many refs."""
+    if cap is None:
+        return _pairs(refs)
     sized = refs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("relation_id")))
     # ref number k is kept if some i < cap has floor(i * n / cap) = k
     i = F.ceil(F.col("ord") * cap / F.col("n"))
     kept = sized.where((F.col("n") <= cap) | ((i < cap) & (F.floor(i * (F.col("n") / cap)) == F.col("ord"))))
+    return _pairs(kept)
+
+
+def _pairs(kept: DataFrame) -> DataFrame:
     a = kept.select("relation_id", F.col("ref").alias("from_ref"), F.col("ord").alias("a"))
     b = kept.select("relation_id", F.col("ref").alias("to_ref"), F.col("ord").alias("b"))
     return a.join(b, "relation_id").where("a < b").select(
@@ -55,8 +57,10 @@ def pair_classes(pairs: DataFrame, plain: DataFrame, stitched: DataFrame) -> Dat
     ).drop("plain_found", "stitched_found")
 
 
-def station_health(classes: DataFrame, refs: DataFrame) -> DataFrame:
-    """Counts and shares per station, with up to six unconnected pairs, stitchable ones first."""
+def station_health(classes: DataFrame, refs: DataFrame, cap: int | None = None) -> DataFrame:
+    """Counts and shares per station, with up to six unconnected pairs, stitchable ones first.
+
+    ``cap`` is the one that the pairs were drawn with; above it a station counts as sampled."""
     sizes = refs.groupBy("relation_id").agg(F.count(F.lit(1)).alias("platform_count"))
     counts = classes.groupBy("relation_id").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("kind") == M.CONNECTED).alias("connected"),
@@ -73,7 +77,7 @@ def station_health(classes: DataFrame, refs: DataFrame) -> DataFrame:
 
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("pairs", "connected", "stitchable", "island")}
     return sizes.join(counts, "relation_id", "left").join(examples, "relation_id", "left").withColumns(zero).withColumn(
-        "sampled", F.col("platform_count") > M.HEALTH_MAX_PLATFORMS).withColumns(
+        "sampled", F.lit(False) if cap is None else F.col("platform_count") > cap).withColumns(
         {f"{c}_pct": pct(c) for c in ("connected", "stitchable", "island")})
 
 

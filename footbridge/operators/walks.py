@@ -263,10 +263,11 @@ def simple_paths(
     return out
 
 
-def way_hops(ways: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int = 30) -> DataFrame:
+def way_hops(ways: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Fewest way-to-way changes between two ways, walking over shared nodes.
 
-    ``starts`` has ``search, way_id``; ``goals`` has ``search, way_id``. The graph stays
+    ``starts`` has ``search, way_id``; ``goals`` has ``search, way_id``. Without ``max_hops`` every way that can be
+    reached is. The graph stays
     bipartite (way, node, way ...), so no list of all way pairs of a node is ever built.
     """
     touch = ways.select(F.explode(F.array_distinct("nodes")).alias("node"), F.col("id").alias("way_id"))
@@ -274,7 +275,7 @@ def way_hops(ways: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int
     seen = cut(starts.select("search", "way_id").distinct().withColumn("hops", F.lit(0)))
     seen_nodes = None
     front, hops = seen, 0
-    while hops < max_hops:
+    while max_hops is None or hops < max_hops:
         hops += 1
         nodes = front.select("search", "way_id").join(touch, "way_id").select("search", "node").distinct()
         if seen_nodes is not None:

@@ -102,7 +102,7 @@ SHARED_VIEWS["o_sp_seat"] = search_view(starts="SELECT seat_id AS relation_id, '
 
 
 @query("seat_walks", "O-108", """
-SELECT s.seat_id, s.n_seats, coalesce(min(q.seconds)<=900, false) AS found, round(min(q.seconds) FILTER (q.seconds<=900),1) AS seconds, round(arg_min(q.metres,q.seconds) FILTER (q.seconds<=900),1) AS metres FROM {o_spot} s
+SELECT s.seat_id, s.n_seats, count(q.seconds)>0 AS found, round(min(q.seconds),1) AS seconds, round(arg_min(q.metres,q.seconds),1) AS metres FROM {o_spot} s
 LEFT JOIN {fx_way_nodes} g ON g.way_id=s.line+5 LEFT JOIN {o_sp_seat} q ON q.relation_id=s.seat_id AND q.node=g.node_id AND q.lv=-1e9 GROUP BY s.seat_id, s.n_seats""")
 def seat_walks(w: World):
     # seats at one spot share a search; the goal is the station's second platform row

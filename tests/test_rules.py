@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footbridge import model as M
 from footbridge.functions import tags as tg
 from footbridge.functions.text import fold_key, fold_name, hub_tokens, plausible_track, track_ref
-from footbridge.operators import delays, journeys, platforms, spatial, surveys
+from footbridge.operators import delays, heights, journeys, linkage, platforms, spatial, surveys, walks
 from footbridge.sources import feeds
 
 
@@ -136,3 +136,28 @@ def test_fill_prefers_same_terminus(spark):
     asked = spark.createDataFrame([(1, 1, "S8", "airport"), (2, 1, "S8", "nowhere"), (3, 1, "RE1", ""), (4, 1, "X", "a")], "ask_id int, hub int, line string, headsign string")
     got = {r["ask_id"]: (r["platform"], r["how"]) for r in delays.fill_platforms(asked, boards).collect()}
     assert got == {1: ("3", "exact"), 2: ("5", "line_major"), 3: ("9", "line_unique"), 4: (None, "none")}
+
+
+def test_all_pairs_without_a_cap(spark):
+    refs = spark.createDataFrame([(1, str(i), i) for i in range(50)], "relation_id int, ref string, ord int")
+    assert surveys.survey_pairs(refs).count() == 50 * 49 // 2
+
+
+def test_far_ways_are_reached(spark):
+    """A chain of 40 walkable ways: each hop is counted, and an edge at its end finds the station at its start."""
+    footway = {"highway": "footway"}
+    ways = spark.createDataFrame([(i, [i, i + 1], footway) for i in range(40)] + [(90, [900, 901], footway)], "id long, nodes array<long>, tags map<string,string>")
+    start = spark.createDataFrame([(1, 0)], "search int, way_id long")
+    goals = spark.createDataFrame([(1, i) for i in [*range(40), 90]], "search int, way_id long")
+    assert {r.way_id: r.hops for r in walks.way_hops(ways, start, goals).collect()} == {i: i for i in range(40)}
+    assert {r.way_id for r in walks.way_hops(ways, start, goals, 6).collect()} == set(range(7))
+    station = spark.createDataFrame([(7, 0)], "relation_id long, way_id long")
+    edge = ways.where("id in (20, 90)")
+    got = linkage.edge_stations(edge, station, ways).collect()
+    assert [(r.way_id, r.relation_id) for r in got] == [(20, 7)] and got[0].rounds > 10
+
+
+def test_radius_is_the_caller_s(spark):
+    pois = spark.createDataFrame([(1, 50.0, 8.0065), (2, 50.0, 8.02)], "id long, lat double, lon double")
+    path = spark.createDataFrame([(5, 50.0, 8.0)], "path_id long, lat double, lon double")
+    assert [r.poi_id for r in heights.pois_near_path(pois, path, 600.0).collect()] == [1]
