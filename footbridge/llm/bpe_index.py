@@ -139,8 +139,12 @@ class Vocabulary:
         new = [p for p in pieces if p not in old]
         young.update((p, old[p]) for p in pieces if p in old)
         parts = [self.words(p) for p in new]
-        distinct = list({w for part in parts for w in part if isinstance(w, str)})
-        ids = dict(zip(distinct, self.merged(distinct), strict=True))
+        distinct = {w for part in parts for w in part if isinstance(w, str)}
+        # a word of small ASCII letters is what the piece of the same letters holds
+        ids = {w: young.get(w) or old.get(w) for w in distinct if w.isascii() and w.isalpha()}
+        ids = {w: known for w, known in ids.items() if known is not None}
+        lacking = [w for w in distinct if w not in ids]
+        ids.update(zip(lacking, self.merged(lacking), strict=True))
         for piece, part in zip(new, parts, strict=True):
             young[piece] = b"".join([array("i", [w]).tobytes() if isinstance(w, int) else ids[w] for w in part])
 
