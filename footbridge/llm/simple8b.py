@@ -17,6 +17,7 @@ can be packed. An empty table gives an empty file. Further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -64,28 +65,50 @@ def _narrower(ids: np.ndarray) -> np.ndarray:
     return _FIT[bits]
 
 
+def _starts(after: np.ndarray) -> np.ndarray:
+    """The first id of each word, where a word from id i ends before id ``after[i]``."""
+    n = len(after)
+    hops = [np.append(after, np.int32(n))]  # of 1, 2, 4, ... words
+    for _ in range(5):
+        hops.append(hops[-1].take(hops[-1]))
+    far, i, marks = hops[-1].tolist(), 0, []
+    while i < n:
+        marks.append(i)
+        i = far[i]
+    reached = np.array(marks, dtype=np.int32)
+    for hop in hops[-2::-1]:
+        reached = np.concatenate([reached, hop.take(reached)])
+    seen = np.zeros(n + 1, dtype=bool)
+    seen[reached] = True
+    return np.flatnonzero(seen[:n])
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of an array of unsigned ids."""
     n = len(ids)
     ids, need = ids.astype(np.uint64), _narrower(ids)
-    place = np.arange(n, dtype=np.int32)
-    end = np.minimum((place // block + 1) * block, n).astype(np.int32)
     # where one selector fits all ids, those of fewer ids need no look
     widest = int(need.max()) + 1 if n and need.max() < 14 else 0
-    best = np.full(n, widest, dtype=np.int8)
-    after = np.minimum(place + np.int32(max(1, COUNTS[widest])), end)
+    # a row a block, with room behind it that fits every selector
+    rows = -(-n // block)
+    wide = np.zeros((rows, block + 64), dtype=np.uint8)
+    blocks = np.zeros(rows * block, dtype=np.uint8)
+    blocks[:n] = need
+    wide[:, :block] = blocks.reshape(rows, block)
+    peaks = {1: wide}  # of 1, 2, 4, ... ids side by side the greatest need
+    for half in (1, 2, 4, 8, 16):
+        peaks[2 * half] = np.maximum(peaks[half][:, :-half], peaks[half][:, half:])
+    best = np.full((rows, block), widest, dtype=np.int8)
     for s in range(widest - 1 if widest else 14, 0, -1):  # selectors of more ids come later and win
-        at = np.flatnonzero(need < s).astype(np.int32)
-        last = np.minimum(at + np.int32(COUNTS[s]), end[at])
-        # the ids from at to last all fit if they stand side by side in the list of those that do
-        side = np.arange(len(at), dtype=np.int32) + (last - at - 1)
-        good = np.append(at, -1)[np.minimum(side, len(at))] == last - 1
-        best[at[good]], after[at[good]] = s, last[good]
-    jump, i, starts = memoryview(after), 0, []
-    while i < n:
-        starts.append(i)
-        i = jump[i]
-    starts = np.array(starts, dtype=np.int64)
+        count = int(COUNTS[s])
+        width = 1 << (count.bit_length() - 1)
+        peak = np.maximum(peaks[width][:, :block], peaks[width][:, count - width : count - width + block])
+        np.copyto(best, s, where=peak < s)
+    best = best.ravel()[:n]
+    place = np.arange(n, dtype=np.int32)
+    end = np.minimum((place // block + 1) * block, n).astype(np.int32)
+    after = np.minimum(place + np.maximum(COUNTS, 1).astype(np.int32).take(best), end)
+    starts = _starts(after)
     sel = best[starts].astype(np.int64)
     words = sel.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(64, dtype=np.uint64)])
@@ -206,6 +229,15 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         self.age()
+        on = gc.isenabled()
+        gc.disable()  # the lists of pieces hold no cycles, and there are too many to walk
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         starts, rests = self.young
         lined, unknown = [], (set(), set())
         for t in texts:
