@@ -96,11 +96,8 @@ def hop_ways(steps: DataFrame, ways: DataFrame) -> DataFrame:
     return steps.join(best, ["a", "b"], "left").select("path_id", "seq", "a", "b", "way_id")
 
 
-def transitions(hops: DataFrame, heights: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Level changes of a path, at a node or along a way, and hops no mapped way covers.
-
-    Returns ``path_id, seq, at, kind, node_id, way_id, from_z, to_z`` with ``at`` node, way or stitch.
-    """
+def hop_heights(hops: DataFrame, heights: DataFrame) -> DataFrame:
+    """Both ends' heights of each hop (``za``, ``zb``): on its own way, else on any, else zero."""
     any_z = heights.groupBy("node_id").agg(F.min_by("z", "way_id").alias("z_any"))
 
     def end(side: str) -> DataFrame:
@@ -109,9 +106,17 @@ def transitions(hops: DataFrame, heights: DataFrame, ways: DataFrame, nodes: Dat
     def fallback(side: str) -> DataFrame:
         return any_z.select(F.col("node_id").alias(side), F.col("z_any").alias(f"y_{side}"))
 
-    z = hops.join(end("a"), ["way_id", "a"], "left").join(end("b"), ["way_id", "b"], "left").join(
+    return hops.join(end("a"), ["way_id", "a"], "left").join(end("b"), ["way_id", "b"], "left").join(
         fallback("a"), "a", "left").join(fallback("b"), "b", "left").select(
         "path_id", "seq", "a", "b", "way_id", F.coalesce("z_a", "y_a", F.lit(0.0)).alias("za"), F.coalesce("z_b", "y_b", F.lit(0.0)).alias("zb"))
+
+
+def transitions(hops: DataFrame, heights: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Level changes of a path, at a node or along a way, and hops no mapped way covers.
+
+    Returns ``path_id, seq, at, kind, node_id, way_id, from_z, to_z`` with ``at`` node, way or stitch.
+    """
+    z = hop_heights(hops, heights)
     order = Window.partitionBy("path_id").orderBy("seq")
     z = z.withColumn("before", F.lag("zb").over(order))
     node_kind = nodes.select(F.col("id").alias("a"), F.coalesce(tg.mechanism("tags"), F.lit("vertical")).alias("node_kind"))

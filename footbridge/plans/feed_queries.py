@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from footbridge.functions import tags as tg
 from footbridge.functions.text import track_ref
 from footbridge.plans.registry import query
 from footbridge.plans.world import World
+from footbridge.session import scratch_dir
 from footbridge.sources import feeds
 
 
-@query("feed_platforms", "O-05", r"""
-SELECT CAST(journey_id*10+leg_no AS VARCHAR) AS stop_id, CASE WHEN leg_no%2=0 THEN 'Halt '||CAST(st AS VARCHAR) ELSE 'own' END AS station, trim(arr_platform) AS code, round(arr_lat,6) AS lat FROM {fx_legs}
-WHERE trim(arr_platform)<>'' AND trim(arr_platform) NOT LIKE '% %'""")
-def feed_platforms(w: World):
+def new_folder(w: World, kind: str) -> str:
+    return f"{scratch_dir(w.spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def stop_table(w: World):
+    """A timetable feed's stops, every column text."""
     legs = w.view("fx_legs")
     stops = legs.select(
         (F.col("journey_id") * 10 + F.col("leg_no")).cast("string").alias("stop_id"), F.lit("own").alias("stop_name"), F.lit("0").alias("location_type"),
@@ -23,12 +28,28 @@ def feed_platforms(w: World):
     parents = legs.select("st").distinct().select(
         F.concat(F.lit("S"), "st").alias("stop_id"), F.concat(F.lit("Halt "), "st").alias("stop_name"), F.lit("1").alias("location_type"),
         F.lit("").alias("parent_station"), F.lit("").alias("platform_code"), F.lit("0").alias("stop_lat"), F.lit("0").alias("stop_lon"))
-    return feeds.feed_platforms(stops.unionByName(parents)).select("stop_id", "station", "code", F.round("lat", 6).alias("lat"))
+    return stops.unionByName(parents)
 
 
-@query("stop_place_quays", "O-06", """
-SELECT station_key, name, public_label, round(lat,6) AS lat, step_free, has_lift FROM {fx_quays}""")
-def stop_place_quays(w: World):
+STOPS_SQL = r"""
+SELECT CAST(journey_id*10+leg_no AS VARCHAR) AS stop_id, CASE WHEN leg_no%2=0 THEN 'Halt '||CAST(st AS VARCHAR) ELSE 'own' END AS station, trim(arr_platform) AS code, round(arr_lat,6) AS lat FROM {fx_legs}
+WHERE trim(arr_platform)<>'' AND trim(arr_platform) NOT LIKE '% %'"""
+
+
+@query("feed_platforms", "O-05", STOPS_SQL)
+def feed_platforms(w: World):
+    return feeds.feed_platforms(stop_table(w)).select("stop_id", "station", "code", F.round("lat", 6).alias("lat"))
+
+
+@query("stop_file_platforms", "O-05", STOPS_SQL)
+def stop_file_platforms(w: World):
+    path = new_folder(w, "stops")
+    stop_table(w).write.option("header", True).csv(path)
+    return feeds.feed_platforms(feeds.read_stops(w.spark, path)).select("stop_id", "station", "code", F.round("lat", 6).alias("lat"))
+
+
+def stop_place_texts(w: World):
+    """One XML element a stop place."""
     q = w.view("fx_quays")
 
     def flag(c):
@@ -39,13 +60,31 @@ def stop_place_quays(w: World):
         F.col("lat").cast("string"), F.lit("</Latitude></Location></Centroid><AccessibilityAssessment><limitations><AccessibilityLimitation><WheelchairAccess>"), flag("wheelchair"),
         F.lit("</WheelchairAccess><StepFreeAccess>"), flag("step_free"), F.lit("</StepFreeAccess></AccessibilityLimitation></limitations></AccessibilityAssessment>"),
         F.when(F.col("has_lift"), "<equipmentPlaces><EquipmentPlace><placeEquipments><LiftEquipmentRef>x</LiftEquipmentRef></placeEquipments></EquipmentPlace></equipmentPlaces>").otherwise(""), F.lit("</Quay>"))
-    xml = q.withColumn("x", quay).groupBy("station_key", "name").agg(F.concat(
+    return q.withColumn("x", quay).groupBy("station_key", "name").agg(F.concat(
         F.lit("<StopPlace id=\"dhid:"), F.first("station_key"), F.lit(":EdB\"><Name>"), F.first("name"), F.lit("</Name><quays>"), F.array_join(F.collect_list("x"), ""),
         F.lit("<Quay><Name>Bus</Name></Quay></quays></StopPlace>")).alias("xml"))
-    places = xml.select(F.from_xml("xml", feeds.STOP_PLACE).alias("p")).select("p.*")
+
+
+QUAYS_SQL = """
+SELECT station_key, name, public_label, round(lat,6) AS lat, step_free, has_lift FROM {fx_quays}"""
+
+
+@query("stop_place_quays", "O-06", QUAYS_SQL)
+def stop_place_quays(w: World):
+    places = stop_place_texts(w).select(F.from_xml("xml", feeds.STOP_PLACE).alias("p")).select("p.*")
     return feeds.stop_quays(places).select("station_key", "name", "public_label", F.round("lat", 6).alias("lat"), "step_free", "has_lift")
 
 
+@query("stop_place_file_quays", "O-06", QUAYS_SQL)
+def stop_place_file_quays(w: World):
+    path = new_folder(w, "places")
+    # a file is one document with one root, of up to a hundred stop places
+    part = F.floor(F.substring_index("station_key", ":", -1).cast("long") / 100)
+    files = stop_place_texts(w).groupBy(part.alias("part")).agg(F.concat(F.lit("<Delivery>"), F.array_join(F.collect_list("xml"), ""), F.lit("</Delivery>")).alias("xml"))
+    files.select("xml").write.option("maxRecordsPerFile", 1).text(path)
+    return feeds.stop_quays(feeds.read_stop_places(w.spark, path)).select("station_key", "name", "public_label", F.round("lat", 6).alias("lat"), "step_free", "has_lift")
+
+
 @query("quay_overlay", "O-07", """
 WITH q AS (SELECT *, st*10+p AS seq, CASE WHEN p=3 THEN '3' ELSE public_label END AS lbl FROM {fx_quays}), f AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY station_key, lbl ORDER BY seq)=1)
 SELECT station_key, lbl AS public_label, round(avg(lat) OVER (PARTITION BY station_key),6) AS st_lat, step_free, name FROM f""")
@@ -124,6 +163,60 @@ def coach_feeds(w: World):
     return rows.select("train_id", "country", "coach", "ord", F.array_join("sectors", ",").alias("sectors"), "start_m", "end_m")
 
 
+def formation(coaches, coach, head):
+    """One payload a train, its coaches in order."""
+    return coaches.groupBy("train_id").agg(F.sort_array(F.collect_list(coach)).alias("a")).select(F.to_json(head).alias("value"))
+
+
+@query("coach_feeds_numbered", "O-11", """
+SELECT CAST(train_id AS VARCHAR) AS train_id, CASE train_id%3 WHEN 0 THEN 'AT' WHEN 1 THEN 'NL' ELSE 'GB' END AS country,
+  CASE WHEN train_id%3=0 THEN 'W'||CAST(ord AS VARCHAR) WHEN train_id%3=2 THEN CAST(ord AS VARCHAR) WHEN ord%3=0 THEN CAST(n AS VARCHAR) ELSE 'M'||CAST(ord AS VARCHAR) END AS coach,
+  CAST(CASE WHEN ord%2=0 THEN ord+10 ELSE n END AS INT) AS ord, CASE WHEN train_id%3<>2 THEN class WHEN class='A' THEN '1' ELSE '2' END AS class,
+  CASE WHEN train_id%3<>1 AND class='A' THEN 'A' ELSE '' END AS sectors, CASE WHEN train_id%3=0 THEN 'G'||class END AS grp, train_id%3=0 AND train_id%2=0 AS reversed
+FROM (SELECT *, row_number() OVER (PARTITION BY train_id ORDER BY ord) AS n FROM {fx_coaches}) c""")
+def coach_feeds_numbered(w: World):
+    c = w.view("fx_coaches")
+    num, train = F.col("ord").cast("string"), F.col("train_id").cast("string")
+    place, sector = F.when(F.col("ord") % 2 == 0, F.col("ord") + 10), F.when(F.col("class") == "A", "A").otherwise("")
+    at = formation(c.where("train_id % 3 = 0"), F.struct("ord", F.concat(F.lit("W"), num).alias("nummer"), place.alias("reihung"), F.col("class").alias("klasse"),
+                   sector.alias("sektor"), F.concat(F.lit("G"), "class").alias("zugteil")),
+                   F.struct(train.alias("zugnummer"), F.when(F.col("train_id") % 2 == 0, True).alias("reversed"), F.col("a").alias("wagen")))
+    nl = formation(c.where("train_id % 3 = 1"), F.struct("ord", F.when(F.col("ord") % 3 != 0, F.concat(F.lit("M"), num)).alias("materieelnummer"), place.alias("volgorde"), F.col("class").alias("klasse")),
+                   F.struct(train.alias("ritnummer"), F.col("a").alias("materieeldelen")))
+    # `ord` only sorts the list; the GB feed names the place `order`
+    gb = formation(c.where("train_id % 3 = 2"), F.struct("ord", num.alias("coachNumber"), place.alias("order"), F.when(F.col("class") == "A", "First Class").otherwise("Standard").alias("coachClass"),
+                   sector.alias("sector")), F.struct(F.when(F.col("train_id") % 2 == 0, train).alias("trainId"), train.alias("rid"), F.col("a").alias("coaches")))
+    rows = feeds.coaches_from_feed(at, "AT").unionByName(feeds.coaches_from_feed(nl, "NL")).unionByName(feeds.coaches_from_feed(gb, "GB"))
+    return rows.select("train_id", "country", "coach", "ord", "class", F.array_join("sectors", ",").alias("sectors"), "grp", "reversed")
+
+
+@query("actual_formations", "O-11", """
+SELECT CAST(train_id AS VARCHAR) AS train_id, CAST(ord AS VARCHAR) AS coach, ord, CASE class WHEN 'A' THEN '1' WHEN 'R' THEN '2' ELSE 'WR' END AS class, CASE WHEN class='A' THEN 'A' ELSE '' END AS sectors,
+  CASE WHEN ord%2=0 THEN ord*10.5e0 ELSE (ord*5e0)/100*240 END AS start_m, CASE WHEN ord%2=0 THEN ord*10.5e0+len_m ELSE (ord*5e0+4)/100*240 END AS end_m, 'Z'||CAST(train_id AS VARCHAR) AS grp
+FROM {fx_coaches} WHERE NOT (class='N' AND ord%2=0)""")
+def actual_formations(w: World):
+    num, even = F.col("ord").cast("string"), F.col("ord") % 2 == 0
+    kind = F.when(F.col("class") == "A", "REISEZUGWAGENERSTEKLASSE").when(F.col("class") == "R", "REISEZUGWAGENZWEITEKLASSE").when(even, "TRIEBKOPF").otherwise("SPEISEWAGEN")
+    at = F.struct(
+        F.when(even, (F.col("ord") * 10.5).cast("string")).alias("startmeter"), F.when(even, (F.col("ord") * 10.5 + F.col("len_m")).cast("string")).alias("endemeter"),
+        F.when(~even, (F.col("ord") * 5.0).cast("string")).alias("startprozent"), F.when(~even, (F.col("ord") * 5.0 + 4).cast("string")).alias("endeprozent"))
+    coach = F.struct("ord", num.alias("wagenordnungsnummer"), kind.alias("kategorie"), F.when(F.col("class") == "A", "A").otherwise("").alias("fahrzeugsektor"), at.alias("positionamhalt"))
+    ends = [F.struct(F.lit(s).alias("sektorbezeichnung"), F.struct(F.lit(e).alias("endemeter")).alias("positionamgleis")) for s, e in (("A", "100.0"), ("B", "240.0"))]
+    train = F.col("train_id").cast("string")
+    group = F.struct(F.lit("").alias("fahrzeuggruppebezeichnung"), F.concat(F.lit("Z"), train).alias("verkehrlichezugnummer"), F.col("a").alias("allFahrzeug"))
+    head = F.struct(F.struct(F.struct(train.alias("fahrtnummer"), F.array(group).alias("allFahrzeuggruppe"), F.array(*ends).alias("allSektor")).alias("istformation")).alias("data"))
+    rows = feeds.coaches_from_actual(formation(w.view("fx_coaches"), coach, head))
+    return rows.select("train_id", "coach", "ord", "class", F.array_join("sectors", ",").alias("sectors"), "start_m", "end_m", "grp")
+
+
+@query("refreshed_updates", "O-114", """
+SELECT CAST(journey_id AS VARCHAR)||'/0' AS journey_id, CAST(n AS INT) AS change_no, CAST(arr_late AS DOUBLE) AS inbound_s, CAST(CASE WHEN lead(bad_time) OVER q THEN 0 ELSE lead(dep_late) OVER q END AS DOUBLE) AS outbound_s,
+  arr_platform AS arr_track_now, lead(dep_platform) OVER q AS dep_track_now, cancelled OR lead(cancelled) OVER q AS cancelled
+FROM {o_leg} WHERE mode<>'walking' WINDOW q AS (PARTITION BY journey_id ORDER BY leg_no) QUALIFY lead(leg_no) OVER q IS NOT NULL""")
+def refreshed_updates(w: World):
+    return feeds.updates_from_plans(plans(w))
+
+
 @query("poi_load", "O-13", """
 SELECT id, category, subtype, nullif(name,'') AS name, round(lat,6) AS lat, round(lon,6) AS lon FROM {fx_pois} WHERE subtype<>'bench'
 UNION ALL SELECT -w.way_id, 'shop', 'mall', NULL, round(avg(n.lat),6), round(avg(n.lon),6) FROM {fx_ways} w JOIN {fx_way_nodes} wn USING (way_id) JOIN {fx_nodes} n ON n.id=wn.node_id WHERE w.area='yes' GROUP BY w.way_id""")
@@ -138,29 +231,53 @@ def poi_load(w: World):
     return out.select("id", "category", "subtype", "name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
+def result_lines(w: World):
+    """Survey results as text lines; a killed writer tore some."""
+    line = F.to_json(F.struct(F.col("event_id").alias("rid"), F.lit("ok").alias("status"), F.lit(3).alias("pairs"), F.col("value").alias("elapsed_s")))
+    return w.table("events").select(F.when(F.col("event_id") % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 6)).otherwise(line).alias("value"))
+
+
 @query("torn_results", "O-15", "SELECT count(*) FILTER (event_id%7<>0) AS good, count(*) FILTER (event_id%7=0) AS torn FROM {events}")
 def torn_results(w: World):
-    line = F.to_json(F.struct(F.col("event_id").alias("rid"), F.lit("ok").alias("status"), F.lit(3).alias("pairs"), F.col("value").alias("elapsed_s")))
-    lines = w.table("events").select(F.when(F.col("event_id") % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 6)).otherwise(line).alias("value"))
-    return feeds.parse_results(lines).agg(F.count_if(~F.col("torn")).alias("good"), F.count_if("torn").alias("torn"))
+    return feeds.parse_results(result_lines(w)).agg(F.count_if(~F.col("torn")).alias("good"), F.count_if("torn").alias("torn"))
+
+
+@query("result_files", "O-15", """
+SELECT CASE WHEN event_id%7=0 THEN 'torn' ELSE 'good' END AS part, count(*) AS n FROM {events} GROUP BY 1""")
+def result_files(w: World):
+    path = new_folder(w, "results")
+    result_lines(w).write.text(path)
+    good, torn = feeds.read_results(w.spark, path)
+    parts = good.select(F.lit("good").alias("part")).unionByName(torn.select(F.lit("torn").alias("part")))
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("atomic_rebuild", "O-16", "SELECT node_id, ref FROM (SELECT id AS node_id, ref FROM {fx_nodes} WHERE (railway='stop' OR public_transport='stop_position') AND ref<>'' AND NOT (bus='yes' AND railway<>'stop')) t")
 def atomic_rebuild(w: World):
-    import uuid
-
     from footbridge.operators.ways import station_stops
-    from footbridge.session import scratch_dir
 
-    path = f"{scratch_dir(w.spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(w, "table")
     feeds.rebuild(station_stops(w.nodes).where("false"), path)
     feeds.rebuild(station_stops(w.nodes), path)
     return feeds.current(w.spark, path).select("node_id", "ref")
 
 
-@query("overlay_documents", "O-17", """
-SELECT station, string_agg(track, ',' ORDER BY length(track), track) AS tracks FROM {fx_overlay} GROUP BY station""")
-def overlay_documents(w: World):
-    docs = feeds.overlay_documents(w.view("fx_overlay"))
+OVERLAY_SQL = """
+SELECT station, string_agg(track, ',' ORDER BY length(track), track) AS tracks FROM {fx_overlay} GROUP BY station"""
+
+
+def tracks_of(docs):
     tracks = F.from_json("document", "struct<platforms:array<struct<track:string>>>")["platforms"]
     return docs.select("station", F.array_join(F.transform(tracks, lambda t: t["track"]), ",").alias("tracks"))
+
+
+@query("overlay_documents", "O-17", OVERLAY_SQL)
+def overlay_documents(w: World):
+    return tracks_of(feeds.overlay_documents(w.view("fx_overlay")))
+
+
+@query("overlay_files", "O-17", OVERLAY_SQL)
+def overlay_files(w: World):
+    path = new_folder(w, "overlay")
+    feeds.write_overlay(w.view("fx_overlay"), path)
+    return tracks_of(w.spark.read.schema("station string, document string").json(path))

@@ -143,6 +143,20 @@ def kind_labels(w: World):
     return way_ops.label_kinds(w.ways)
 
 
+@query("node_kinds", "O-22", "SELECT id AS node_id, CASE WHEN highway='elevator' THEN 'elevator' ELSE 'vertical' END AS kind FROM {fx_nodes}")
+def node_kinds(w: World):
+    return way_ops.label_node_kinds(w.nodes)
+
+
+@query("member_reload", "O-02", """
+SELECT * FROM {fx_members} WHERE relation_id NOT IN (SELECT id FROM {fx_relations} WHERE country='CH')
+UNION ALL SELECT m.relation_id, m.sequence, m.member_type, m.member_ref, 'again' FROM {fx_members} m JOIN {fx_relations} r ON r.id=m.relation_id WHERE r.country='CH' AND m.member_type='W'""")
+def member_reload(w: World):
+    again = w.relations.where(tg.tag("tags", "country") == "CH").select(F.col("id").alias("relation_id"))
+    incoming = w.members.where("member_type = 'W'").join(again, "relation_id", "left_semi").withColumn("member_role", F.lit("again"))
+    return elements.replace_members(w.members, incoming)
+
+
 @query("station_name_lookup", "O-23", """
 SELECT id AS relation_id, name FROM {fx_relations} WHERE public_transport IN ('stop_area','stop_area_group')
 AND name IN (SELECT 'Halt '||CAST(n_nationkey AS STRING) FROM {nation})""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from footbridge import model as M
 from footbridge.functions import tags as tg
 from footbridge.operators import graph, heights, linkage, platforms, walks
 from footbridge.plans.graph_queries import all_pairs, stations
@@ -81,9 +82,23 @@ def level_transitions(w: World):
     return moves(w).select("path_id", "seq", F.col("at").alias("change_at"), "kind", F.round("from_z", 2).alias("from_z"), F.round("to_z", 2).alias("to_z"))
 
 
-@query("attributed_transitions", "O-97")
+# plane coordinates of a segment's ends as seen from a point, where on it the nearest spot lies, and the squared distance
+ENDS = ", ".join(f'({s}.lon-{{p}}.lon)*111320e0*cos(radians({{p}}.lat)) AS {s}x, ({s}.lat-{{p}}.lat)*111320e0 AS "{s}y"' for s in "ab")
+CLAMP = 'CASE WHEN bx=ax AND "by"=ay THEN 0e0 ELSE greatest(0e0, least(1e0, -(ax*(bx-ax)+ay*("by"-ay))/(pow(bx-ax,2)+pow("by"-ay,2)))) END AS t'
+DIST2 = 'pow(ax+t*(bx-ax),2)+pow(ay+t*("by"-ay),2)'
+
+
+@query("attributed_transitions", "O-97", f"""
+WITH o AS (SELECT t.path_id, t.seq, t.node_id, least(from_z,to_z) AS zl, greatest(from_z,to_z) AS zh, n.lat, n.lon, n.st FROM {{o_trans}} t JOIN {{fx_nodes}} n ON n.id=t.node_id WHERE t.change_at='node' AND t.kind='vertical'),
+l AS (SELECT k.way_id, k.kind, w.st, 4*w.l0 AS lo, 4*w.l1 AS hi FROM {{o_kind}} k JOIN {{o_way}} w USING (way_id) WHERE k.kind IN ('escalator','stairs','elevator')),
+c AS (SELECT o.path_id, o.seq, o.node_id, o.zl, o.zh, l.way_id, l.kind, l.lo, l.hi, {ENDS.format(p='o')} FROM o JOIN l ON l.st=o.st JOIN {{o_seg2}} s ON s.way_id=l.way_id AND s.b IS NOT NULL JOIN {{fx_nodes}} a ON a.id=s.a JOIN {{fx_nodes}} b ON b.id=s.b),
+d AS (SELECT path_id, seq, node_id, zl, zh, way_id, kind, lo, hi, min({DIST2}) AS d2 FROM (SELECT *, {CLAMP} FROM c) c2 GROUP BY path_id, seq, node_id, zl, zh, way_id, kind, lo, hi),
+e AS (SELECT d.*, lo<=zl+0.6 AND hi>=zh-0.6 AS spans, x.node_id IS NOT NULL AND hi>=zl-0.6 AND lo<=zh+0.6 AS laps FROM d LEFT JOIN (SELECT DISTINCT way_id, node_id FROM {{fx_way_nodes}}) x ON x.way_id=d.way_id AND x.node_id=d.node_id),
+g AS (SELECT *, (spans OR laps) AND d2<=64 AS close FROM e),
+f AS (SELECT path_id, seq, kind FROM g WHERE close OR (spans AND d2<=144) QUALIFY row_number() OVER (PARTITION BY path_id, seq ORDER BY close DESC, d2, CASE kind WHEN 'escalator' THEN 0 WHEN 'stairs' THEN 1 ELSE 2 END)=1)
+SELECT t.path_id, t.seq, t.change_at, CASE WHEN t.change_at='node' AND t.kind='vertical' THEN coalesce(f.kind,t.kind) ELSE t.kind END AS kind FROM {{o_trans}} t LEFT JOIN f ON f.path_id=t.path_id AND f.seq=t.seq""")
 def attributed_transitions(w: World):
-    return heights.attribute_transitions(cut(moves(w)), w.ways, w.nodes).select("path_id", "seq", "at", "kind")
+    return heights.attribute_transitions(cut(moves(w)), w.ways, w.nodes).select("path_id", "seq", F.col("at").alias("change_at"), "kind")
 
 
 @query("platform_floor_vote", "O-98", """
@@ -129,13 +144,21 @@ def pois_along_path(w: World):
     return heights.pois_near_path(w.view("fx_pois"), path_points(w), 40.0)
 
 
-@query("path_landmarks", "O-102")
+DENIED = ",".join(f"'{x}'" for x in M.LANDMARK_DENIED)
+
+
+@query("path_landmarks", "O-102", f"""
+WITH s AS (SELECT h.path_id, a.lat AS a_lat, a.lon AS a_lon, b.lat AS b_lat, b.lon AS b_lon, round(h.za/4) AS floor_no FROM {{o_hz}} h JOIN {{fx_nodes}} a ON a.id=h.a JOIN {{fx_nodes}} b ON b.id=h.b),
+p AS (SELECT id, st, name, lat, lon, CAST(CASE level WHEN '' THEN '0' ELSE level END AS DOUBLE) AS lv FROM {{fx_pois}} WHERE name<>'' AND subtype NOT IN ({DENIED})),
+c AS (SELECT s.path_id, p.id, p.name, {ENDS.replace('a.', 's.a_').replace('b.', 's.b_').replace('{p}.', 'p.')} FROM s JOIN p ON p.st=s.path_id AND p.lv=s.floor_no),
+r AS (SELECT path_id, id, name, sqrt(min({DIST2})) AS d FROM (SELECT *, {CLAMP} FROM c) c2 GROUP BY path_id, id, name),
+u AS (SELECT * FROM r WHERE d<=15 QUALIFY row_number() OVER (PARTITION BY path_id, lower(trim(name)) ORDER BY d, id)=1)
+SELECT path_id, name, round(d,2) AS dist_m, rank FROM (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY d, id) AS rank FROM u) v WHERE rank<=10""")
 def path_landmarks(w: World):
-    pts = path_points(w)
-    steps = heights.path_steps(w.view("fx_path"))
+    z = heights.hop_heights(hops(w), cut(heights.node_heights(w.ways, w.nodes)))
     at = w.nodes.select(F.col("id").alias("n"), "lat", "lon")
-    floor = F.when(F.col("seq") < 29, F.lit(0.0)).otherwise(F.lit(1.0))
-    segs = steps.join(at.selectExpr("n as a", "lat as a_lat", "lon as a_lon"), "a").join(
+    floor = F.round(F.col("za") / M.FLOOR_HEIGHT_M)
+    segs = z.join(at.selectExpr("n as a", "lat as a_lat", "lon as a_lon"), "a").join(
         at.selectExpr("n as b", "lat as b_lat", "lon as b_lon"), "b").withColumn("level", floor)
     pois = w.view("fx_pois").withColumn("level", F.element_at(tg.parse_levels(F.col("level")), 1))
     return heights.landmarks(pois, segs).select("path_id", "name", F.round("dist_m", 2).alias("dist_m"), "rank")
