@@ -256,9 +256,10 @@ def landmarks(pois: DataFrame, segments: DataFrame) -> DataFrame:
     return per_name.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= M.LANDMARK_LIMIT)
 
 
-def walked_connectors(ways: DataFrame, path_ways: DataFrame) -> DataFrame:
-    """Stairs, escalators, lifts and ramps, flagged when a path (``path_id, way_id``) uses them."""
+def walked_connectors(ways: DataFrame, path_ways: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stairs, escalators, lifts and ramps that a path uses: its ways (``path_id, way_id``) and those of its transitions."""
     kind = tg.way_kind("tags", tg.parse_levels(tg.tag("tags", "level")))
     connectors = ways.select(F.col("id").alias("way_id"), kind.alias("kind")).where(
         F.col("kind").isin("stairs", "escalator", "elevator", "ramp"))
-    return path_ways.select("path_id", "way_id").distinct().join(connectors, "way_id")
+    used = path_ways.select("path_id", "way_id").unionByName(changes.where("way_id is not null").select("path_id", "way_id"))
+    return used.distinct().join(connectors, "way_id")

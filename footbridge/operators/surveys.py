@@ -107,11 +107,6 @@ def sweep_report(results: DataFrame) -> DataFrame:
         f"{c}_pct": F.round(100.0 * F.col(c) / F.nullif(F.col("pairs"), F.lit(0)), 1) for c in ("connected", "stitchable", "island")})
 
 
-def slowest_stations(results: DataFrame, n: int = 5) -> DataFrame:
-    return results.where("status = 'ok'").orderBy(F.desc("elapsed_s"), F.desc("relation_id")).limit(n).select(
-        "relation_id", "elapsed_s")
-
-
 # ---- facilities ---------------------------------------------------------------------
 
 def canonical_category(category):

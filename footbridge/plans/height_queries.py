@@ -165,9 +165,9 @@ def path_landmarks(w: World):
 
 
 @query("walked_connectors", "O-103", """
-SELECT p.path_id, p.way_id, k.kind FROM {fx_path_way} p JOIN {o_kind} k USING (way_id) WHERE k.kind IN ('stairs','escalator','elevator','ramp')""")
+SELECT p.path_id, p.way_id, k.kind FROM (SELECT path_id, way_id FROM {fx_path_way} UNION SELECT path_id, way_id FROM {o_hz} WHERE way_id IS NOT NULL AND abs(za-zb)>0.01) p JOIN {o_kind} k USING (way_id) WHERE k.kind IN ('stairs','escalator','elevator','ramp')""")
 def walked_connectors(w: World):
-    return heights.walked_connectors(w.ways, w.view("fx_path_way"))
+    return heights.walked_connectors(w.ways, w.view("fx_path_way"), moves(w))
 
 
 # ---- paths and cross-checks -----------------------------------------------------------
