@@ -215,7 +215,7 @@ def way_hops(w: World):
     kept = w.ways.where(tg.is_walkable("tags"))
     starts = w.view("plat").where("p = 0").select(F.col("st").alias("search"), (F.col("st") * 1000).alias("way_id"))
     goals = kept.where("id % 1000 < 20").select(F.floor(F.col("id") / 1000).alias("search"), F.col("id").alias("way_id"))
-    return walks.way_hops(kept, starts, goals, 6)
+    return walks.way_hops(kept, starts, goals)
 
 
 @query("way_breakdown", "O-63", """
