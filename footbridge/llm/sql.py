@@ -111,3 +111,16 @@ select page_id, j.host, path, rule, coalesce(ruling, case when distrust>trust th
 
 
 URL_TRUST = _trust()
+
+INFILL = r"""
+with d as (select doc_id, coalesce(text,'') t, sha256('7:'||coalesce(cast(doc_id as varchar),'')) h from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') u, cast('0x'||substr(h,1,8) as bigint) h1, cast('0x'||substr(h,9,8) as bigint) h2,
+  cast('0x'||substr(h,17,8) as bigint) h3, cast('0x'||substr(h,25,8) as bigint) h4 from d),
+c as (select *, len(u) n, least(h1%(len(u)+1), h2%(len(u)+1)) a, greatest(h1%(len(u)+1), h2%(len(u)+1)) b,
+  case when t='' or contains(t,'<P>') or contains(t,'<S>') or contains(t,'<M>') or h3%100>=100 then 'plain' when h4%100<50 then 'spm' else 'psm' end form from u),
+p as (select *, coalesce(array_to_string(u[1:a],''),'') pre, coalesce(array_to_string(u[a+1:b],''),'') mid, coalesce(array_to_string(u[b+1:],''),'') suf from c)
+select doc_id, n::bigint n, form, case when form<>'plain' then length(pre)::bigint end prefix_chars, case when form<>'plain' then length(mid)::bigint end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>'||pre||'<S>'||suf||'<M>'||mid else '<S>'||suf||'<P>'||pre||'<M>'||mid end) output_sha256,
+  sha256(t) restored_sha256
+from p
+"""
