@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footbridge.llm import bpe_index, cover_tree, infill, lang_evidence, markov_secrets, mixing, quality_rules, rff_quality, simhash_bk, simple8b, url_trust
+from footbridge.llm import bpe_index, cover_tree, infill, lang_evidence, markov_secrets, mixing, quality_rules, rff_quality, simhash_bk, simple8b, talk_repair, url_trust
 from footbridge.llm.registry import query, table
-from footbridge.llm.sql import INFILL, MIXING, QUALITY_RULES, RULES, TOP_K, URL_TRUST
+from footbridge.llm.sql import INFILL, MIXING, QUALITY_RULES, RULES, TALK_REPAIR, TOP_K, URL_TRUST
 
 
 def tokenizer(name: str) -> str:
@@ -81,3 +81,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infill.transform(table(spark, sf_dir, "documents"))
     back = infill.restored(F.col("form"), F.col("output"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query("op12_talk_repair", TALK_REPAIR)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return talk_repair.repair(table(spark, sf_dir, "conversations"))

@@ -124,3 +124,60 @@ select doc_id, n::bigint n, form, case when form<>'plain' then length(pre)::bigi
   sha256(t) restored_sha256
 from p
 """
+
+
+# CRC-32 of an ASCII string, byte by byte
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, j: case when c&1=1 then xor(c>>1, 3988292384) else c>>1 end))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c>>8, t[(xor(c, b)&255)+1])), 4294967295)"
+
+_MUCH = 1000000  # what an edit costs that may not be
+_NEVER = f"{{'c': {_MUCH}::bigint, 'a': '', 'x': []::varchar[]}}"
+
+
+def _path(source: str, cost: str, letter: str, line: str = "") -> str:
+    """A path (cost, audit, lines) with one edit more, and with the line that it writes."""
+    return f"{{'c': {source}.c+({cost}), 'a': {source}.a||'{letter}', 'x': " + (f"list_append({source}.x, {line})}}" if line else f"{source}.x}}")
+
+
+def _least(*paths: str) -> str:
+    return f"list_min([{', '.join(paths)}])"
+
+
+def _written(source: str, initial: str, role: str) -> list[str]:
+    """The row kept, if its initial is this one, or given a role."""
+    keep = _path(source, f"extra+case when ini='{initial}' then 0 else {_MUCH} end", "K", "role||':'||text")
+    return [keep] + [_path(source, "2+extra", "R", f"'{role}:'||text")] * bool(role)
+
+
+def _inserted(columns: str, source: str) -> str:
+    """States s0 to s3 after up to two inserts behind paths p0 to p3: nothing yet, s, u and a written last."""
+    user = _least("p2", *[_path(p, "2", "I", "'user:'") for p in ("p0", "p1", "p3")])
+    return f"select {columns}, p0 s0, p1 s1, i2 s2, {_least('p3', _path('i2', '2', 'I', "'assistant:'"))} s3 from (select *, {user} i2 from ({source}))"
+
+
+_PASSED = ", ".join(
+    f"{_least(_path(f's{to}', '3', 'D'), *options)} p{to}"
+    for to, options in enumerate(([], _written("s0", "s", ""), [x for q in ("s0", "s1", "s3") for x in _written(q, "u", "user")], _written("s2", "a", "assistant")))
+)
+TALK_REPAIR = rf"""
+with recursive crc as (select {_CRC_TABLE} t),
+d as (select conv_id, turn, coalesce(role,' ') role, coalesce(text,' ') text, {_CRC.format("coalesce(conv_id::varchar,' ')||':'||coalesce(turn::varchar,' ')")}%20 k from conversations, crc),
+e as (select conv_id, turn, case when k=4 then 'user' else role end role, case k when 1 then '' when 2 then regexp_replace(text,'[.!?]','','g') else text end text
+  from (select *, unnest(case when k=3 then [0,1] else [0] end) from d where k<>0)),
+f as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) rn, rtrim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) body, left(role,1) ini from e),
+g as (select *, case when body='' then 'b' when row_number() over (partition by conv_id, role, text order by rn)>1 then 'd' when right(body,1) not in ('.','!','?') then 't' else '' end fault,
+  lag(ini) over (partition by conv_id order by rn) before from f),
+h as (select *, case fault when 't' then 1 when '' then 0 else {_MUCH} end extra from g),
+step as (
+  select * from ({_inserted("conv_id, rn", f"select conv_id, 0::bigint rn, {{'c': 0::bigint, 'a': '', 'x': []::varchar[]}} p0, {_NEVER} p1, {_NEVER} p2, {_NEVER} p3 from (select distinct conv_id from e)")})
+  union all
+  select * from ({_inserted("conv_id, rn", f"select h.conv_id, h.rn, {_PASSED} from step join h on h.conv_id is not distinct from step.conv_id and h.rn=step.rn+1")})),
+best as (select conv_id, rn, {_least("s0", "s3")} r from step),
+last as (select conv_id, max(rn) rn from step group by 1),
+n as (select conv_id, coalesce(max(turn)-min(turn)+1-count(distinct turn),0) gaps, count(*) filter (fault='b') blank, count(*) filter (fault='d') duplicate, count(*) filter (fault='t') truncated,
+  count(*) filter (rn>1 and before||ini not in ('su','ua','au')) illegal from h group by 1)
+select c.conv_id, coalesce(gaps,0)::bigint gaps, coalesce(blank,0) blank, coalesce(duplicate,0) duplicate, coalesce(truncated,0) truncated, coalesce(illegal,0) illegal,
+  coalesce(r.c,0)::bigint as cost, coalesce(r.a,'') as audit, sha256(coalesce(array_to_string(r.x, chr(10)),'')) repaired_sha256
+from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id
+left join (select best.* from best join last on best.conv_id is not distinct from last.conv_id and best.rn=last.rn) b on b.conv_id is not distinct from c.conv_id
+"""
