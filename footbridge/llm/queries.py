@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footbridge.llm import bpe_index, cover_tree, infill, lang_evidence, markov_secrets, mixing, quality_rules, rff_quality, simhash_bk, simple8b, talk_repair, url_trust
+from footbridge.llm import bpe_index, cover_tree, gru_lm, infill, lang_evidence, markov_secrets, mixing, quality_rules, rff_quality, simhash_bk, simple8b, talk_repair, url_trust
 from footbridge.llm.registry import query, table
 from footbridge.llm.sql import INFILL, MIXING, QUALITY_RULES, RULES, TALK_REPAIR, TOP_K, URL_TRUST
 
@@ -86,3 +86,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_talk_repair", TALK_REPAIR)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_lm_scores")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
