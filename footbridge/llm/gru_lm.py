@@ -2,8 +2,8 @@
 
 The vocabulary is the ``VOCABULARY`` most frequent training tokens and one place for all others. Each has its own input
 to the three gates. The output softmax is factored: first the class, a run of words of similar frequency, then the word
-in its class. The classes' and words' biases start at the logarithms of their counts, so the untrained network is a
-unigram model.
+in its class; the common place is a class of its own. The biases start at the logarithms of counts, so the untrained
+network is a unigram model.
 
 Training goes over all training documents. They are dealt into rounds by a hash of their text; in a round every task
 trains a copy of the model on its documents by truncated backpropagation (the state is carried from window to window,
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from footbridge.llm.bpe_index import slices
@@ -39,14 +39,13 @@ from footbridge.llm.columns import pruned
 from footbridge.session import cut, materialise
 
 SEED = 11
-VOCABULARY = 2048  # words of the network, the common place for others among them
-CLASSES = 32
+VOCABULARY = 2048  # words of the network
+CLASSES = 32  # of these words; one more holds the common place
 HIDDEN = 16
-COUNTED = 65536  # words whose counts every task holds
+COUNTED = 262144  # words whose counts every task holds
 FLUSH = 500_000  # different words a task counts before it hands them on
-WINDOW = 24  # tokens a gradient goes back
-LANES = 256  # documents side by side while training
-SCORE_LANES = 512
+WINDOW = 16  # tokens a gradient goes back
+LANES = 500  # documents side by side; rows of a power of two would share places in the processor's cache
 STEP = 1024  # tokens a step of the training needs
 RATE = 0.01
 ROUNDS = 2  # times that copies are averaged in the one pass over the training documents
@@ -65,157 +64,190 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 class Model:
-    """The network's parameters, of words numbered by frequency; the last number is the common place."""
+    """The network's parameters. Words are numbered by frequency, ``members`` a class; then comes the common place."""
 
     def __init__(self, weights: np.ndarray, words: int, hidden: int, classes: int):
         self.words, self.hidden, self.classes = words, hidden, classes
         self.members = -(-words // classes)
+        self.common = classes * self.members
+        self.start = self.common + 1  # stands before a document's first token
         self.weights, at = weights, 0
         for name, shape in shapes(words, hidden, classes).items():
             n = int(np.prod(shape))
             setattr(self, name, weights[at : at + n].reshape(shape))
             at += n
 
-    def copy(self) -> Model:
-        return Model(self.weights.copy(), self.words, self.hidden, self.classes)
+    def like(self, weights: np.ndarray) -> Model:
+        return Model(weights, self.words, self.hidden, self.classes)
 
 
 def shapes(words: int, hidden: int, classes: int) -> dict[str, tuple[int, ...]]:
-    """Input to the gates (update, reset, candidate) of each word, and of a document's start; the state's part; outputs."""
+    """Input to the gates (update, reset, candidate) of each token; the state's part; outputs, whose last column is the
+    bias."""
     members = -(-words // classes)
-    return {
-        "x": (words + 1, 3 * hidden), "u": (hidden, 2 * hidden), "uc": (hidden, hidden),
-        "wc": (hidden, classes), "bc": (classes,), "wm": (classes, hidden, members), "bm": (classes, members),
-    }
+    return {"x": (classes * members + 2, 3 * hidden), "u": (3 * hidden, hidden), "wc": (classes + 1, hidden + 1), "wm": (classes, members, hidden + 1)}
 
 
-def untrained(counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = SEED) -> Model:
-    """A unigram model of words with these counts."""
-    words = len(counts)
+def untrained(counts: np.ndarray, other: int, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = SEED) -> Model:
+    """A unigram model of words with these counts and of all others, which occur ``other`` times."""
+    words = max(1, len(counts))
     classes = min(classes, words)
-    sizes = {k: int(np.prod(s)) for k, s in shapes(words, hidden, classes).items()}
-    model = Model(np.zeros(sum(sizes.values()), dtype=np.float32), words, hidden, classes)
+    size = sum(int(np.prod(s)) for s in shapes(words, hidden, classes).values())
+    model = Model(np.zeros(size, dtype=np.float32), words, hidden, classes)
     rng = np.random.default_rng(seed)
-    for name in ("x", "u", "uc", "wc", "wm"):
-        part = getattr(model, name)
-        part[...] = rng.normal(0, 0.3 if name == "x" else 1 / np.sqrt(hidden) if name in ("u", "uc") else 0.05, part.shape)
-    share = np.zeros(classes * model.members)
-    share[:words] = np.log(np.maximum(counts, 0.5))
-    share[words:] = -60  # places without a word stay impossible
-    member = share.reshape(classes, model.members)
-    whole = np.logaddexp.reduce(member, axis=1)
-    model.bc[...] = whole - np.logaddexp.reduce(whole)
-    model.bm[...] = member - whole[:, None]
+    for part, spread in ((model.x, 0.3), (model.u, 1 / np.sqrt(hidden)), (model.wc, 0.05), (model.wm, 0.05)):
+        part[...] = rng.normal(0, spread, part.shape)
+    share = np.full(model.common, -60.0)  # places without a word stay impossible
+    share[: len(counts)] = np.log(counts)
+    share = share.reshape(classes, model.members)
+    whole = np.logaddexp.reduce(share, axis=1)
+    model.wm[:, :, -1] = share - whole[:, None]
+    whole = np.r_[whole, np.log(max(other, 0.5))]
+    model.wc[:, -1] = whole - np.logaddexp.reduce(whole)
     return model
 
 
-def forward(model: Model, before: np.ndarray, starts: np.ndarray, state: np.ndarray, kept: list | None = None) -> np.ndarray:
-    """States (steps, lanes, hidden) after each step from the tokens before it; a lane's state is new where it starts."""
-    h_size = model.hidden
-    states = np.empty((*before.shape, h_size), dtype=np.float32)
-    begins = starts.any(axis=1)
-    for t in range(len(before)):
-        if begins[t]:
-            state = np.where(starts[t][:, None], np.float32(0), state)
-        x = model.x[before[t]]
-        gates = state @ model.u
-        gates += x[:, : 2 * h_size]
-        gates *= np.float32(0.5)
-        np.tanh(gates, out=gates)  # the logistic function by tanh
-        gates += 1
-        gates *= np.float32(0.5)
-        z, r = gates[:, :h_size], gates[:, h_size:]
-        c = (r * state) @ model.uc
-        c += x[:, 2 * h_size :]
-        np.tanh(c, out=c)
-        if kept is not None:
-            kept.append((state, z, r, c))
-        state = np.add(state, z * (c - state), out=states[t])
-    return states
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
-
-
-def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One entry of each row's log softmax."""
-    x -= x.max(axis=1, keepdims=True)
-    found = x[np.arange(len(at)), at]
-    return found - np.log(np.exp(x, out=x).sum(axis=1))
+def by_number(x: np.ndarray) -> np.ndarray:
+    """(steps, numbers, lanes) as (numbers, tokens)."""
+    return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+
+
+class Pass:
+    """States of lanes over a window. All arrays are (steps, numbers, lanes).
+
+    ``before`` are the tokens before each step; a lane's state is new where it starts. The last row of ``states`` is one,
+    for biases. With ``keep`` the values that the gradient needs stay."""
+
+    def __init__(self, model: Model, before: np.ndarray, starts: np.ndarray, state: np.ndarray, keep: bool = False):
+        h, kind = model.hidden, model.weights.dtype
+        steps, lanes = before.shape
+        inputs = np.ascontiguousarray(model.x[before].transpose(0, 2, 1))
+        self.states = np.ones((steps, h + 1, lanes), dtype=kind)
+        if keep:
+            self.old, self.all, self.fresh = (np.empty((steps, n, lanes), dtype=kind) for n in (h, 3 * h, h))
+        spare, begins = np.empty((3 * h, lanes), dtype=kind), starts.any(axis=1)
+        for t in range(steps):
+            if begins[t]:
+                state = state * ~starts[t]
+            all_ = np.matmul(model.u, state, out=self.all[t] if keep else spare)
+            gates = all_[: 2 * h]
+            gates += inputs[t, : 2 * h]
+            gates *= 0.5
+            np.tanh(gates, out=gates)  # the logistic function by tanh
+            gates += 1
+            gates *= 0.5
+            c = gates[h:] * all_[2 * h :]
+            c += inputs[t, 2 * h :]
+            np.tanh(c, out=c)
+            if keep:
+                self.old[t], self.fresh[t] = state, c
+            c -= state
+            c *= gates[:h]
+            state = np.add(c, state, out=self.states[t, :h])
+
+    def last(self) -> np.ndarray:
+        return self.states[-1, :-1]
 
 
 def by_class(model: Model, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of tokens by class, and of each class that occurs the range in that order."""
+    """An order of tokens by class, and of each class of words that occurs the range in that order."""
     own = targets // model.members
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(own.astype(np.int16), kind="stable")
     n = np.bincount(own, minlength=model.classes)
     ends = np.cumsum(n)
-    return order, [(k, int(ends[k] - n[k]), int(ends[k])) for k in np.flatnonzero(n)]
+    return order, [(k, int(ends[k] - n[k]), int(ends[k])) for k in np.flatnonzero(n[: model.classes])]
+
+
+def steep(model: Model) -> bool:
+    """Whether an output's exponential might overflow; states lie between -1 and 1."""
+    return bool(max(np.abs(model.wc).sum(axis=-1).max(), np.abs(model.wm).sum(axis=-1).max()) > 70)
+
+
+def log_share(x: np.ndarray, at: np.ndarray, lower: bool) -> np.ndarray:
+    """One entry of each column's log softmax."""
+    if lower:
+        x -= x.max(axis=0)
+    found = x[at, np.arange(len(at))]
+    return found - np.log(np.exp(x, out=x).sum(axis=0))
 
 
 def log_probabilities(model: Model, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the targets' probabilities, for states (tokens, hidden)."""
-    order, ranges = by_class(model, targets)
-    states, targets = states[order], targets[order]
-    found = log_share(states @ model.wc + model.bc, targets // model.members)
+    """Natural logarithms of the targets' probabilities, for states (hidden + 1, tokens)."""
+    (order, ranges), lower = by_class(model, targets), steep(model)
+    states, targets = states.take(order, axis=1), targets[order]
+    found = log_share(model.wc @ states, targets // model.members, lower)
     for k, a, b in ranges:
-        found[a:b] += log_share(states[a:b] @ model.wm[k] + model.bm[k], targets[a:b] % model.members)
+        found[a:b] += log_share(model.wm[k] @ states[:, a:b], targets[a:b] % model.members, lower)
     out = np.empty(len(targets))
     out[order] = found
     return out
 
 
+def softmax_gradient(weights: np.ndarray, states: np.ndarray, at: np.ndarray, d_weights: np.ndarray, lower: bool) -> tuple[np.ndarray, float]:
+    """The gradient of the loss of entries ``at`` by the states, and by the weights in ``d_weights``; and the loss."""
+    x, columns = weights @ states, np.arange(len(at))
+    if lower:
+        x -= x.max(axis=0)
+    loss = -float(x[at, columns].sum())
+    np.exp(x, out=x)
+    whole = x.sum(axis=0)
+    loss += float(np.log(whole).sum())
+    x /= whole
+    x[at, columns] -= 1
+    np.matmul(x, states.T, out=d_weights)
+    return weights.T @ x, loss
+
+
 def gradients(model: Model, before: np.ndarray, starts: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Gradient of the summed loss over live tokens (steps, lanes), the last state, and the summed loss."""
-    kept: list = []
-    states = forward(model, before, starts, state, kept)
-    grad = Model(np.zeros_like(model.weights), model.words, model.hidden, model.classes)
-    flat, at = states[live], targets[live]
+    run, h, lower = Pass(model, before, starts, state, keep=True), model.hidden, steep(model)
+    grad, begins = model.like(np.zeros_like(model.weights)), starts.any(axis=1)
+    place = np.flatnonzero(live)
+    at = targets.ravel()[place]
     order, ranges = by_class(model, at)
-    flat, at = flat[order], at[order]
-    log_class = log_softmax(flat @ model.wc + model.bc)
-    rows, own = np.arange(len(at)), at // model.members
-    loss = -float(log_class[rows, own].sum())
-    d = np.exp(log_class)
-    d[rows, own] -= 1
-    grad.wc[...], grad.bc[...] = flat.T @ d, d.sum(axis=0)
-    d_flat = d @ model.wc.T
+    place, at = place[order], at[order]
+    flat = by_number(run.states).take(place, axis=1)
+    d_flat, loss = softmax_gradient(model.wc, flat, at // model.members, grad.wc, lower)
     for k, a, b in ranges:
-        log_member = log_softmax(flat[a:b] @ model.wm[k] + model.bm[k])
-        place = np.arange(b - a), at[a:b] % model.members
-        loss -= float(log_member[place].sum())
-        d = np.exp(log_member)
-        d[place] -= 1
-        grad.wm[k], grad.bm[k] = flat[a:b].T @ d, d.sum(axis=0)
-        d_flat[a:b] += d @ model.wm[k].T
-    back = np.empty_like(d_flat)
-    back[order] = d_flat
-    d_states = np.zeros_like(states)
-    d_states[live] = back
-    d_inputs = np.empty((*before.shape, 3 * model.hidden), dtype=np.float32)
-    carried, h_size = np.zeros_like(state), model.hidden
+        d, more = softmax_gradient(model.wm[k], flat[:, a:b], at[a:b] % model.members, grad.wm[k], lower)
+        d_flat[:, a:b] += d
+        loss += more
+    d_states = np.zeros((h, before.size), dtype=flat.dtype)
+    d_states[:, place] = d_flat[:h]
+    d_states = np.ascontiguousarray(d_states.reshape(h, *before.shape).transpose(1, 0, 2))
+    # what the state after a step does to the gates, for all steps at once
+    z, r, inner = run.all[:, :h], run.all[:, h : 2 * h], run.all[:, 2 * h :]
+    to_z = run.fresh - run.old
+    to_z *= z
+    keep = 1 - z
+    to_z *= keep
+    to_c = run.fresh * run.fresh
+    np.subtract(1, to_c, out=to_c)
+    to_c *= z
+    to_r = 1 - r
+    to_r *= r
+    to_r *= inner
+    # of the gates' inputs, and of what the state adds to them
+    d_inputs, d_added = np.empty_like(run.all), np.empty_like(run.all)
+    carried, back = np.zeros_like(run.old[0]), np.ascontiguousarray(model.u.T)
     for t in range(len(before) - 1, -1, -1):
-        old, z, r, c = kept[t]
-        dh = d_states[t] + carried
-        dc = dh * z * (1 - c * c)
-        d_reset = dc @ model.uc.T
-        dz = dh * (c - old) * z * (1 - z)
-        dr = d_reset * old * r * (1 - r)
-        gates = np.concatenate([dz, dr], axis=1)
-        d_inputs[t, :, : 2 * h_size], d_inputs[t, :, 2 * h_size :] = gates, dc
-        grad.u += old.T @ gates
-        grad.uc += (r * old).T @ dc
-        carried = dh * (1 - z) + d_reset * r + gates @ model.u.T
-        carried[starts[t]] = 0
+        dh, d, added = d_states[t], d_inputs[t], d_added[t]
+        dh += carried
+        np.multiply(dh, to_z[t], out=d[:h])
+        dc = np.multiply(dh, to_c[t], out=d[2 * h :])
+        np.multiply(dc, to_r[t], out=d[h : 2 * h])
+        added[: 2 * h] = d[: 2 * h]
+        np.multiply(dc, r[t], out=added[2 * h :])
+        np.matmul(back, added, out=carried)
+        dh *= keep[t]
+        carried += dh
+        if begins[t]:
+            carried *= ~starts[t]
+    grad.u[...] = by_number(d_added) @ by_number(run.old).T
     which = before.ravel()
-    by_word = np.argsort(which, kind="stable")
-    which, d_rows = which[by_word], d_inputs.reshape(-1, 3 * h_size)[by_word]
-    first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
-    grad.x[which[first]] = np.add.reduceat(d_rows, first, axis=0)
-    return grad.weights, states[-1], loss
+    for k, row in enumerate(by_number(d_inputs)):
+        grad.x[:, k] = np.bincount(which, row, minlength=len(grad.x))
+    return grad.weights, run.last(), loss
 
 
 def side_by_side(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -259,15 +291,15 @@ class Trainer:
     """A copy of a model in training, with moments of its gradients."""
 
     def __init__(self, model: Model, rate: float = RATE):
-        self.model, self.rate, self.steps, self.tokens, self.loss = model.copy(), rate, 0, 0, 0.0
+        self.model, self.rate, self.steps, self.tokens, self.loss = model.like(model.weights.copy()), rate, 0, 0, 0.0
         self.sum, self.held = np.zeros_like(model.weights), 0  # the gradient of tokens that no step has used yet
         self.mean, self.square = np.zeros_like(model.weights), np.zeros_like(model.weights)
 
     def learn(self, docs: list[np.ndarray]) -> None:
         state = None
-        for before, starts, targets, which in windows(docs, self.model.words, LANES, WINDOW):
+        for before, starts, targets, which in windows(docs, self.model.start, LANES, WINDOW):
             live = which >= 0
-            state = np.zeros((before.shape[1], self.model.hidden), dtype=np.float32) if state is None else state[: before.shape[1]]
+            state = np.zeros((self.model.hidden, before.shape[1]), dtype=np.float32) if state is None else state[:, : before.shape[1]]
             grad, state, loss = gradients(self.model, before, starts, targets, live, state)
             n = int(live.sum())
             self.sum += grad
@@ -291,15 +323,17 @@ class Trainer:
         self.model.weights -= np.float32(scale) * self.mean / (np.sqrt(self.square) + np.float32(1e-8))
 
 
-def score(model: Model, docs: list[np.ndarray], lanes: int = SCORE_LANES) -> np.ndarray:
+def score(model: Model, docs: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
     """Natural logarithm of each document's probability."""
     total, state = np.zeros(len(docs)), None
-    for before, starts, targets, which in windows(docs, model.words, lanes, WINDOW):
+    for before, starts, targets, which in windows(docs, model.start, lanes, WINDOW):
         live = which >= 0
-        state = np.zeros((before.shape[1], model.hidden), dtype=np.float32) if state is None else state[: before.shape[1]]
-        states = forward(model, before, starts, state)
-        state = states[-1]
-        total += np.bincount(which[live], log_probabilities(model, states[live], targets[live]), minlength=len(docs))
+        state = np.zeros((model.hidden, before.shape[1]), dtype=np.float32) if state is None else state[:, : before.shape[1]]
+        run, place = Pass(model, before, starts, state), np.flatnonzero(live)
+        state = run.last()
+        states = by_number(run.states)
+        states = states if len(place) == states.shape[1] else states.take(place, axis=1)
+        total += np.bincount(which.ravel()[place], log_probabilities(model, states, targets.ravel()[place]), minlength=len(docs))
     return total
 
 
@@ -330,6 +364,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return pruned(docs, "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[Row]:
+    """The words whose counts reach a limit, by falling count, then by word: as many as ``most`` allows.
+
+    The limit comes from a histogram of counts in steps of a sixteenth of their power of two, so that no more rows than
+    are wanted leave any task."""
+    step = F.floor(F.log2("n") * 16)
+    limit, held = 0, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            limit = r["step"] + 1
+            break
+    return sorted(counts.where(step >= limit).collect(), key=lambda r: (-r.n, r.word))
+
+
 def averaged(copies: DataFrame, most: int) -> np.ndarray:
     """The mean of models (part, chunk, weight, numbers), by weight; parts are numbered from 0 to ``most``."""
 
@@ -348,14 +397,14 @@ def averaged(copies: DataFrame, most: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, model: Model, words: list[str], rounds: int = ROUNDS) -> Model:
-    """``model`` after one pass over the documents; ``words`` are those of its numbers but the last."""
+    """``model`` after one pass over the documents; ``words`` are those of its numbers."""
     number = {w.encode(): i for i, w in enumerate(words)}
     schema = "part long, chunk int, weight double, numbers binary"
     for turn in range(rounds):
         here = pruned(docs, "text").where(F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(SEED)), F.lit(rounds)) == turn)
 
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
-            copy, other = Trainer(model), model.words - 1
+            copy, other = Trainer(model), model.common
             for part in texts_of(batches):
                 copy.learn([np.array([number.get(w, other) for w in tokens(t.as_py())], dtype=np.int32) for t in part.column(0)])
             copy.step()
@@ -370,7 +419,7 @@ def train(docs: DataFrame, model: Model, words: list[str], rounds: int = ROUNDS)
 
         copies, seen = materialise(here.mapInArrow(run, schema), last=F.max("part"))
         if seen["last"] is not None:
-            model = Model(averaged(copies, seen["last"]).copy(), model.words, model.hidden, model.classes)
+            model = model.like(averaged(copies, seen["last"]))
     return model
 
 
@@ -379,11 +428,10 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, counted: int
     slim = pruned(docs, "doc_id", "text")
     learnt = slim.where(~is_held_out(F.col("doc_id")))
     counts, seen = materialise(word_counts(learnt), n=F.coalesce(F.sum("n"), F.lit(0)), v=F.count(F.lit(1)))
-    top = counts.orderBy(F.desc("n"), "word").limit(counted).collect()
-    inner = [r.word for r in top[: vocabulary - 1]]
-    in_net = sum(r.n for r in top[: vocabulary - 1])
-    outside, rest = len(inner), seen["n"] - in_net
-    model = train(learnt, untrained(np.array([*(r.n for r in top[:outside]), rest])), inner)
+    top = most_frequent(counts, counted)
+    inner = top[:vocabulary]
+    outside, rest = len(inner), seen["n"] - sum(r.n for r in inner)
+    model = train(learnt, untrained(np.array([r.n for r in inner]), rest), [r.word for r in inner])
     number, logs = {r.word.encode(): i for i, r in enumerate(top)}, np.log10(np.array([r.n for r in top], dtype=np.float64) + 1)
     kind = slim.schema["doc_id"].dataType.simpleString()
 
@@ -397,7 +445,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, counted: int
                 found = logs[at[known]]
                 sums.append((len(words), int(out.sum()), int(known.sum()), float(found.sum()), float(found[at[known] >= outside].sum())))
                 rare.append(Counter([words[i] for i in np.flatnonzero(~known).tolist()]))
-                docs.append(np.where(out, outside, at).astype(np.int32))
+                docs.append(np.where(out, model.common, at).astype(np.int32))
             columns = [pa.array(x) for x in zip(*sums, strict=True)]
             ends = pa.array(np.r_[0, np.cumsum([len(r) for r in rare])].astype(np.int32))
             words = pa.array([w for r in rare for w in r], pa.binary()).cast(pa.string())

@@ -27,7 +27,7 @@ def base(rows):
 
 
 def a_model(words=11, hidden=5, classes=3, seed=3):
-    model = G.untrained(np.arange(words, 0, -1), hidden, classes, seed)
+    model = G.untrained(np.arange(words, 0, -1), 7, hidden, classes, seed)
     rng = np.random.default_rng(seed)
     real = model.weights > -50
     model.weights[real] += rng.normal(0, 0.3, real.sum()).astype(np.float32)
@@ -36,13 +36,13 @@ def a_model(words=11, hidden=5, classes=3, seed=3):
 
 def slow_logs(model, doc):
     """Natural log probability of each token of one document, a token at a time in double precision."""
-    x, u, uc, wc, bc, wm, bm = (getattr(model, k).astype(np.float64) for k in ("x", "u", "uc", "wc", "bc", "wm", "bm"))
-    h, before, out, s = np.zeros(model.hidden), model.words, [], model.hidden
+    x, u, wc, wm = (getattr(model, k).astype(np.float64) for k in ("x", "u", "wc", "wm"))
+    h, before, out, s = np.zeros(model.hidden), model.start, [], model.hidden
     for token in doc:
-        z, r = (1 / (1 + np.exp(-(x[before, k * s : (k + 1) * s] + h @ u[:, k * s : (k + 1) * s]))) for k in (0, 1))
-        h = (1 - z) * h + z * np.tanh(x[before, 2 * s :] + (r * h) @ uc)
+        z, r = (1 / (1 + np.exp(-(x[before, k * s : (k + 1) * s] + u[k * s : (k + 1) * s] @ h))) for k in (0, 1))
+        h = (1 - z) * h + z * np.tanh(x[before, 2 * s :] + r * (u[2 * s :] @ h))
         k, m = divmod(token, model.members)
-        p, q = np.exp(h @ wc + bc), np.exp(h @ wm[k] + bm[k])
+        p, q = np.exp(wc @ [*h, 1]), np.exp(wm[k] @ [*h, 1]) if k < model.classes else np.ones(1)
         out.append(np.log(p[k] / p.sum()) + np.log(q[m] / q.sum()))
         before = token
     return out
@@ -50,12 +50,14 @@ def slow_logs(model, doc):
 
 def some_docs(seed, n=40, words=11):
     rng = np.random.default_rng(seed)
-    return [rng.integers(0, words, rng.choice([1, 2, 5, 30, 200])).astype(np.int32) for _ in range(n)]
+    ids = np.array([*range(words), a_model(words).common])
+    return [rng.choice(ids, rng.choice([1, 2, 5, 30, 200])).astype(np.int32) for _ in range(n)]
 
 
 def test_probabilities_sum_to_one():
     model = a_model()
-    assert math.isclose(sum(math.exp(sum(slow_logs(model, [a, b]))) for a in range(11) for b in range(11)), 1, rel_tol=1e-6)
+    ids = [*range(11), model.common]
+    assert math.isclose(sum(math.exp(sum(slow_logs(model, [a, b]))) for a in ids for b in ids), 1, rel_tol=1e-6)
 
 
 @pytest.mark.parametrize(("lanes", "window"), [(1, 7), (8, 24), (64, 3), (512, 1)])
@@ -67,26 +69,27 @@ def test_scores_of_whole_documents(monkeypatch, lanes, window):
 
 def test_gradients_against_differences():
     model, docs = a_model(), some_docs(2, 6)
-    before, starts, targets, which = next(G.windows(docs, model.words, 4, 9))
-    live, state = which >= 0, np.zeros((before.shape[1], model.hidden))
-    wide = G.Model(model.weights.astype(np.float64), model.words, model.hidden, model.classes)
+    before, starts, targets, which = next(G.windows(docs, model.start, 4, 9))
+    live, state = which >= 0, np.zeros((model.hidden, before.shape[1]))
+    wide = model.like(model.weights.astype(np.float64))
+    logs = lambda m: G.log_probabilities(m, G.by_number(G.Pass(m, before, starts, state).states)[:, live.ravel()], targets[live])
     grad, _, loss = G.gradients(wide, before, starts, targets, live, state)
-    assert math.isclose(loss, -G.log_probabilities(wide, G.forward(wide, before, starts, state)[live], targets[live]).sum(), rel_tol=1e-5)
+    assert math.isclose(loss, -logs(wide).sum(), rel_tol=1e-5)
     rng = np.random.default_rng(4)
     for i in [*rng.choice(np.flatnonzero(np.abs(grad) > 1e-2), 40), *rng.choice(len(grad), 10)]:
         side = []
         for step in (1e-2, -1e-2):
-            moved = wide.copy()
+            moved = wide.like(wide.weights.copy())
             moved.weights[i] += step
-            side.append(-G.log_probabilities(moved, G.forward(moved, before, starts, state)[live].astype(np.float64), targets[live]).sum())
+            side.append(-logs(moved).sum())
         assert math.isclose((side[0] - side[1]) / 2e-2, grad[i], rel_tol=0.03, abs_tol=0.01)
 
 
 def test_training_learns_order():
     docs = [np.tile(np.array([0, 3, 6, 9], dtype=np.int32), 20) for _ in range(60)]
-    trainer = G.Trainer(G.untrained(np.full(10, 100), 8, 3))
+    trainer = G.Trainer(G.untrained(np.full(10, 100), 5, 8, 3))
     first = G.score(trainer.model, docs[:1])[0] / 80
-    for _ in range(25):
+    for _ in range(60):
         trainer.learn(docs)
         trainer.step()
     assert first < -2 and G.score(trainer.model, docs[:1])[0] / 80 > -0.1
@@ -110,6 +113,13 @@ def test_without_training_documents(docs_of):
     assert row.held_out and row.train_tokens == row.n_known == 0 and row.n_tokens == 4 and row.base_score == 0 and abs(row.score) < 1e-6
 
 
+def test_most_frequent_words(spark):
+    counts = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate([1] * 50 + [2] * 9 + [7, 7, 9, 1000])], "word string, n long")
+    assert [r.n for r in G.most_frequent(counts, 100)] == [1000, 9, 7, 7] + [2] * 9 + [1] * 50
+    assert [(r.word, r.n) for r in G.most_frequent(counts, 12)] == [("w62", 1000), ("w61", 9), ("w59", 7), ("w60", 7)]
+    assert G.most_frequent(counts.where("n = 1"), 12) == [] == G.most_frequent(counts.limit(0), 12)
+
+
 def test_copies_are_averaged_by_weight(spark, monkeypatch):
     monkeypatch.setattr(G, "AVERAGED", 2)
     rng = np.random.default_rng(1)
