@@ -1,13 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles: an all-pairs join with prefix filters, no pair is lost.
+"""Near copies by SimHash links and, for what these leave apart, by an exact join of word shingles; no pair is lost.
+
+First the BK-trees of ``simhash_bk`` link texts whose fingerprints are near. A link counts if the whole sets of shingles
+are similar, so a near fingerprint alone removes nothing. Fingerprints of similar texts may also lie far apart; the texts
+of different components that are left meet in a join with prefix filters.
 
 A text is the set of the hashes of its five-word shingles. Two sets with a similarity of t or more share one of the first
 n - ceil(t n) + 1 members of each, whatever order all sets are put in. So texts meet on these members only, and each pair
 that meets is confirmed on the whole sets. The order puts shingles that a sample of texts finds common last and goes by
 hash otherwise; it decides how many pairs meet, never which pairs are confirmed.
 
-Equal sets are one node. Of the texts that share a member, first each meets one of them, in rounds with changing choice,
-so that a large group of near copies becomes one component by about as many pairs as it has texts. Then only pairs of
-different components are left to meet, and all of them do.
+Equal sets are one node. Of the texts that share a member, each first meets one of another component, in rounds with
+changing choice, so that a large group of near copies becomes one component by about as many pairs as it has texts. Then
+only pairs of different components are left to meet, and all of them do.
 
 Defined results: rows are told apart by doc_id and text, and the first row of a component stays: the least doc_id, rows
 without one last, then the least xxhash64 of the text. Rows that agree in both are repeats, one of them stays. A null text
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from footbridge.llm.columns import fresh, pruned
-from footbridge.llm.simhash_bk import components
+from footbridge.llm.simhash_bk import components, majority
+from footbridge.llm.simhash_bk import links as tree_links_of
 from footbridge.session import count_true, cut, materialise
 
 SHINGLE = 5
@@ -36,15 +41,19 @@ MOST_COMMON = 65536  # shingles that the order puts last
 GAIN = 10  # rounds end when fewer than one pair in so many is confirmed
 
 
-def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
+def hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, in order."""
     words = (text or "").encode().lower().split()  # of bytes, these touch ASCII letters and the six separators only
     if not words:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64)
     n = max(1, len(words) - width + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(join(words[i : i + width]), 42) for i in range(n)), dtype=np.uint64, count=n)
-    return np.unique(hashes.view(np.int64))
+    return np.fromiter((digest(join(words[i : i + width]), 42) for i in range(n)), dtype=np.uint64, count=n)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(hashes(text).view(np.int64))
 
 
 def prefix(members: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, bool, int]:
@@ -78,14 +87,18 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """row, the digest and the size of its set, and the set's prefix and where that ends."""
+    """row, the digest and the size of its set, the fingerprint, and the set's prefix and where that ends."""
     common = common_shingles(docs)
 
-    @F.pandas_udf("whole binary, n int, prefix array<long>, late boolean, last long")
+    @F.pandas_udf("whole binary, n int, fp long, prefix array<long>, late boolean, last long")
     def describe(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t) for t in texts]
+        sets, marks = [], []
+        for text in texts:
+            made = hashes(text)
+            marks.append(majority(made))
+            sets.append(np.unique(made.view(np.int64)))
         firsts = [prefix(s, common) for s in sets]
-        columns = {"whole": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets]}
+        columns = {"whole": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "fp": np.array(marks, dtype=np.uint64).view(np.int64)}
         return pd.DataFrame(columns | {k: [f[i] for f in firsts] for i, k in enumerate(("prefix", "late", "last"))})
 
     rows = pruned(docs, "doc_id", "text").select(row_key(docs).alias("row"), describe("text").alias("d"))
@@ -123,12 +136,24 @@ def in_components(held: DataFrame, found: DataFrame | None) -> DataFrame:
     return held.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("least", F.coalesce("least", "row"))
 
 
+def near_fingerprints(marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal, or linked by the BK-trees, of texts with words."""
+    own = cut(marked.where("n > 0").join(nodes, "row", "left_semi").select("row", "fp").distinct())
+    first = cut(own.groupBy("fp").agg(F.min("row").alias("first")))
+    equal = own.join(first, "fp").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    linked = tree_links_of(first.select("fp", F.col("fp").alias("rep")))
+    of = lambda k: first.select(F.col("fp").alias(f"fp_{k}"), F.col("first").alias(k))
+    linked = linked.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(of("a"), "fp_a").join(of("b"), "fp_b")
+    return equal.unionByName(linked.select("a", "b"))
+
+
 def similar(docs: DataFrame, marked: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, least) of every node with a similar one: the least row reachable."""
     held = marked.join(nodes, "row", "left_semi").select("row", "n", "late", "last", F.xxhash64("whole").alias("tag"), F.explode("prefix").alias("member"))
     shared = held.groupBy("member").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low <> high")
     held = cut(held.join(shared.select("member"), "member", "left_semi").drop("tag").distinct())
-    links, found, turn = None, None, 0
+    near, seen = confirmed(cut(near_fingerprints(marked, nodes)), held, docs)
+    links, found, turn = (near, cut(components(near)), 0) if seen["near"] else (None, None, 0)
     # sizes that no similar pair can have
     fits = (DEN * F.col("n") >= NUM * F.col("n_b")) & (DEN * F.col("n_b") >= NUM * F.col("n"))
     while True:

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from footbridge.llm.columns import fresh, pruned
 from footbridge.llm.words import SYMBOLS, covered_words, repeated_lines, words_of
-from footbridge.session import materialise
+from footbridge.session import cut, materialise
 
 GAMMA = 1.02  # bucket i holds values in (GAMMA ** (i - 1), GAMMA ** i]; bucket 0 holds zero
 MIN_GROUP = 100  # documents a group needs for thresholds of its own
@@ -151,10 +151,11 @@ def apply_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that pass, with all their columns. Texts aren't shuffled: the limits are small and come to them."""
-    limits = thresholds(measured(docs), min_group)
+    """The documents that pass, with all their columns. Each is measured once and written with its counts; texts aren't
+    shuffled, as the limits are small and come to them."""
     (counts,) = fresh(docs, "counts")
-    counted = docs.withColumn(counts, text_counts(docs["text"]))
+    counted = cut(docs.withColumn(counts, text_counts(docs["text"])))
+    limits = thresholds(counted.select("lang", "source", F.col(counts).alias("counts")), min_group)
     c = F.col(f"d.{counts}")
     same = F.col("d.lang").eqNullSafe(F.col("t.lang")) & F.col("d.source").eqNullSafe(F.col("t.source"))
     judged = counted.alias("d").join(limits.alias("t"), same, "left").where(~base_failed(c) & within(c))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footbridge.llm.columns import pruned
-from footbridge.session import count_true, materialise
+from footbridge.session import count_true, cut, materialise
 
 SHINGLE = 4
 RADIUS = 4
@@ -50,11 +50,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     n = max(1, len(words) - shingle + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(join(words[i : i + shingle]), 42) for i in range(n)), dtype=np.uint64, count=n)
+    return majority(np.fromiter((digest(join(words[i : i + shingle]), 42) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -250,24 +254,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def group_documents(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id, the least doc_id reachable, for every document."""
-    marked = materialise(fingerprints(docs, shingle))[0]
-    nodes = materialise(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))[0]
-    found = components(links(nodes, radius))
-    named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    """doc_id, fp and component_id, the least doc_id reachable, for every document. Fingerprints are the nodes, so rows
+    that share a doc_id link nothing by that."""
+    marked = cut(fingerprints(docs, shingle))
+    nodes = cut(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    found = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius))
+    named = cut(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("least", "fp").alias("name")))
+    least = named.groupBy("name").agg(F.min("least_id").alias("component_id"))
     label = F.when(F.col("m.doc_id").isNotNull(), F.col("n.component_id")).alias("component_id")
-    return marked.alias("m").join(named.alias("n"), "fp", "left").select("m.doc_id", "fp", label)
-
-
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each group, with all its columns: the one of least doc_id. Of equal ids one row stays; rows
-    without doc_id stay all."""
-    groups = group_documents(docs, shingle, radius)
-    groups = materialise(groups)[0]
-    drop = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct())[0]
-    left = docs.join(drop, "doc_id", "left_anti")
-    twice = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
-    if twice.isEmpty():
-        return left
-    again = left.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice.select("doc_id"), "doc_id", "left_anti").unionByName(again)
+    return marked.alias("m").join(named.join(least, "name").alias("n"), "fp", "left").select("m.doc_id", "fp", label)

@@ -2,7 +2,6 @@ import random
 from itertools import combinations
 
 import pytest
-import test_pipeline
 
 import corpus_pipeline as P
 from footbridge.llm import near_copies as N
@@ -54,13 +53,6 @@ def test_stage_finds_every_similar_pair(spark, docs_of, monkeypatch, common):
     assert dict(P.STAGES)["simhash_near_dedup"](spark, docs.limit(0), "").collect() == []
 
 
-def test_all_stages_on_given_documents(spark, monkeypatch):
-    """The stages against plain code, with near copies told by similarity; documents 1 and 177 have one of 0.83."""
-    monkeypatch.setattr(test_pipeline, "slow_fingerprint", lambda text: text)
-    monkeypatch.setattr(test_pipeline, "brute_components", lambda texts: {i: i for i in slow_kept(texts)})
-    test_pipeline.test_each_stage_against_plain_code(spark)
-
-
 def test_rows_that_share_an_id(spark, docs_of):
     """Each row is judged by its own text: an id's other rows don't go with one of them, and rows without id count too."""
     copy, other, third = "a b c d e f g", "other words stand in here", "a third text of some words"

@@ -82,10 +82,15 @@ def test_long_chain_components(spark):
     assert len(got) == 400 and {r.least for r in got} == {0}
 
 
-def test_keep_first_keeps_columns_and_ids(spark, docs_of):
-    rows = [(7, "a b c d e", "en", "s"), (2, "A b  c d e", None, None), (2, "other words stand in here", "en", "s"), (9, None, "en", "s"), (None, "a b c d e", "en", "s")]
-    got = S.keep_first(docs_of(rows))
-    assert got.columns == docs_of(rows).columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, 2), (False, 9), (True, 0)]
-    assert S.keep_first(docs_of([])).collect() == []
+def test_rows_that_share_an_id_link_nothing(spark, docs_of):
+    """Texts A and B share an id; a near copy of A and a copy of B don't meet by that."""
+    rng = random.Random(2)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(2))
+    near = next(t for t in (a.replace(w, "changed") for w in a.split()) if 0 < (S.fingerprint(t) ^ S.fingerprint(a)).bit_count() <= 4)
+    assert (S.fingerprint(a) ^ S.fingerprint(b)).bit_count() > 8
+    rows = [(3, a), (3, b), (2, near), (5, b), (None, near), (None, "no id")]
+    got = S.group_documents(docs_of([(i, t, "en", "s") for i, t in rows])).collect()
+    prints = {S.fingerprint(t): t for _, t in rows}
+    named = sorted(((r.doc_id, prints[r.fp % 2**64][:20], r.component_id) for r in got), key=str)
+    assert named == sorted([(3, a[:20], 2), (3, b[:20], 3), (2, near[:20], 2), (5, b[:20], 3), (None, near[:20], None), (None, "no id", None)], key=str)
     assert S.group_documents(docs_of([])).collect() == []
