@@ -209,7 +209,7 @@ def simple_paths(w: World):
 
 @query("way_hops", "O-62", """
 WITH l AS (SELECT DISTINCT x.way_id AS a, y.way_id AS b FROM {fx_way_nodes} x JOIN {fx_way_nodes} y ON x.node_id=y.node_id AND x.way_id<>y.way_id WHERE x.way_id%1000<>300 AND y.way_id%1000<>300),
-r(search, way_id, hops) AS (SELECT p*0+st, st*1000, 0 FROM {plat} WHERE p=0 UNION SELECT r.search, l.b, r.hops+1 FROM r JOIN l ON l.a=r.way_id WHERE r.hops<6)
+r(search, way_id, hops) AS (SELECT p*0+st, st*1000, 0 FROM {plat} WHERE p=0 UNION SELECT r.search, l.b, r.hops+1 FROM r JOIN l ON l.a=r.way_id WHERE r.hops<(SELECT count(DISTINCT a) FROM l WHERE a//1000=r.search))
 SELECT search, way_id, min(hops) AS hops FROM r WHERE way_id%1000<20 GROUP BY search, way_id""")
 def way_hops(w: World):
     kept = w.ways.where(tg.is_walkable("tags"))

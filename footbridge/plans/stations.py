@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from footbridge import model as M
 from footbridge.functions import tags as tg
-from footbridge.operators import graph, journeys, platforms, spatial, walks, ways as way_ops
+from footbridge.operators import components, graph, journeys, platforms, spatial, walks, ways as way_ops
 from footbridge.session import count_true, cut, materialise
 
 
@@ -70,6 +70,13 @@ class Stations:
         return cut(platforms.stitch_bridges(self.ways, self.nodes))
 
 
+    @cached_property
+    def parts(self) -> DataFrame:
+        """The component of every walkable vertex, without bridges and with them."""
+        own = cut(components.walk_components(self.ways))
+        return cut(own.join(cut(components.stitched_components(own, self.bridges)), "component"))
+
+
 def resolve_ends(st: Stations, ends: DataFrame, recover: bool = True) -> tuple[DataFrame, DataFrame]:
     """Platform ends to graph vertices over all tiers.
 
@@ -128,14 +135,23 @@ def end_key(relation: str, ref: str, lat: str | None = None, lon: str | None = N
     return F.concat_ws("|", *parts)
 
 
+def pair_ends(pairs: DataFrame) -> DataFrame:
+    """The ends of ``pairs`` (``relation_id, from_ref, to_ref``) as ``walk_between`` names them."""
+    ends = pairs.selectExpr("relation_id", "from_ref as ref").unionByName(pairs.selectExpr("relation_id", "to_ref as ref")).distinct()
+    ends = ends.withColumns({c: F.lit(None).cast("double") for c in ("lat", "lon")})
+    return ends.withColumn("end_id", end_key("relation_id", "ref", "lat", "lon"))
+
+
 def walk_between(
     st: Stations, requests: DataFrame, step_free: bool = False, stitched: bool = False,
     with_path: bool = False, recover: bool = True, contract: bool = True,
+    resolved: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Walks for ``request_id, relation_id, from_ref, to_ref`` and optional end coordinates.
 
     Optional columns ``from_lat, from_lon, to_lat, to_lon`` feed the coordinate tier. Returns
     one row per request: ``found, seconds, metres, reason, source_by_coord, target_by_coord``.
+    ``resolved`` is what ``resolve_ends`` gave for the requests' ends, where the caller has it.
     """
     coords = "from_lat" in requests.columns
     if not coords:
@@ -146,8 +162,8 @@ def walk_between(
         "to_end", end_key("relation_id", "to_ref", "to_lat", "to_lon")))
     ends = keyed.selectExpr("from_end as end_id", "relation_id", "from_ref as ref", "from_lat as lat", "from_lon as lon").unionByName(
         keyed.selectExpr("to_end as end_id", "relation_id", "to_ref as ref", "to_lat as lat", "to_lon as lon"))
-    mapping, anchors = resolve_ends(st, ends, recover)
-    anchors = cut(anchors)
+    mapping, anchors = resolved or resolve_ends(st, ends, recover)
+    anchors = cut(anchors) if resolved is None else anchors
     edges = graph_edges(st, anchors, step_free, stitched, contract)
     flags = anchors.groupBy("place").agg(F.bool_or("by_coord").alias("by_coord"))
     placed = cut(mapping.join(flags, "place"))
