@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footbridge import model as M
 from footbridge.functions import tags as tg
 from footbridge.functions.text import fold_key, fold_name
+from footbridge.session import cut
 
 _GRAM = 3
 
@@ -48,10 +49,39 @@ def _hits(terms: DataFrame, keys: DataFrame) -> DataFrame:
     return rarest.join(index, "gram").where(F.col("key").contains(F.col("q"))).drop("gram")
 
 
+def _best(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """The first ``n`` stations of each ``by``, with the key that places each: main ones first, then by key.
+
+    Each station counts once; ranks are cut before the shuffle too, so a node that most names pass costs no more."""
+    one = rows.groupBy(by, "idx").agg(F.min(F.struct((~F.col("is_main")).alias("minor"), "key")).alias("at"))
+    ranked = Window.partitionBy(by).orderBy("at", "idx")
+    return one.withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= n).select(by, "idx", "at.minor", "at.key")
+
+
+def name_trie(keys: DataFrame, n: int) -> DataFrame:
+    """A node for every prefix of a key, with its best ``n`` stations: ``node, idx, minor, key``."""
+    upto = F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring(F.col("key"), F.lit(1), i))
+    nodes = keys.where("key <> ''").select("idx", "is_main", "key", F.explode(upto).alias("node"))
+    return _best(nodes, "node", n)
+
+
 def search_stations(terms: DataFrame, keys: DataFrame, n: int = 10) -> DataFrame:
-    """Top ``n`` stations per term: prefix before inner matches, main before minor, then name."""
-    order = F.struct((~F.col("key").startswith(F.col("q"))).alias("inner"), (~F.col("is_main")).alias("minor"), "key", "idx")
-    best = _hits(terms, keys).groupBy("term", "idx").agg(F.min(order).alias("o"))
+    """Top ``n`` stations per term: prefix before inner matches, main before minor, then name.
+
+    A term's node of the trie has its prefix matches. Only a term with fewer than ``n`` of them looks further: one no
+    longer than a gram reads the head of that gram's postings, which holds enough stations beside its own few prefix
+    matches, and a longer one the postings of its rarest gram."""
+    q = terms.select("term", fold_name(F.trim("term")).alias("q")).where("q <> ''").distinct()
+    led = cut(q.join(name_trie(keys, n).withColumnRenamed("node", "q"), "q"))
+    full = led.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n)
+    open_ = cut(q.join(full, "term", "left_anti"))
+    heads = _best(keys.withColumn("gram", F.explode(_grams(F.col("key")))), "gram", 2 * n)
+    near = open_.where(F.length("q") <= _GRAM).join(heads.withColumnRenamed("gram", "q"), "q")
+    far = _hits(open_.where(F.length("q") > _GRAM).select("term"), keys).withColumn("minor", ~F.col("is_main"))
+    columns = ["term", "q", "idx", "minor", "key"]
+    found = led.select(columns).unionByName(near.select(columns)).unionByName(far.select(columns))
+    order = F.struct((~F.col("key").startswith(F.col("q"))).alias("inner"), "minor", "key", "idx")
+    best = found.groupBy("term", "idx").agg(F.min(order).alias("o"))
     ranked = Window.partitionBy("term").orderBy("o")
     return best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n).select("term", "idx", "rank")
 

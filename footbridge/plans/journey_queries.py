@@ -302,7 +302,8 @@ def fill_report(w: World):
 # ---- search --------------------------------------------------------------------------
 SHARED_VIEWS["o_cat"] = "SELECT *, lower(strip_accents(name)) AS own, lower(strip_accents(trim(alias))) AS oth FROM {fx_catalog}"
 SHARED_VIEWS["o_skey"] = "SELECT id AS idx, is_main, own, own AS key FROM {o_cat} UNION ALL SELECT id, is_main, own, oth FROM {o_cat} WHERE oth<>'' AND oth<>own"
-SHARED_VIEWS["o_term"] = "SELECT DISTINCT substr(name, 1, 3) AS term FROM {fx_catalog} WHERE length(trim(substr(name, 1, 3)))=3"
+SHARED_VIEWS["o_term"] = """
+SELECT DISTINCT term FROM (SELECT unnest([substr(name, 1, 1), substr(name, 1, 2), substr(name, 1, 3), substr(name, 1, 4), substr(name, 3, 4), name]) AS term FROM {fx_catalog}) WHERE trim(term)<>''"""
 SHARED_VIEWS["o_found"] = """
 SELECT term, idx, row_number() OVER (PARTITION BY term ORDER BY o) AS rank FROM (SELECT t.term, k.idx, min((NOT starts_with(k.key, q), NOT k.is_main, k.key, k.idx)) AS o
   FROM (SELECT term, lower(strip_accents(trim(term))) AS q FROM {o_term}) t JOIN {o_skey} k ON contains(k.key, t.q) GROUP BY t.term, k.idx) z QUALIFY row_number() OVER (PARTITION BY term ORDER BY o)<=10"""
@@ -313,7 +314,9 @@ def catalog_keys(w: World):
 
 
 def terms(w: World):
-    return w.view("fx_catalog").select(F.substring("name", 1, 3).alias("term")).where("length(trim(term)) = 3").distinct()
+    """Starts of one to four letters, inner parts and whole names, as people type them."""
+    asked = [F.substring("name", 1, n) for n in (1, 2, 3, 4)] + [F.substring("name", 3, 4), F.col("name")]
+    return w.view("fx_catalog").select(F.explode(F.array(*asked)).alias("term")).where("trim(term) <> ''").distinct()
 
 
 @query("search_keys", "O-71", "SELECT idx, key FROM {o_skey}")
