@@ -111,14 +111,14 @@ def platform_floor_vote(w: World):
 
 
 @query("gated_platforms", "O-99", f"""
-WITH a AS (SELECT query_id AS relation_id, t_lat AS lat, t_lon AS lon FROM {{o_marker}} WHERE query_id%10=1)
+WITH a AS (SELECT query_id AS relation_id, t_lat AS lat, t_lon AS lon FROM {{o_marker}})
 SELECT DISTINCT f.relation_id, f.way_id FROM {{o_foot}} f JOIN {{o_way}} w USING (way_id) LEFT JOIN a USING (relation_id) LEFT JOIN {{fx_way_nodes}} wn ON wn.way_id=f.way_id LEFT JOIN {{fx_nodes}} n ON n.id=wn.node_id
-WHERE f.relation_id%10=1 AND w.highway='' AND w.tram='' AND (a.lat IS NULL OR {hav('n.lat','n.lon','a.lat','a.lon')}<=200)""")
+WHERE w.highway='' AND w.tram='' AND (a.lat IS NULL OR {hav('n.lat','n.lon','a.lat','a.lon')}<=200)""")
 def gated_platforms(w: World):
     st = stations(w)
-    markers = platforms.complex_markers(st.centres.where("relation_id % 10 = 1").select(F.col("relation_id").alias("query_id"), "lat", "lon"), w.view("fx_overlay"))
+    markers = platforms.complex_markers(st.centres.select(F.col("relation_id").alias("query_id"), "lat", "lon"), w.view("fx_overlay"))
     anchors = markers.selectExpr("query_id as relation_id", "t_lat as lat", "t_lon as lon")
-    return heights.gate_platforms(st.footprint.where("relation_id % 10 = 1"), anchors, w.ways, w.nodes)
+    return heights.gate_platforms(st.footprint, anchors, w.ways, w.nodes)
 
 
 @query("marker_floors", "O-100", f"""

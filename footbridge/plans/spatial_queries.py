@@ -65,11 +65,11 @@ def station_centroids(w: World):
 
 
 @query("station_candidates", "O-36", f"""
-WITH q AS (SELECT journey_id*10+leg_no AS query_id, st, arr_lat AS lat, arr_lon AS lon FROM {{fx_legs}} WHERE cancelled UNION ALL SELECT journey_id*10+leg_no, st, dep_lat, dep_lon FROM {{fx_legs}} WHERE cancelled),
+WITH q AS (SELECT journey_id*10+leg_no AS query_id, st, arr_lat AS lat, arr_lon AS lon FROM {{fx_legs}} UNION ALL SELECT journey_id*10+leg_no, st, dep_lat, dep_lon FROM {{fx_legs}}),
 d AS (SELECT q.query_id, s.relation_id, min({hav('q.lat','q.lon','s.lat','s.lon')}) AS dist FROM q JOIN {{o_station}} s ON s.st BETWEEN q.st-1 AND q.st+2 WHERE q.lat IS NOT NULL GROUP BY q.query_id, s.relation_id HAVING min({hav('q.lat','q.lon','s.lat','s.lon')})<=600)
 SELECT query_id, relation_id, round(dist,1) AS dist_m, row_number() OVER (PARTITION BY query_id ORDER BY round(dist,3), relation_id) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dist,3), relation_id)<=6""")
 def station_candidates(w: World):
-    legs = w.view("fx_legs").where("cancelled")
+    legs = w.view("fx_legs")
     key = (F.col("journey_id") * 10 + F.col("leg_no")).alias("query_id")
     points = legs.select(key, F.col("arr_lat").alias("lat"), F.col("arr_lon").alias("lon")).unionByName(
         legs.select(key, F.col("dep_lat").alias("lat"), F.col("dep_lon").alias("lon")))
@@ -174,12 +174,12 @@ def anchor_coords(w: World):
 
 
 @query("feed_merge", "O-45", f"""
-WITH f AS (SELECT journey_id*10+leg_no AS seq, trim(arr_platform) AS code, arr_lat AS lat, arr_lon AS lon, st FROM {{fx_legs}} WHERE trim(arr_platform) IN ('1','2','3','4','98')),
+WITH f AS (SELECT journey_id*10+leg_no AS seq, trim(arr_platform) AS code, arr_lat AS lat, arr_lon AS lon, st FROM {{fx_legs}} WHERE trim(arr_platform)<>''),
 m AS (SELECT f.*, n.name AS station, n.lat AS nlat FROM f JOIN {{fx_nodes}} n ON n.railway='station' AND n.st BETWEEN f.st-1 AND f.st+1 AND {hav('f.lat','f.lon','n.lat','n.lon')}<=250
   QUALIFY row_number() OVER (PARTITION BY f.seq ORDER BY {hav('f.lat','f.lon','n.lat','n.lon')}, n.id)=1)
 SELECT station, code, round(lat,6) AS lat, round(lon,6) AS lon, count(*) OVER (PARTITION BY station, code) AS n FROM m QUALIFY row_number() OVER (PARTITION BY station, code ORDER BY seq)=1""")
 def feed_merge(w: World):
-    feed = w.view("fx_legs").where("trim(arr_platform) in ('1','2','3','4','98')").select(
+    feed = w.view("fx_legs").where("trim(arr_platform) <> ''").select(
         (F.col("journey_id") * 10 + F.col("leg_no")).alias("seq"), F.trim("arr_platform").alias("code"),
         F.col("arr_lat").alias("lat"), F.col("arr_lon").alias("lon"))
     return platforms.merge_feed(feed, way_ops.rail_stations(w.nodes)).select("station", "code", "lat", "lon", "n")
