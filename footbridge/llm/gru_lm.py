@@ -44,7 +44,7 @@ CLASSES = 32  # of these words; one more holds the common place
 HIDDEN = 16
 COUNTED = 262144  # words whose counts every task holds
 FLUSH = 500_000  # different words a task counts before it hands them on
-WINDOW = 16  # tokens a gradient goes back
+WINDOW = 16  # tokens a gradient goes back, at least
 LANES = 500  # documents side by side; rows of a power of two would share places in the processor's cache
 STEP = 1024  # tokens a step of the training needs
 RATE = 0.01
@@ -275,16 +275,19 @@ def side_by_side(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndar
 
 def windows(docs: list[np.ndarray], start: int, most: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Windows of lanes of documents: the tokens before, starts, targets and documents; ``start`` stands before a
-    document's first token. Lanes that have ended are left out."""
+    document's first token. Lanes that have ended are left out. Where few lanes are left, behind the longest documents,
+    windows are longer by as much, so that a window's cost buys as many tokens."""
     tokens, starts, which = side_by_side(docs, most)
-    for a in range(0, len(tokens), window):
+    a = 0
+    while a < len(tokens):
         n = int((which[a] >= 0).sum())
-        here = slice(a, min(a + window, len(tokens)))
+        here = slice(a, min(a + max(window, window * LANES // (2 * n)), len(tokens)))
         before = np.empty((here.stop - a, n), dtype=np.int32)
         before[1:] = tokens[a : here.stop - 1, :n]
         before[0] = tokens[a - 1, :n] if a else start
         before[starts[here, :n]] = start
         yield before, starts[here, :n], tokens[here, :n], which[here, :n]
+        a = here.stop
 
 
 class Trainer:
