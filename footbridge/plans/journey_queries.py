@@ -154,8 +154,8 @@ SELECT journey_id, change_no, CASE WHEN walk_s IS NULL OR layover_s IS NULL THEN
   CASE WHEN walk_s IS NOT NULL THEN eff END AS effective_s, round(eff-walk_s,1) AS margin_s, round(eff-walk_s-60,1) AS absorb_s, coalesce(walk_s IS NOT NULL AND layover_s IS NOT NULL AND eff<assumed_s AND eff>=walk_s, false) AS rescued, cancelled FROM {o_live}"""
 
 
-def live_columns(df):
-    return df.select("journey_id", "change_no", "verdict", "effective_s", F.round("margin_s", 1).alias("margin_s"),
+def live_columns(df, *more):
+    return df.select(*more, "journey_id", "change_no", "verdict", "effective_s", F.round("margin_s", 1).alias("margin_s"),
                      F.round("absorb_s", 1).alias("absorb_s"), "rescued", "cancelled")
 
 

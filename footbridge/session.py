@@ -24,6 +24,8 @@ RUNTIME_CONF = {
     # split a skewed join even where that costs an extra exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # state of streams lives on disk and carries timers
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
