@@ -10,8 +10,11 @@ from footbridge.functions import tags as tg
 from footbridge.functions.geo import haversine
 from footbridge.functions.text import track_ref
 from footbridge.operators.graph import node_ways, way_node_levels, way_points
+from footbridge.operators.medians import weighted_medians
 from footbridge.operators.spatial import in_boxes, nearest, points_in_rings, radius_join
 
+MEDIAN_STEP_DEG = 1e-5  # about a metre: some 1400 steps across a harvest circle
+
 
 def normalise_tracks(legs: DataFrame, *columns: str) -> DataFrame:
     """Strip label words such as ``Gleis`` from the given track columns of a legs table."""
@@ -299,14 +302,15 @@ def harvest_labels(stops: DataFrame, targets: DataFrame, radius_m: float = M.HAR
     """Median coordinate and count of every track seen near each target station.
 
     ``stops`` has ``track, lat, lon`` from leg ends and stopovers; ``targets`` ``station, lat, lon``.
-    Copies of an observation are counted first, so a busy track travels as one row.
+    Copies of an observation are counted first, and medians are found by selection, so no task holds a busy track.
     """
     seen = stops.where("track is not null").groupBy("track", "lat", "lon").agg(F.count(F.lit(1)).alias("w"))
     near = radius_join(seen, targets.select("station", "lat", "lon"), radius_m)
-    return near.groupBy("station", "track").agg(
-        F.round(F.expr("percentile(lat, 0.5, w)"), 6).alias("lat"),
-        F.round(F.expr("percentile(lon, 0.5, w)"), 6).alias("lon"),
-        F.sum("w").alias("n"))
+    axes = near.select("station", "track", "w", F.explode(F.create_map(
+        F.lit("lat"), F.col("lat"), F.lit("lon"), F.col("lon"))).alias("axis", "v"))
+    middle = weighted_medians(axes, ["station", "track", "axis"], MEDIAN_STEP_DEG)
+    return middle.groupBy("station", "track").agg(
+        *[F.round(F.max(F.when(F.col("axis") == a, F.col("median"))), 6).alias(a) for a in ("lat", "lon")], F.max("n").alias("n"))
 
 
 def harvest_candidates(

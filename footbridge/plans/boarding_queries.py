@@ -154,10 +154,28 @@ def edge_ownership(w: World):
         F.array_join(F.transform("owners", lambda r: r.cast("string")), ",").alias("owners"), "kind")
 
 
-@query("shared_arcs", "O-113", """
-WITH r AS (SELECT st, (SELECT max(st) FROM {plat}) AS top FROM {plat} WHERE p=0)
-SELECT CAST(st AS VARCHAR)||','||CAST(st+1 AS VARCHAR) AS owners, 25 AS n_points, 2 AS n_owners, 'border' AS kind FROM r WHERE st<top
-UNION ALL SELECT CAST(st AS VARCHAR), CASE WHEN st=0 OR st=top THEN 27 ELSE 2 END, 1, 'coast' FROM r UNION ALL SELECT CAST(st AS VARCHAR), 2, 1, 'coast' FROM r WHERE st>0 AND st<top""")
-def shared_arcs(w: World):
+# arcs from the edges: runs of one owner set around each ring, then the lesser of both directions
+SHARED_VIEWS["o_ring_side"] = "SELECT *, least({'x': x, 'y': y}, {'x': x2, 'y': y2}) AS a, greatest({'x': x, 'y': y}, {'x': x2, 'y': y2}) AS b FROM {o_rhop} WHERE x2 IS NOT NULL"
+SHARED_VIEWS["o_ring_own"] = "SELECT a, b, array_to_string(list_sort(list_distinct(list(ring_id))), ',') AS owners, CAST(count(DISTINCT ring_id) AS INT) AS n FROM {o_ring_side} GROUP BY a, b"
+SHARED_VIEWS["o_ring_flag"] = """
+SELECT h.*, o.owners, o.n, coalesce(lag(o.owners) OVER q<>o.owners, false) AS begins, count(*) OVER (PARTITION BY ring_id) AS m, first_value(o.owners) OVER r AS fo, last_value(o.owners) OVER r AS lo
+FROM {o_ring_side} h JOIN {o_ring_own} o USING (a, b) WINDOW q AS (PARTITION BY ring_id ORDER BY pos), r AS (PARTITION BY ring_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+SHARED_VIEWS["o_ring_run"] = "SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY ring_id ORDER BY pos) AS run0, sum(CAST(begins AS INT)) OVER (PARTITION BY ring_id) AS runs FROM {o_ring_flag}"
+SHARED_VIEWS["o_ring_place_run"] = "SELECT *, CASE WHEN run0=0 AND fo=lo THEN runs ELSE run0 END AS run, CASE WHEN run0=0 AND fo=lo AND runs>0 THEN pos+m ELSE pos END AS ord FROM {o_ring_run}"
+SHARED_VIEWS["o_ring_fwd"] = "SELECT ring_id, run, owners, n, list_append(list({'x': x, 'y': y} ORDER BY ord), {'x': arg_max(x2,ord), 'y': arg_max(y2,ord)}) AS f FROM {o_ring_place_run} GROUP BY ring_id, run, owners, n"
+SHARED_VIEWS["o_ring_arc"] = "SELECT DISTINCT owners, n, least(f, list_reverse(f)) AS f FROM {o_ring_fwd}"
+
+
+def traced(w: World):
     rings = prepared(w)
-    return topology.shared_arcs(rings, topology.edge_owners(rings, BOX)).drop("arc_key")
+    return topology.arc_points(rings, topology.edge_owners(rings, BOX))
+
+
+@query("shared_arcs", "O-113", "SELECT owners, CAST(len(f) AS INT) AS n_points, n AS n_owners, CASE WHEN n>1 THEN 'border' ELSE 'coast' END AS kind FROM {o_ring_arc}")
+def shared_arcs(w: World):
+    return topology.shared_arcs(traced(w)).drop("arc_key")
+
+
+@query("arc_points", "O-113", "SELECT owners, n AS n_owners, CAST(len(f) AS INT) AS n_points, CAST(i-1 AS BIGINT) AS seq, f[i].x AS x, f[i].y AS y FROM (SELECT *, unnest(range(1, len(f)+1)) AS i FROM {o_ring_arc}) a")
+def arc_points(w: World):
+    return traced(w).drop("arc_key").withColumn("seq", F.col("seq").cast("long"))
