@@ -11,9 +11,10 @@ a document at most. The cut is found by sums of hash buckets; only the documents
 ordered, never a source's.
 
 Defined results: a null text has size 0. The null source is a source; it comes last. Documents and sources of size 0
-take nothing. Rows of one doc_id count each and share their
-place in the order, so they are taken alike. If
-all caps together are below the share, every source is taken ``max_epochs`` times. An empty table gives an empty mix.
+take nothing. A row's place comes from its doc_id and text, so rows without an id, and different texts of one id, have
+places of their own. Rows that repeat both follow each other; only where the cut falls among them are they numbered, and
+as many of them are taken as come nearest to the target (any of them, as they are alike). If all caps together are below
+the share, every source is taken ``max_epochs`` times. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    """A document's place in the seeded order: 60 bits that other engines compute alike."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def order_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A row's place in the seeded order: 60 bits that other engines compute alike."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
@@ -66,20 +67,21 @@ def fill_targets(sources: DataFrame, share: float = SHARE, max_epochs: float = M
         "open_weight": F.sum("weight").over(rest),
     })
     laid = laid.withColumn("level", (F.col("budget") - F.col("capped")) / F.col("open_weight"))
-    # the first source that stays under its cap sets the level for itself and all later ones
-    laid = laid.withColumn("final", F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", "level"))).over(everything))
+    # the first source that stays under its cap sets the level for itself and all later ones; of equal ratios it has the highest level
+    laid = laid.withColumn("final", F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", (-F.col("level")).alias("minus")))).over(everything))
     target = F.when(F.col("final").isNull() | (F.col("ratio") < F.col("final.ratio")), F.col("cap"))
-    target = target.otherwise(F.least(F.col("cap"), F.col("final.level") * F.col("weight")))
+    target = target.otherwise(F.least(F.col("cap"), -F.col("final.minus") * F.col("weight")))
     return laid.select("source", "source_size", "weight", target.alias("target"))
 
 
-def cuts(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
-    """A row a source: source, source_size, target, whole (repetitions of all), last (key up to which there is one more).
+def cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """A row a source: source, source_size, target, whole (repetitions of all), last (key up to which there is one more),
+    part_key and part (where only some of a row's copies come once more: their key, and how many).
 
-    ``sized`` has doc_id, source and size."""
+    ``sized`` has source, size and key."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = targets.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-    keyed = sized.select("source", "size", order_key(F.col("doc_id"), seed).alias("key")).withColumn("bucket", bucket_of(F.col("key")))
+    keyed = sized.select("source", "size", "key").withColumn("bucket", bucket_of(F.col("key")))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("upto", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
@@ -88,34 +90,50 @@ def cuts(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     cut = both.groupBy("p.source", "p.source_size", "p.target", "p.whole", "p.extra").agg(at.alias("at"))
     cut = materialise(cut.select("source", "source_size", "target", "whole", "extra", F.col("at.bucket").alias("bucket"), F.col("at.upto").alias("upto")))[0]
     same = F.col("k.source").eqNullSafe(F.col("c.source")) & (F.col("k.bucket") == F.col("c.bucket"))
-    close = keyed.alias("k").join(cut.alias("c"), same).groupBy("c.source", "c.extra", "c.upto", "k.key").agg(F.sum("k.size").alias("n"))
+    close = keyed.alias("k").join(cut.alias("c"), same).groupBy("c.source", "c.extra", "c.upto", "k.key").agg(
+        F.sum("k.size").alias("n"), F.count(F.lit(1)).alias("copies"), F.max("k.size").alias("size"))
     inside = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     close = close.withColumn("ahead", F.col("upto") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    # the one that would overshoot is taken if that comes nearer to the target
-    last = close.where(F.col("ahead") + F.col("n") / 2 <= F.col("extra")).groupBy("source").agg(F.max("key").alias("last"))
+    # a row that would overshoot is taken if that comes nearer to the target
+    fits = F.when(F.col("size") > 0, F.floor((F.col("extra") - F.col("ahead")) / F.col("size") + 0.5)).otherwise(F.when(
+        F.col("ahead") <= F.col("extra"), F.col("copies")).otherwise(F.lit(0)))
+    close = close.withColumn("fits", F.least(fits, F.col("copies")))
+    last = close.groupBy("source").agg(
+        F.max(F.when(F.col("fits") == F.col("copies"), F.col("key"))).alias("last"),
+        F.min(F.when((F.col("fits") > 0) & (F.col("fits") < F.col("copies")), F.struct("key", "fits"))).alias("p"))
     start = F.shiftleft(F.coalesce("c.bucket", F.lit(0)).cast("long"), 60 - BUCKETS.bit_length() + 1) - 1
     full = cut.alias("c").join(last.alias("l"), F.col("c.source").eqNullSafe(F.col("l.source")), "left")
     # written, so that Spark knows its true size before it plans the join with the documents
-    return materialise(full.select("c.source", "c.source_size", "c.target", "c.whole", F.coalesce("l.last", start).alias("last")))[0]
+    return materialise(full.select("c.source", "c.source_size", "c.target", "c.whole", F.coalesce("l.last", start).alias("last"),
+                                   F.col("l.p.key").alias("part_key"), F.col("l.p.fits").alias("part")))[0]
 
 
-def times(key: Column) -> Column:
-    """How often the joined row ``c`` of ``cuts`` takes a document."""
-    return (F.col("c.whole") + (key <= F.col("c.last")).cast("long")).alias("times")
+def times(rows: DataFrame, cut: DataFrame, key: Column) -> tuple[DataFrame, str, str]:
+    """``rows`` of sources in ``cuts``, with two new columns, named in turn: how often the mix takes each, and its source's size and target.
 
+    Rows are numbered only where the cut parts copies of one row."""
+    n, part, of = fresh(rows, "times", "part", "of")
+    known = rows.alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
+    known = known.select("d.*", F.struct("c.source_size", "c.target").alias(of), (F.col("c.whole") + (key <= F.col("c.last")).cast("long")).alias(n),
+                         F.when(key == F.col("c.part_key"), F.col("c.part")).alias(part))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    shared = known.where(F.col(part).isNotNull()).withColumn(n, F.col(n) + (place <= F.col(part)).cast("long"))
+    return known.where(F.col(part).isNull()).unionByName(shared).drop(part), n, of
 
-def planned(sized: DataFrame, weights: DataFrame | None, share: float, max_epochs: float, seed: int) -> DataFrame:
+
+def planned(sized: DataFrame, weights: DataFrame | None, share: float, max_epochs: float) -> DataFrame:
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         sources = repeating_weights(sources)
     else:
         same = F.col("a.source").eqNullSafe(F.col("b.source"))
         sources = sources.alias("a").join(weights.alias("b"), same).select("a.source", "a.source_size", F.col("b.weight").cast("double").alias("weight"))
-    return cuts(sized, fill_targets(sources, share, max_epochs), seed)
+    return cuts(sized, fill_targets(sources, share, max_epochs))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return materialise(pruned(docs, "doc_id", "source", "text").select("doc_id", "source", size_of(F.col("text")).alias("size")))[0]
+def sizes(docs: DataFrame, seed: int) -> DataFrame:
+    key = order_key(F.col("doc_id"), F.col("text"), seed).alias("key")
+    return materialise(pruned(docs, "doc_id", "source", "text").select("doc_id", "source", size_of(F.col("text")).alias("size"), key))[0]
 
 
 def epochs(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -123,16 +141,15 @@ def epochs(docs: DataFrame, weights: DataFrame | None = None, share: float = SHA
 
     ``weights`` has (source, weight), without them 3, 1, 2 repeat over the sources in order. Sources without a weight
     are left out."""
-    sized = sizes(docs)
-    cut = planned(sized, weights, share, max_epochs, seed)
-    joined = sized.alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
-    return joined.select("d.doc_id", "d.source", "d.size", "c.source_size", "c.target", times(order_key(F.col("d.doc_id"), seed)))
+    sized = sizes(docs, seed)
+    known, n, of = times(sized, planned(sized, weights, share, max_epochs), F.col("d.key"))
+    return known.select("doc_id", "source", "size", f"{of}.source_size", f"{of}.target", F.col(n).alias("times"))
 
 
 def take(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself: ``docs``' columns, each document as often as it is taken. Texts aren't shuffled."""
-    cut = planned(sizes(docs), weights, share, max_epochs, seed)
-    n, copy = fresh(docs, "times", "copy")
-    known = docs.alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
-    known = known.select("d.*", times(order_key(F.col("d.doc_id"), seed)).alias(n)).where(F.col(n) > 0)
-    return known.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int"))).alias(copy)).drop(copy)
+    cut = planned(sizes(docs, seed), weights, share, max_epochs)
+    known, n, _ = times(docs, cut, order_key(F.col("d.doc_id"), F.col("d.text"), seed))
+    [copy] = fresh(known, "copy")
+    once = known.where(F.col(n) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int"))).alias(copy))
+    return once.drop(copy)

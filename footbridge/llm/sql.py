@@ -50,7 +50,7 @@ left join lim on r.lang is not distinct from lim.lang and r.source is not distin
 """
 
 _BITS = 60 - mixing.BUCKETS.bit_length() + 1
-_KEY = f"cast('0x'||substr(md5('{mixing.SEED}:'||coalesce(cast(doc_id as varchar),'')),1,15) as bigint)"
+_KEY = f"cast('0x'||substr(md5('{mixing.SEED}:'||coalesce(cast(doc_id as varchar),'')||':'||md5(coalesce(text,''))),1,15) as bigint)"
 MIXING = rf"""
 with d as (select doc_id, source, {_KEY} key, len(regexp_extract_all(coalesce(text,''), '{_WORD}'))::bigint size from documents),
 s as (select source, sum(size)::bigint source_size from d group by source),
@@ -58,14 +58,13 @@ w as (select *, [{", ".join(map(str, mixing.WEIGHTS))}][((row_number() over (ord
 c as (select *, source_size*{mixing.MAX_EPOCHS}::double as cap, source_size*{mixing.MAX_EPOCHS}::double/weight ratio, sum(source_size) over ()*{mixing.SHARE}::double budget from w),
 v as (select *, (budget-coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding),0))
   /sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as lvl from c),
-f as (select min_by(lvl, ratio) lvl, min(ratio) ratio from v where lvl<ratio),
+f as (select first(lvl order by ratio, lvl desc) lvl, min(ratio) ratio from v where lvl<ratio),
 t as (select v.source, source_size, case when f.ratio is null or v.ratio<f.ratio then cap else least(cap, f.lvl*weight) end::double target from v, f),
 p as (select *, case when source_size>0 then cast(floor(target/source_size) as bigint) else 0 end whole from t),
-k as (select d.source, key, sum(size) n from d group by all),
-a as (select k.source, key, n, coalesce(sum(n) over (partition by k.source order by key rows between unbounded preceding and 1 preceding),0) ahead from k),
-l as (select a.source, max(key) last from a join p on a.source is not distinct from p.source where ahead+n/2.0<=target-whole*source_size group by all)
-select doc_id, size, p.source_size, target, ((whole+case when key<=coalesce(last,-1) then 1 else 0 end)*size)::bigint taken
-from d join p on d.source is not distinct from p.source left join l on d.source is not distinct from l.source
+a as (select *, coalesce(sum(size) over (partition by source order by key, copy rows between unbounded preceding and 1 preceding),0) ahead
+  from (select *, row_number() over (partition by source, key) copy from d))
+select doc_id, size, p.source_size, target, ((whole+case when ahead+size/2.0<=target-whole*source_size then 1 else 0 end)*size)::bigint taken
+from a join p on a.source is not distinct from p.source
 """
 
 TOP_K = """

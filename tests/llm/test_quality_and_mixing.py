@@ -88,8 +88,34 @@ def test_targets_and_shares(docs_of, share):
     assert copies == Counter({r.doc_id: r.times for r in got if r.times})
 
 
+def test_rows_without_id_and_copies_meet_the_target(docs_of):
+    words = "one two three four five six seven eight nine ten"
+    rows = (
+        [(None, f"{words} {i}", "en", "a") for i in range(100)]      # no ids, different texts
+        + [(None, words, "en", "b") for _ in range(100)]             # no ids, one text
+        + [(7, f"{words} {i % 4}", "en", "c") for i in range(100)]   # one id, four texts
+        + [(i, f"{words} {i}", "en", "d") for i in range(1000, 1100)]
+    )
+    docs = docs_of(rows)
+    for share in (0.83, 1.37):
+        got = mixing.epochs(docs, share=share).collect()
+        taken, size = Counter(), {r.source: r.size for r in got}
+        for r in got:
+            taken[r.source] += r.times * r.size
+            assert 0 <= r.times <= 2
+        order = sorted(size)
+        source_size = {r.source: r.source_size for r in got}
+        want = water(source_size, {s: [3, 1, 2][i % 3] for i, s in enumerate(order)}, share, 2.0)
+        assert all(r.target == pytest.approx(want[r.source]) for r in got)  # a and d clamp at the same level
+        assert all(abs(taken[r.source] - r.target) <= size[r.source] / 2 + 1e-6 for r in got) and len(got) == len(rows)
+        mix = Counter(r.source for r in mixing.take(docs, share=share).collect())
+        assert {s: n * size[s] for s, n in mix.items()} == dict(taken)
+    check(docs, mixing.epochs(docs).selectExpr("doc_id", "size", "source_size", "target", "times * size taken").collect(), MIXING)
+
+
 def test_sql_at_small_scale(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    check(docs, mixing.epochs(docs).selectExpr("doc_id", "size", "source_size", "target", "times * size taken").collect(), MIXING)
     check(docs, quality_rules.apply_rules(docs).collect(), QUALITY_RULES)
     assert os.path.isdir(sf)
