@@ -14,7 +14,7 @@ SAMPLE = [
     "walk_edges", "relation_members_closure", "walk_one_to_three", "stitch_bridges", "platform_ladder", "isolated_recovery",
     "interchange_pairs", "station_search", "pair_classes", "facility_ranking", "level_transitions", "coach_spans", "edge_ownership", "plan_legs",
     "member_reload", "stop_file_platforms", "stop_place_file_quays", "coach_feeds_numbered", "actual_formations", "refreshed_updates",
-    "result_files", "overlay_files", "attributed_transitions", "path_landmarks",
+    "result_files", "overlay_files", "attributed_transitions", "path_landmarks", "arc_points", "harvested_tracks",
 ]
 
 
