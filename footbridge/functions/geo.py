@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,20 +75,24 @@ def cells_around(lat: Column, lon: Column, radius_m: float) -> Column:
     return F.array_distinct(F.concat(row(-1), row(0), row(1)))
 
 
-def box_cells(lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column, step_deg: float) -> Column:
-    """Plain degree cells overlapped by a box; pair with ``box_cell`` on the point side."""
-    rows = F.sequence(F.floor(lat_lo / step_deg).cast("long"), F.floor(lat_hi / step_deg).cast("long"))
-    cols = F.sequence(F.floor(lon_lo / step_deg).cast("long"), F.floor(lon_hi / step_deg).cast("long"))
-    return F.flatten(F.transform(
-        rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("row"), c.alias("col")))
-    ))
+# quadtree cells have sides of a power of two in degrees, so their borders are exact in doubles
+WIDEST = 9
 
 
-def box_cell(lat: Column, lon: Column, step_deg: float) -> Column:
-    return F.struct(
-        F.floor(lat / step_deg).cast("long").alias("row"),
-        F.floor(lon / step_deg).cast("long").alias("col"),
-    )
+def zoom_of(extent: Column, step_deg: float) -> Column:
+    """The zoom (cells are ``2 ** zoom`` degrees wide) whose cells are no narrower than the extent and about ``step_deg``."""
+    least = math.floor(math.log2(step_deg))
+    return F.greatest(F.lit(least), F.least(F.lit(WIDEST), F.when(extent > 0, F.ceil(F.log2(extent))).otherwise(F.lit(least)))).cast("int")
+
+
+def side_of(zoom: Column) -> Column:
+    """The width of a cell in degrees."""
+    return F.pow(F.lit(2.0), zoom)
+
+
+def index_of(degrees: Column, zoom: Column) -> Column:
+    """The row of a latitude or the column of a longitude among the cells of a zoom."""
+    return F.floor(degrees / side_of(zoom)).cast("long")
 
 
 def segment_dist2(px, py, ax, ay, bx, by) -> Column:
