@@ -2,9 +2,10 @@
 
 Every document is measured once. Each measure goes into a quantile sketch per language and source: counts of
 logarithmic buckets, whose relative error is bounded and which merge by adding counts. Merged sketches of a language,
-and of all documents, stand in for groups too small to trust. A measure may exceed the median of its group by a
-multiple of the spread below the median; the half above the median is where junk lies, so it has no say. Thresholds are
-then joined to the measures.
+and of all documents, stand in for groups too small to trust. Limits are made of the quartiles of a group's sketch. Symbol
+rates and word lengths may exceed the upper quartile by a multiple of the distance between the quartiles. Repeated
+lines and words are absent from most texts, so their limits come from the part of the sketch above zero: its median, raised by a power
+of the ratio between median and lower quartile. Documents that the base rules reject are not in the sketches. Thresholds are then joined to the measures.
 
 Defined results: a null text counts as empty; empty texts have no words and fail the base rules. Null languages and
 sources are groups of their own. Repeated rows are each judged and each count. An empty table gives an empty result.
@@ -26,8 +27,10 @@ from footbridge.session import cut, materialise
 
 GAMMA = 1.02  # bucket i holds values in (GAMMA ** (i - 1), GAMMA ** i]; bucket 0 holds zero
 MIN_GROUP = 100  # documents a group needs for thresholds of its own
-# measure: (multiple of the spread, least spread); measures are in thousandths
-LIMITS = {"symbol_rate": (4.0, 10.0), "line_rate": (5.0, 100.0), "repeat_rate": (4.0, 80.0), "word_length": (6.0, 500.0)}
+# measures are in thousandths: (multiple of the distance between quartiles, least distance), (power of the ratio, least ratio)
+SPREADS = {"symbol_rate": (4, 10.0), "word_length": (8, 100.0)}
+RATIOS = {"line_rate": (3, 1.5), "repeat_rate": (5, 1.5)}
+LIMITS = ["symbol_rate", "line_rate", "repeat_rate", "word_length"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
@@ -93,34 +96,42 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """One row a group of ``keys``: its size, and the highest value each measure may have."""
+    """One row a group of ``keys`` and measure: how many documents speak for it, and the highest value it may have."""
+    told = sketch.where(~F.col("measure").isin(*RATIOS) | (F.col("bucket") > 0))
     group = Window.partitionBy(*keys, "measure")
-    ranked = sketch.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "size": F.sum("n").over(group)})
+    ranked = told.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "size": F.sum("n").over(group)})
 
     def quantile(q: float) -> Column:
         return value_of(F.min(F.when(F.col("upto") >= F.col("size") * q, F.col("bucket"))))
 
-    limits = ranked.groupBy(*keys, "measure", "size").agg(quantile(0.25).alias("low"), quantile(0.5).alias("mid"))
-    per = [
-        F.max(F.when(F.col("measure") == k, F.col("mid") + times * F.greatest(F.col("mid") - F.col("low"), F.lit(least)))).alias(k)
-        for k, (times, least) in LIMITS.items()
-    ]
-    return limits.groupBy(*keys).agg(F.max("size").alias("size"), *per)
+    parts = ranked.groupBy(*keys, "measure", "size").agg(quantile(0.25).alias("low"), quantile(0.5).alias("mid"), quantile(0.75).alias("high"))
+    limit = F.lit(None).cast("double")
+    for k, (times, least) in SPREADS.items():
+        limit = F.when(F.col("measure") == k, F.col("high") + times * F.greatest(F.col("high") - F.col("low"), F.lit(least))).otherwise(limit)
+    for k, (power, least) in RATIOS.items():
+        limit = F.when(F.col("measure") == k, F.col("mid") * F.pow(F.greatest(F.try_divide("mid", "low"), F.lit(least)), F.lit(power))).otherwise(limit)
+    return parts.select(*keys, "measure", "size", limit.alias("limit"))
 
 
 def thresholds(counted: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source) with a limit for each measure, from the finest group of at least ``min_group`` documents."""
-    sketch = materialise(sketches(counted))[0]
-    fine, every = fences(sketch, "lang", "source"), fences(merged(sketch))
-    by_lang = fences(merged(sketch, "lang"), "lang").where(F.col("size") >= min_group)
-    packed = lambda df, *keys: df.select(*keys, F.struct("size", *LIMITS).alias("t"))
-    own = packed(fine, "lang", "source").alias("a")
-    up = packed(by_lang, "lang").alias("b")
-    joined = own.join(up, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
-    best = F.when(F.col("a.t.size") >= min_group, F.col("a.t")).otherwise(F.coalesce(F.col("b.t"), packed(every).scalar()))
-    picked = joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), best.alias("t"))
+    """(lang, source) with a limit for each measure, from the finest group in which at least ``min_group`` documents speak for
+    it, else from all documents; null where nothing does."""
+    sketch = materialise(sketches(counted.where(~base_failed(F.col("counts")))))[0]
+    groups = sketch.select("lang", "source").distinct().select("lang", "source", F.explode(F.array(*map(F.lit, LIMITS))).alias("measure"))
+    levels = [
+        (fences(sketch, "lang", "source").where(F.col("size") >= min_group), ("lang", "source")),
+        (fences(merged(sketch, "lang"), "lang").where(F.col("size") >= min_group), ("lang",)),
+        (fences(merged(sketch)), ()),
+    ]
+    for i, (limits, keys) in enumerate(levels):
+        same = F.col("g.measure") == F.col("f.measure")
+        for k in keys:
+            same = same & F.col(f"g.{k}").eqNullSafe(F.col(f"f.{k}"))
+        groups = groups.alias("g").join(limits.alias("f"), same, "left").select("g.*", F.col("f.limit").alias(f"limit{i}"))
+    best = F.coalesce(*[f"limit{i}" for i in range(len(levels))])
+    per = [F.max(F.when(F.col("measure") == k, best)).alias(f"max_{k}") for k in LIMITS]
     # written, so that Spark knows its true size before it plans the join with the documents
-    return materialise(picked.select("lang", "source", *[F.col(f"t.{k}").alias(f"max_{k}") for k in LIMITS]))[0]
+    return materialise(groups.groupBy("lang", "source").agg(*per))[0]
 
 
 def within(counts: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from footbridge.llm import mixing, quality_rules, url_trust
 
 _LIMITS = quality_rules.LIMITS
+_SPREADS = quality_rules.SPREADS
+_RATIOS = quality_rules.RATIOS
 _GAMMA = quality_rules.GAMMA
 _WORD = r"[^\x20\x09-\x0D]+"
 _BUCKET = f"case when v<=0 then 0 else 1+cast(ceil(ln(cast(v as double))/ln({_GAMMA})) as integer) end"
@@ -12,16 +14,16 @@ _VALUE = f"case when bucket=0 then 0.0 else pow({_GAMMA}, bucket-1)*(2/(1+{_GAMM
 
 
 def _fences(keys: str, counts: str) -> str:
-    """Limits a group; ``keys`` is empty or a column list."""
+    """Limits of a group and measure; ``keys`` is empty or a column list."""
     by = f"{keys}, " if keys else ""
-    pick = ", ".join(
-        f"max(case when measure='{k}' then mid+{times}*greatest(mid-low,{least}) end) as max_{k}" for k, (times, least) in _LIMITS.items()
-    )
+    cases = [f"when '{k}' then high+{times}*greatest(high-low,{least})" for k, (times, least) in _SPREADS.items()]
+    cases += [f"when '{k}' then mid*pow(greatest(mid/low,{least}),{power})" for k, (power, least) in _RATIOS.items()]
+    part = ", ".join(f"min(case when upto>=size*{q} then val end) {name}" for q, name in ((0.25, "low"), (0.5, "mid"), (0.75, "high")))
     return f"""
-      select {by} max(size) size, {pick} from (
-        select {by} measure, size, min(case when upto>=size*0.25 then val end) low, min(case when upto>=size*0.5 then val end) mid from (
+      select {by} measure, size, case measure {" ".join(cases)} end lim from (
+        select {by} measure, size, {part} from (
           select *, sum(n) over (partition by {by} measure order by bucket) upto, sum(n) over (partition by {by} measure) size, {_VALUE} val
-          from (select {by} measure, bucket, sum(n) n from {counts} group by all)) group by all) group by all"""
+          from (select {by} measure, bucket, sum(n) n from {counts} where bucket>0 or measure not in ({", ".join(f"'{k}'" for k in _RATIOS)}) group by all)) group by all)"""
 
 
 QUALITY_RULES = rf"""
@@ -38,13 +40,16 @@ r as (select *, case when word_chars>0 then cast(floor(n_symbols*1000/word_chars
   case when n_lines>0 then cast(floor(n_dup_lines*1000/n_lines) as bigint) else 0 end line_rate,
   case when n_words>0 then cast(floor(n_repeat_words*1000/n_words) as bigint) else 0 end repeat_rate,
   case when n_words>0 then cast(floor(word_chars*1000/n_words) as bigint) else 0 end word_length from c),
-m as (unpivot (select lang, source, {", ".join(_LIMITS)} from r) on {", ".join(_LIMITS)} into name measure value v),
+m as (unpivot (select lang, source, {", ".join(_LIMITS)} from r where n_words>=50 and 100*n_repeat_words<=50*n_words) on {", ".join(_LIMITS)} into name measure value v),
 s as (select lang, source, measure, {_BUCKET} bucket, count(*) n from m group by all),
 fine as ({_fences("lang, source", "s")}), mid as ({_fences("lang", "s")}), every as ({_fences("", "s")}),
-lim as (select f.lang, f.source, {", ".join(f"case when f.size>={quality_rules.MIN_GROUP} then f.max_{k} when b.size>={quality_rules.MIN_GROUP} then b.max_{k} else e.max_{k} end max_{k}" for k in _LIMITS)}
-  from fine f left join mid b on f.lang is not distinct from b.lang, every e)
+lim as (select g.lang, g.source, {", ".join(f"max(case when g.measure='{k}' then coalesce(f.lim, b.lim, e.lim) end) max_{k}" for k in _LIMITS)}
+  from (select distinct lang, source, unnest([{", ".join(f"'{k}'" for k in _LIMITS)}]) measure from s) g
+  left join (from fine where size>={quality_rules.MIN_GROUP}) f on g.lang is not distinct from f.lang and g.source is not distinct from f.source and g.measure=f.measure
+  left join (from mid where size>={quality_rules.MIN_GROUP}) b on g.lang is not distinct from b.lang and g.measure=b.measure
+  left join every e on g.measure=e.measure group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed base_failed,
-  not failed and {" and ".join(f"{k}<=max_{k}" for k in _LIMITS)} kept
+  not failed and {" and ".join(f"{k}<=coalesce(max_{k},'inf'::double)" for k in _LIMITS)} kept
 from (select *, n_words<50 or 100*n_repeat_words>50*n_words failed from r) r
 left join lim on r.lang is not distinct from lim.lang and r.source is not distinct from lim.source
 """

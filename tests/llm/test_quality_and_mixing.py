@@ -1,5 +1,6 @@
 import math
 import os
+import random
 from collections import Counter
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 
 from footbridge.llm import mixing, quality_rules
 from footbridge.llm.sql import MIXING, QUALITY_RULES
+from pyspark.sql import functions as F
 
 EDGES = [
     (0, None, None, None), (1, "", "en", "b"), (2, " \n\t", "en", "b"), (3, "a b c a b c a b c", "en", "b"), (4, "x\ny\nx\n\n", None, "a"), (5, "w " * 40000, "de", None),
@@ -47,6 +49,27 @@ def test_rules_part_labelled_documents(spark):
     assert n[1, True] >= 0.98 * (n[1, True] + n[1, False]) and n[0, False] >= 0.9 * (n[0, True] + n[0, False])
 
 
+def test_limits_follow_their_groups(spark, docs_of):
+    """Texts of one source repeat words and use symbols several times as often as those of another one; each gets its own limits."""
+    rng = random.Random(5)
+
+    def text(repeats, symbols):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(rng.choice([0, 0, 0, repeats, repeats, 2 * repeats])):
+            words += words[10:13]
+        return " ".join(words + ["#" * 9] * (rng.choice([2, 3, 4]) * symbols))
+
+    rows = [(i, text(1, 0), "en", "prose") for i in range(300)] + [(1000 + i, text(6, 6), "en", "code") for i in range(300)]
+    rows += [(2000, text(1, 6), "en", "prose"), (2001, text(1, 6), "en", "code")]
+    docs = docs_of(rows)
+    counted = quality_rules.measured(docs)
+    prose, code = (quality_rules.thresholds(counted).where(F.col("source") == s).first() for s in ("prose", "code"))
+    assert code.max_symbol_rate >= 3 * prose.max_symbol_rate and code.max_repeat_rate >= 3 * prose.max_repeat_rate
+    got = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs).collect()}
+    assert not got[2000] and got[2001] and sum(got.values()) >= 0.98 * len(rows)
+    check(docs, quality_rules.apply_rules(docs).collect(), QUALITY_RULES)
+
+
 def test_mix_on_edges(docs_of):
     docs = docs_of(EDGES)
     times = mixing.epochs(docs).selectExpr("doc_id", "size", "source_size", "target", "times * size taken")
