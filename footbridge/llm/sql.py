@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from footbridge.llm import mixing, quality_rules, url_trust
 
 _LIMITS = quality_rules.LIMITS
@@ -88,28 +90,27 @@ def _trust() -> str:
     lower = f"translate({{}}, '{url_trust.UPPER}', '{url_trust.LOWER}')"
     link = url_trust.LINK.replace("'", "''")
     domain = "array_to_string(string_split({0}, '.')[-2:], '.')"
-    walk = "".join(
-        f"""
-m{i + 1} as (select kind, host, sum(mass)::bigint mass from (
-  select kind, host, mass*{100 - url_trust.KEEP}//100 mass from m0
-  union all select e.kind, e.dst, m.mass*{url_trust.KEEP}//100//e.degree from e join m{i} m on m.kind=e.kind and m.host=e.src) group by all),"""
-        for i in range(url_trust.ROUNDS)
-    )
+    # as many rounds as it takes if no mass ends at a host without links
+    rounds = math.ceil(math.log(url_trust.SETTLED) / math.log(url_trust.KEEP / 100) / url_trust.CUT_EVERY) * url_trust.CUT_EVERY
+    units = f"'{url_trust.UNIT}'::hugeint"
     return f"""
-with r(rule, verdict, rule_host, rule_path) as (values {rules}),
+with recursive r(rule, verdict, rule_host, rule_path) as (values {rules}),
 p as (select row_number() over () rid, page_id, coalesce({lower.format(f"regexp_extract(url, '{url_trust.URL}', 1)")}, '') host,
   coalesce(regexp_extract(url, '{url_trust.URL}', 2), '') path, coalesce(html, '') html from pages),
 f as (select rid, max_by(rule, length(rule)) rule, max_by(verdict, length(rule)) ruling from p, r
   where (host=rule_host or host like '%.'||rule_host) and starts_with(path, rule_path) group by rid),
 j as (select p.*, f.rule, f.ruling from p left join f using (rid)),
 s as (select case ruling when 'allow' then 'trust' else 'distrust' end kind, host, count(*) n from j where ruling is not null group by all),
-m0 as (select kind, host, cast(floor({url_trust.UNIT}::double*n/sum(n) over (partition by kind)) as bigint) mass from s),
+m0 as (select kind, host, {units}*n//(sum(n) over (partition by kind))::hugeint walking from s),
 away as (select host src, {lower.format("dst")} dst from (select host, unnest(regexp_extract_all(html, '{link}', 1)) dst from p)),
 up as (select distinct host src, {domain.format("host")} dst from p),
 l as (select distinct src, dst from (select * from away union all select * from up union all select dst, src from up) where src<>dst and src<>'' and dst<>''),
 k as (select 'trust' kind, src, dst from l union all select 'distrust', dst, src from l),
-e as (select *, count(*) over (partition by kind, src) degree from k),{walk}
-t as (select host, coalesce(sum(mass) filter (kind='trust'),0) trust, coalesce(sum(mass) filter (kind='distrust'),0) distrust from m{url_trust.ROUNDS} group by host)
+e as (select *, count(*) over (partition by kind, src) degree from k),
+w as (select 0 i, kind, host, walking from m0
+  union all select m.i+1, e.kind, e.dst, sum(m.walking*{url_trust.KEEP}//(e.degree*100))::hugeint from w m join e on e.kind=m.kind and e.src=m.host where m.i<{rounds - 1} group by all),
+m as (select kind, host, sum(walking*{100 - url_trust.KEEP}//100) mass from w group by all),
+t as (select host, coalesce(sum(mass) filter (kind='trust'),0) trust, coalesce(sum(mass) filter (kind='distrust'),0) distrust from m group by host)
 select page_id, j.host, path, rule, coalesce(ruling, case when distrust>trust then 'block' else 'allow' end) verdict from j left join t using (host)
 """
 

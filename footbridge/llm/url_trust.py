@@ -6,9 +6,11 @@ Trust walks forward over host edges, distrust backward, as personalised PageRank
 edges are the distinct hosts a host's pages link to, and a host and its registered domain, which vouch for each other.
 A host is blocked if its distrust exceeds its trust.
 
-Mass is counted in whole units of 2^-40 and divided by floor, so results do not depend on the order of sums. Edges are
-made distinct with partial aggregation; hosts with many pages are one node. Every few rounds are written to the shared
-folder.
+Mass is counted in whole units of 10^-26, decimals of 38 digits, and divided by floor, so results do not depend on the order of
+sums and a seed among billions still passes shares on through hubs. A host keeps part of the mass that reaches it; the rest walks on until
+what still walks is, at every host, less than a stated share of what the host has, however many rounds that takes. Edges are made distinct with partial
+aggregation; hosts with many pages are one node. Every few rounds are written to the shared folder, and what still walks is
+observed there.
 
 Defined results: a null url, or one without ://, has an empty host and path and is allowed unless a rule fits it; a null
 page has no links. Of rules of equal length the one of the longer host wins. Repeated rows are judged each. Empty
@@ -21,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footbridge.llm.columns import pruned
-from footbridge.session import cut
+from footbridge.session import cut, materialise
 
-UNIT = 1 << 40
-ROUNDS = 10
+UNIT = 10**26
 KEEP = 85  # per cent of a host's mass that walks on each round
+SETTLED = 10**-4  # the share of a host's mass that may still walk at the end; a host just reached has walking mass only
 CUT_EVERY = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -73,24 +75,35 @@ def links(pages: DataFrame) -> DataFrame:
     return edges.where("src <> dst and src <> '' and dst <> ''").distinct()
 
 
-def walk(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def shares(units: Column, parts: Column) -> Column:
+    """Whole units divided by floor; both of their quotient's operands are exact."""
+    parts = parts.cast("decimal(20,0)")
+    return ((units - units % parts) / parts).cast("decimal(38,0)")
+
+
+def walk(seeds: DataFrame, edges: DataFrame, settled: float = SETTLED) -> DataFrame:
     """(kind, host, mass) after personalised PageRank of each kind from its seeds (kind, host, n) over (kind, src, dst)."""
+    units = lambda c: c.cast("decimal(38,0)")
+    none = units(F.lit(0))
     total = seeds.groupBy("kind").agg(F.sum("n").alias("total"))
-    start = cut(seeds.join(total, "kind").select("kind", "host", F.expr(f"cast({UNIT}D * n / total as bigint)").alias("mass")))
+    given = units(units(F.lit(str(UNIT))) * F.col("n").cast("decimal(20,0)"))
+    start = seeds.join(total, "kind").select("kind", "host", none.alias("mass"), shares(given, F.col("total")).alias("walking"))
     degree = edges.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("degree"))
     steps = cut(edges.join(degree, ["kind", "src"]))
-    mass = start
-    back = start.select("kind", "host", F.expr(f"mass * {100 - KEEP} div 100").alias("mass"))
-    for i in range(rounds):
-        here = mass.select("kind", F.col("host").alias("src"), "mass")
-        moved = steps.join(here, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.expr(f"mass * {KEEP} div 100 div degree").alias("mass"))
-        mass = back.unionByName(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if (i + 1) % CUT_EVERY == 0:
-            mass = cut(mass)
-    return mass
-
-
-def judge(pages: DataFrame, rules: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    left = F.coalesce(F.max(F.try_divide(F.col("walking").cast("double"), (F.col("mass") + F.col("walking")).cast("double"))), F.lit(0.0))
+    table, seen = materialise(start, left=left)
+    while seen["left"] > settled:
+        for _ in range(CUT_EVERY):
+            here = table.select("kind", F.col("host").alias("src"), units(F.col("walking") * KEEP).alias("on"))
+            stays = shares(units(F.col("walking") * (100 - KEEP)), F.lit(100))
+            moved = steps.join(here, ["kind", "src"]).select("kind", F.col("dst").alias("host"), none.alias("mass"), shares(F.col("on"), F.col("degree") * 100).alias("walking"))
+            kept = table.select("kind", "host", units(F.col("mass") + stays).alias("mass"), none.alias("walking"))
+            table = kept.unionByName(moved).groupBy("kind", "host").agg(units(F.sum("mass")).alias("mass"), units(F.sum("walking")).alias("walking"))
+        table, seen = materialise(table, left=left)
+    return table.select("kind", "host", "mass")
+
+
+def judge(pages: DataFrame, rules: DataFrame, settled: float = SETTLED) -> DataFrame:
     """page_id, host, path, rule and verdict of every page, by ``rules`` of (rule, verdict allow or block) and trust."""
     pages = pruned(pages, "page_id", "url", "html")
     placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -103,7 +116,7 @@ def judge(pages: DataFrame, rules: DataFrame, rounds: int = ROUNDS) -> DataFrame
     seeds = ruled.where("ruling is not null").groupBy(kinds[F.col("ruling")].alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
     forward = links(pages)
     edges = forward.select(F.inline(F.array(F.struct(F.lit("trust").alias("kind"), "src", "dst"), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))))
-    mass = walk(seeds, edges, rounds)
+    mass = walk(seeds, edges, settled)
     side = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0))
     scores = cut(mass.groupBy("host").agg(side("trust").alias("trust"), side("distrust").alias("distrust")))
     verdict = F.coalesce("ruling", F.when(F.col("distrust") > F.col("trust"), F.lit("block")).otherwise(F.lit("allow")))

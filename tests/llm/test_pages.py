@@ -35,6 +35,18 @@ def test_verdicts_match_sql(spark):
     assert U.judge(pages_of(spark, []), rules_of(spark)).collect() == []
 
 
+def test_mass_of_one_seed_among_many_passes_hubs_and_long_ways(spark):
+    """One page of ten million is blocked; its host links to a hundred thousand subdomains, one of which starts a chain of 25 links."""
+    seeds = spark.createDataFrame([("distrust", "bad", 1), ("distrust", "far", 10**7 - 1)], "kind string, host string, n long")
+    fan = spark.range(100_000).selectExpr("'distrust' kind", "'bad' src", "concat('s', id) dst")
+    chain = spark.range(25).selectExpr("'distrust' kind", "if(id = 0, 's7', concat('c', id)) src", "concat('c', id + 1) dst")
+    got = {r.host: int(r.mass) for r in U.walk(seeds, fan.unionByName(chain)).where("host in ('bad', 'far', 's7', 's8', 'c1', 'c25')").collect()}
+    keep, one = U.KEEP / 100, U.UNIT / 10**7
+    want = {"bad": one, "far": U.UNIT - one, "s7": one * keep / 1e5, "s8": one * keep / 1e5, "c1": one * keep**2 / 1e5, "c25": one * keep**26 / 1e5}
+    assert got.keys() == want.keys() and all(got[h] == pytest.approx(m * (1 - keep), rel=1e-6) for h, m in want.items() if h != "c25")
+    assert 0 <= got["c25"] <= want["c25"]
+
+
 def test_longest_rule_wins(spark):
     rules = spark.createDataFrame([("org/", "block"), ("a.org", "allow"), ("a.org/x", "block"), ("b/", "allow")], "rule string, verdict string")
     rows = [(1, "s://a.org/y", None), (2, "s://q.a.org/xy", None), (3, "s://b/", None), (4, "s://a.org", None), (5, "s://c.org/", None)]
