@@ -27,7 +27,7 @@ from footbridge.session import cut, materialise
 
 UNIT = 10**26
 KEEP = 85  # per cent of a host's mass that walks on each round
-SETTLED = 10**-4  # the share of a host's mass that may still walk at the end; a host just reached has walking mass only
+SETTLED = 0.01  # the share of a host's mass that may still walk at the end; a host just reached has walking mass only
 CUT_EVERY = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
