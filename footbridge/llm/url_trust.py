@@ -89,7 +89,8 @@ def walk(seeds: DataFrame, edges: DataFrame, settled: float = SETTLED) -> DataFr
     given = units(units(F.lit(str(UNIT))) * F.col("n").cast("decimal(20,0)"))
     start = seeds.join(total, "kind").select("kind", "host", none.alias("mass"), shares(given, F.col("total")).alias("walking"))
     degree = edges.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("degree"))
-    steps = cut(edges.join(degree, ["kind", "src"]))
+    # merged, not broadcast: a broadcast a round would fill the driver's memory
+    steps = cut(edges.join(degree, ["kind", "src"])).hint("merge")
     left = F.coalesce(F.max(F.try_divide(F.col("walking").cast("double"), (F.col("mass") + F.col("walking")).cast("double"))), F.lit(0.0))
     table, seen = materialise(start, left=left)
     while seen["left"] > settled:
