@@ -99,6 +99,11 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(order, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
 
 
+def count_kind(found: Column, kind: int) -> Column:
+    """How many spans are of one kind. The condition takes the span alone: a second argument would be its place."""
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+
+
 def samples(docs: DataFrame, per_label: int = SAMPLES) -> DataFrame:
     """Labelled samples (sample, label) from the documents themselves.
 
