@@ -127,3 +127,12 @@ def test_unknown_distance_is_null(spark):
     row = spark.createDataFrame([(None, 8.0)], "lat double, lon double").select(
         haversine(F.col("lat"), F.col("lon"), F.lit(47.0), F.lit(8.0)).alias("d")).first()
     assert row["d"] is None
+
+
+def test_few_starts_use_several_tasks(spark):
+    edges = edges_of(spark, [(1, 2, 1.0), (2, 3, 2.0)])
+    starts = spark.range(64).selectExpr("id as search", "1L as node", "0D as start_s", "900D as limit_s")
+    state = walks.spread(walks.adjacency(edges), starts)
+    assert len(state.inputFiles()) > 1
+    got = {(r.search, r.node): r.seconds for r in state.collect()}
+    assert got == {(s, n): t for s in range(64) for n, t in ((1, 0.0), (2, 1.0), (3, 3.0))}
