@@ -1,6 +1,6 @@
 """Shared arcs of rings against a plain walk around each ring."""
 
-from footbridge.operators.topology import arc_points, edge_owners, shared_arcs
+from footbridge.operators.topology import arc_points, edge_owners, prepare_rings, shared_arcs
 
 BOX = (-1000.0, -1000.0, 1000.0, 1000.0)
 
@@ -67,3 +67,17 @@ def test_long_ring_takes_few_rounds(spark):
 
 def test_no_rings(spark):
     assert traced(spark, []).count() == 0
+
+
+def test_preparing_rings_does_not_repeat_its_steps(spark):
+    rows = (
+        ring(1, [(0, 0), (1, 0), (1, 0.0001), (1, 1), (0, 1)])         # a vertex that meets the one before once snapped
+        + ring(2, [(5000, 0), (5001, 0), (5001, 1)])                   # beyond the box
+        + ring(3, [(0, 0), (0.01, 0), (0.01, 0.01)])                   # too small
+        + [(4, 0, 0.0, 0.0), (4, 1, 2.0, 0.0), (4, 2, 2.0, 2.0), (4, 3, 0.0, 2.0)]   # not closed
+        + [(None, 0, 0.0, 0.0), (None, 1, 2.0, 0.0), (None, 2, 2.0, 2.0), (None, 3, 0.0, 0.0)])
+    got = prepare_rings(spark.createDataFrame(rows, "ring_id long, pos long, x double, y double"), BOX, 0.01)
+    assert [tuple(r) for r in got.orderBy("ring_id", "pos").collect()] == (
+        ring(1, [(0, 0), (1, 0), (1, 1), (0, 1)]) + ring(4, [(0, 0), (2, 0), (2, 2), (0, 2)]))
+    # what reads the rings sorts nothing of their preparation again
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
