@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from footbridge import model as M
 from footbridge.functions.geo import haversine
 from footbridge.operators import walks
+from footbridge.operators.graph import PLAIN
+from footbridge.session import cut
 
 
 def sector_map(signs: DataFrame, platforms: DataFrame) -> DataFrame:
@@ -117,11 +119,33 @@ def seat_walks(points: DataFrame, goals: DataFrame, edges: DataFrame, cutoff_s:
 
     ``points`` from ``alighting_points``; ``goals`` has ``goal_key, node_id`` and ``seat_id`` pairs come
     from ``points.goal_key``; without ``cutoff_s`` no walk is too long. Metres include the stretch along the platform.
+
+    Without ``cutoff_s`` the search runs once per goal, against the edges, and all seats that ask for a goal share it: a
+    station has a few goals and many spots. A walk not found is then certainly disconnected, so ``reach_s`` is null.
     """
     starts = points.selectExpr("seat_id as start_key", "node_a as node_id", "to_a_s as start_s").unionByName(
         points.selectExpr("seat_id as start_key", "node_b as node_id", "to_b_s as start_s"))
-    asked = points.select(F.col("seat_id").alias("request_id"), F.col("seat_id").alias("start_key"), "goal_key", F.lit(float("inf") if cutoff_s is None else cutoff_s).alias("cutoff_s"))
-    return walks.shortest_walks(asked, starts, goals, edges).withColumnRenamed("request_id", "seat_id")
+    if cutoff_s is not None:
+        asked = points.select(F.col("seat_id").alias("request_id"), F.col("seat_id").alias("start_key"), "goal_key", F.lit(cutoff_s).alias("cutoff_s"))
+        return walks.shortest_walks(asked, starts, goals, edges).withColumnRenamed("request_id", "seat_id")
+    asked = points.select("seat_id", "goal_key")
+    doors = cut(starts.join(asked.distinct().withColumnRenamed("seat_id", "start_key"), "start_key"))
+    back = edges.selectExpr(
+        "dst as src", "dst_lv as src_lv", "src as dst", "src_lv as dst_lv", "seconds", "metres", "way_id", "to_pos as from_pos", "from_pos as to_pos")
+    targets = cut(doors.select(F.col("goal_key").alias("search"), F.col("node_id").alias("node")).distinct())
+    seeds = goals.join(asked.select("goal_key").distinct(), "goal_key", "left_semi").select(
+        F.col("goal_key").alias("search"), F.col("node_id").alias("node"), F.lit(0.0).alias("start_s"), F.lit(float("inf")).alias("limit_s"))
+    state = walks.spread(cut(walks.adjacency(back)), seeds, goals=targets, with_origin=True)
+    reached = state.where(F.col("lv") == PLAIN).selectExpr(
+        "search as goal_key", "node as node_id", "seconds as onward_s", "metres as onward_m", "origin")
+    total, order = F.col("start_s") + F.col("onward_s"), F.struct(F.col("start_s") + F.col("onward_s"), "origin")
+    best = doors.join(reached, ["goal_key", "node_id"]).where("start_s is not null").groupBy("start_key", "goal_key").agg(
+        F.min(total).alias("seconds"), F.min_by(F.col("start_s") * M.WALK_SPEED + F.col("onward_m"), order).alias("metres"),
+        F.min_by("origin", order).alias("reached_node")).withColumnRenamed("start_key", "seat_id")
+    found = F.col("seconds").isNotNull()
+    return asked.join(best, ["seat_id", "goal_key"], "left").select(
+        "seat_id", found.alias("found"), "seconds", "metres", "reached_node",
+        F.when(~found, F.lit(M.DISCONNECTED)).alias("reason"), F.lit(None).cast("double").alias("reach_s"))
 
 
 def stepoff(walk_starts: DataFrame, lines: DataFrame, goal_points: DataFrame) -> DataFrame:
