@@ -76,9 +76,9 @@ def _bracket(points: DataFrame, lines: DataFrame) -> DataFrame:
         F.col("node_id").alias("node_a"), F.lead("node_id").over(order).alias("node_b"),
         F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"),
         F.lead("lat").over(order).alias("b_lat"), F.lead("lon").over(order).alias("b_lon")).where("node_b is not null")
-    # of the segments that begin at one offset one stays, so a point falls on the one between its begin and the next;
+    # of the segments that begin at one offset the shortest stays, so a point falls on the one between its begin and the next;
     # a platform has a handful of vertices, so meeting its segments is a small equi-join
-    parts = segs.groupBy("line", "c0").agg(F.max_by(F.struct(*[c for c in segs.columns if c not in ("line", "c0")]), "node_b").alias("s"))
+    parts = segs.groupBy("line", "c0").agg(F.min_by(F.struct(*[c for c in segs.columns if c not in ("line", "c0")]), F.struct("c1", "node_b")).alias("s"))
     begins = parts.select("line", "c0", F.lead("c0").over(Window.partitionBy("line").orderBy("c0")).alias("next_c0"), "s.*")
     inside = F.least(F.greatest(F.col("offset_m"), F.lit(0.0)), F.col("length_m"))
     return points.distinct().join(cut(begins), "line").withColumn("at_m", inside).where(

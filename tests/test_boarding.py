@@ -22,7 +22,7 @@ def test_offsets_fall_on_one_segment(spark):
     got = {r.seat_id: (r.at_m, r.c0) for r in out.collect()}
     assert got == {0: (0, 0), 1: (0, 0), 2: (9, 0), 3: (10, 10), 4: (25, 10), 5: (40, 10), 6: (40, 10)} and out.count() == 7
     # no group of the points' segments is built
-    assert "max_by" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_by(" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_seats_that_share_a_goal_share_a_search(spark, monkeypatch):
