@@ -47,6 +47,25 @@ def test_mass_of_one_seed_among_many_passes_hubs_and_long_ways(spark):
     assert 0 <= got["c25"] <= want["c25"]
 
 
+def test_a_round_reads_the_round_before_once(spark, monkeypatch):
+    """The plan of the rounds between two cuts grows by one read of the steps a round, not twofold."""
+    leaves, write = [], U.materialise
+
+    def watched(df, **metrics):
+        leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+        return write(df, **metrics)
+
+    monkeypatch.setattr(U, "materialise", watched)
+    seeds = spark.createDataFrame([("trust", "a", 2), ("trust", "lone", 1)], "kind string, host string, n long")
+    edges = spark.createDataFrame([("trust", "a", "b"), ("trust", "b", "a"), ("trust", "a", "c")], "kind string, src string, dst string")
+    got = {r.host: int(r.mass) for r in U.walk(seeds, edges).collect()}
+    assert max(leaves[1:]) <= U.CUT_EVERY + 1
+    # of what reaches a host all but 85 % stays; c and lone pass nothing on
+    a = 2 / 3 / (1 - 0.85**2 / 2)
+    want = {"a": a, "b": a * 0.425, "c": a * 0.425, "lone": 1 / 3}
+    assert got.keys() == want.keys() and all(got[h] == pytest.approx(0.15 * U.UNIT * m, rel=1e-3) for h, m in want.items())
+
+
 def test_longest_rule_wins(spark):
     rules = spark.createDataFrame([("org/", "block"), ("a.org", "allow"), ("a.org/x", "block"), ("b/", "allow")], "rule string, verdict string")
     rows = [(1, "s://a.org/y", None), (2, "s://q.a.org/xy", None), (3, "s://b/", None), (4, "s://a.org", None), (5, "s://c.org/", None)]
