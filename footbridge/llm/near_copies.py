@@ -6,10 +6,10 @@ of different components that are left meet in a join with prefix filters.
 
 A text is the set of the hashes of its five-word shingles. Two sets with a similarity of t or more share one of the first
 n - ceil(t n) + 1 members of each, whatever order all sets are put in. So texts meet on these members only, and each pair
-that meets is confirmed on the whole sets. The order puts shingles that a sample of texts finds common last and goes by
+that can still reach the similarity from the shared member on is confirmed on the whole sets. The order puts shingles that a sample of texts finds common last and goes by
 hash otherwise; it decides how many pairs meet, never which pairs are confirmed.
 
-Equal sets are one node. Of the texts that share a member, each first meets one of another component, in rounds with
+Equal sets are one node. No pair is confirmed twice. Of the texts that share a member, each first meets one of another component, in rounds with
 changing choice, so that a large group of near copies becomes one component by about as many pairs as it has texts. Then
 only pairs of different components are left to meet, and all of them do.
 
@@ -35,10 +35,12 @@ from footbridge.session import count_true, cut, materialise
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # least similarity
-SAMPLE = 8192  # texts that tell common shingles
+SAMPLE = 8192  # texts that tell common shingles, at least
+SHARE = 8  # and one text in so many: a smaller share would let the texts that meet on one shingle grow with the table
 COMMON = 3  # texts of the sample that a common shingle is in
-MOST_COMMON = 65536  # shingles that the order puts last
+MOST_COMMON = 262144  # shingles that the order puts last
 GAIN = 10  # rounds end when fewer than one pair in so many is confirmed
+TRIES = 16  # pairs of two components that are tried before all of them are
 
 
 def hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -81,7 +83,7 @@ def _members(texts: pd.Series) -> pd.Series:
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of shingles in several texts of a sample."""
     text = pruned(docs, "text").where("text is not null")
-    part = text.where(F.pmod(F.xxhash64("text"), F.lit(max(1, text.count() // SAMPLE))) == 0).distinct()
+    part = text.where(F.pmod(F.xxhash64("text"), F.lit(max(1, min(SHARE, text.count() // SAMPLE)))) == 0).distinct()
     times = part.select(F.explode(_members("text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     return np.sort(np.array([r.h for r in times.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], dtype=np.int64))
 
@@ -105,13 +107,18 @@ def described(docs: DataFrame) -> DataFrame:
     return rows.select("row", "d.*")
 
 
-def confirmed(pairs: DataFrame, held: DataFrame, docs: DataFrame) -> tuple[DataFrame, dict]:
+def once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One of the rows of each key; only those of ``repeated`` keys have to meet for that."""
+    if repeated.isEmpty():
+        return rows
+    return rows.join(repeated, "row", "left_anti").unionByName(rows.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
+
+
+def confirmed(pairs: DataFrame, lean: DataFrame, docs: DataFrame, repeated: DataFrame) -> tuple[DataFrame, dict]:
     """The pairs (a, b) that are similar, and how many of how many they are.
 
     Where one prefix ends first, all common members up to there are in both prefixes, and of the others there are no more
     than that set has left. Pairs that can't reach the similarity so are settled without their whole sets."""
-    left = F.ceil(NUM * F.col("n") / DEN).cast("int") - 1
-    lean = held.groupBy("row").agg(F.collect_list("member").alias("shared"), F.first(F.struct("late", "last")).alias("end"), F.first(left).alias("left"), F.first("n").alias("n"))
     of = lambda k, t: t.select(*[F.col(c).alias(k if c == "row" else f"{c}_{k}") for c in t.columns])
     lean = cut(lean.join(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi"))
     both = pairs.join(of("a", lean), "a").join(of("b", lean), "b")
@@ -120,9 +127,10 @@ def confirmed(pairs: DataFrame, held: DataFrame, docs: DataFrame) -> tuple[DataF
     open_ = open_.where("open").select("a", "b")
     if not seen["open"]:
         return open_, seen | {"near": 0}
-    rows = open_.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    rows = cut(open_.select(F.explode(F.array("a", "b")).alias("row")).distinct())
     texts = docs.select(row_key(docs).alias("row"), docs["text"]).join(rows, "row", "left_semi")
-    sets = cut(texts.dropDuplicates(["row"]).select("row", _members("text").alias("members")))
+    texts = once(texts, cut(repeated.join(rows, "row", "left_semi")))
+    sets = cut(texts.select("row", _members("text").alias("members")))
     both = open_.join(of("a", sets), "a").join(of("b", sets), "b")
     same = F.size(F.array_intersect("members_a", "members_b"))
     near = (NUM + DEN) * same >= NUM * (F.size("members_a") + F.size("members_b"))
@@ -147,36 +155,54 @@ def near_fingerprints(marked: DataFrame, nodes: DataFrame) -> DataFrame:
     return equal.unionByName(linked.select("a", "b"))
 
 
-def similar(docs: DataFrame, marked: DataFrame, nodes: DataFrame) -> DataFrame:
+def similar(docs: DataFrame, marked: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
     """(node, least) of every node with a similar one: the least row reachable."""
-    held = marked.join(nodes, "row", "left_semi").select("row", "n", "late", "last", F.xxhash64("whole").alias("tag"), F.explode("prefix").alias("member"))
-    shared = held.groupBy("member").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low <> high")
-    held = cut(held.join(shared.select("member"), "member", "left_semi").drop("tag").distinct())
-    near, seen = confirmed(cut(near_fingerprints(marked, nodes)), held, docs)
+    own = once(marked.join(nodes, "row", "left_semi"), repeated)
+    held = own.select("row", "n", F.posexplode("prefix").alias("at", "member")).select("row", "n", (F.col("n") - F.col("at")).alias("rest"), "member")
+    shared = held.groupBy("member").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    held = cut(held.join(shared.select("member"), "member", "left_semi"))
+    left = F.ceil(NUM * F.col("n") / DEN).cast("int") - 1
+    ends = own.select("row", "n", left.alias("left"), F.struct("late", "last").alias("end"))
+    lean = cut(held.groupBy("row").agg(F.collect_list("member").alias("shared")).join(ends, "row"))
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    asked = cut(near_fingerprints(marked, nodes).select(low, high).distinct())
+    near, seen = confirmed(asked, lean, docs, repeated)
     links, found, turn = (near, cut(components(near)), 0) if seen["near"] else (None, None, 0)
-    # sizes that no similar pair can have
-    fits = (DEN * F.col("n") >= NUM * F.col("n_b")) & (DEN * F.col("n_b") >= NUM * F.col("n"))
+    # the first member that two sets share leaves either no more common ones than it has from there on
+    reaches = (NUM + DEN) * F.least("rest", "rest_b") >= NUM * (F.col("n") + F.col("n_b"))
     while True:
         placed = in_components(held, found)
-        chosen = F.min(F.struct(F.xxhash64("least", F.lit(turn)), F.col("least").alias("least"), F.col("row").alias("row"), F.col("n").alias("n"))).alias("one")
+        chosen = F.min(F.struct(F.xxhash64("least", F.lit(turn)), F.col("least").alias("least"), F.col("row").alias("row"), F.col("n").alias("n"), F.col("rest").alias("rest"))).alias("one")
         ones = placed.groupBy("member").agg(F.min("least").alias("low"), F.max("least").alias("high"), chosen).where("low <> high")
-        ones = cut(ones.select("member", F.col("one.row").alias("b"), F.col("one.least").alias("least_b"), F.col("one.n").alias("n_b")))
-        pairs = placed.join(ones, "member").where((F.col("least") != F.col("least_b")) & fits)
-        near, seen = confirmed(cut(pairs.select(F.col("row").alias("a"), "b").distinct()), held, docs)
+        ones = cut(ones.select("member", F.col("one.row").alias("b"), F.col("one.least").alias("least_b"), F.col("one.n").alias("n_b"), F.col("one.rest").alias("rest_b")))
+        pairs = placed.join(ones, "member").where((F.col("least") != F.col("least_b")) & reaches)
+        pairs = cut(pairs.select(F.col("row").alias("a"), "b").select(low, high).distinct().join(asked, ["a", "b"], "left_anti"))
+        asked = asked.unionByName(pairs)
+        near, seen = confirmed(pairs, lean, docs, repeated)
         if seen["near"]:
             links = near if links is None else links.unionByName(near)
             found = cut(components(links))
-        if GAIN * seen["near"] <= seen["open"]:
+        if GAIN * seen["near"] <= seen["n"]:
             break
         turn += 1
-    placed = in_components(held, found)
-    apart = placed.groupBy("member").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low <> high")
-    placed = cut(placed.join(apart.select("member"), "member", "left_semi"))
-    other = placed.select("member", F.col("row").alias("b"), F.col("least").alias("least_b"), F.col("n").alias("n_b"))
-    pairs = placed.join(other, "member").where((F.col("row") < F.col("b")) & (F.col("least") != F.col("least_b")) & fits)
-    near, seen = confirmed(cut(pairs.select(F.col("row").alias("a"), "b").distinct()), held, docs)
-    if seen["near"]:
-        found = components(near if links is None else links.unionByName(near))
+    for last in (False, True):
+        placed = in_components(held, found)
+        apart = placed.groupBy("member").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low <> high")
+        held = cut(placed.join(apart.select("member"), "member", "left_semi"))
+        other = held.select("member", F.col("row").alias("b"), F.col("least").alias("least_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
+        pairs = held.join(other, "member").where((F.col("row") < F.col("b")) & (F.col("least") != F.col("least_b")) & reaches)
+        held = held.drop("least")
+        if not last:
+            # of two large components a few pairs first, those that can share most; one that is similar settles the others
+            most = (NUM + DEN) * F.least("rest", "rest_b") - NUM * (F.col("n") + F.col("n_b"))
+            two = [F.least("least", "least_b").alias("one"), F.greatest("least", "least_b").alias("two"), F.pmod(F.xxhash64("row", "b"), F.lit(TRIES)).alias("turn")]
+            pairs = pairs.groupBy(*two).agg(F.max(F.struct(most, "row", "b")).alias("best")).select("best.row", "best.b")
+        pairs = cut(pairs.select(F.col("row").alias("a"), "b").distinct().join(asked, ["a", "b"], "left_anti"))
+        asked = asked.unionByName(pairs)
+        near, seen = confirmed(pairs, lean, docs, repeated)
+        if seen["near"]:
+            links = near if links is None else links.unionByName(near)
+            found = cut(components(links))
     return found if found is not None else held.select(F.col("row").alias("node"), F.col("row").alias("least")).limit(0)
 
 
@@ -184,12 +210,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The first row of each group of near copies, with all its columns."""
     marked = cut(described(docs))
     nodes = cut(marked.groupBy("whole").agg(F.min("row").alias("row")).select("row"))
-    found = similar(docs, marked, nodes)
+    times = marked.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut(times.where("n > 1").select("row"))
+    found = similar(docs, marked, nodes, repeated)
     later = found.where("node <> least").select(F.col("node").alias("row"))
     stay = nodes.join(later, "row", "left_anti")
-    times = marked.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
     drop = cut(times.join(stay, "row", "left_anti").select("row"))
-    twice = cut(times.where("n > 1").join(drop, "row", "left_anti").select("row"))
+    twice = cut(repeated.join(drop, "row", "left_anti"))
     (key,) = fresh(docs, "row")
     keyed = docs.withColumn(key, row_key(docs))
     left = keyed.join(drop.withColumnRenamed("row", key), key, "left_anti")

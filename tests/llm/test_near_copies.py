@@ -59,3 +59,37 @@ def test_rows_that_share_an_id(spark, docs_of):
     rows = [(1, copy, "en", "s"), (2, copy, "en", "s"), (2, other, "en", "s"), (3, third, "en", "s"), (3, third, "en", "s"), (None, copy, "en", "s"), (None, "no id", "en", "s"), (None, "no  ID", "en", "s")]
     got = [(r.doc_id, " ".join(r.text.lower().split())) for r in N.keep_first(docs_of(rows)).collect()]
     assert sorted(got, key=str) == sorted([(1, copy), (2, other), (3, third), (None, "no id")], key=str)
+
+
+def test_common_shingles_of_a_table_much_larger_than_the_sample(spark, docs_of, monkeypatch):
+    """A passage in one text of sixteen is common however many texts there are to a text of the least sample."""
+    monkeypatch.setattr(N, "SAMPLE", 16)
+    passage = " ".join(f"p{i}" for i in range(9))
+    texts = [f"t{i} " + (passage if i % 16 == 0 else "alone") for i in range(1600)]
+    common = N.common_shingles(docs_of([(i, t, "en", "s") for i, t in enumerate(texts)])).tolist()
+    assert set(N.shingles(passage).tolist()) <= set(common)
+
+
+def test_texts_that_share_a_passage_are_not_all_confirmed(spark, docs_of, monkeypatch):
+    """No pair is confirmed twice, and texts that share a passage of half their words late in the order meet no other."""
+    asked, judge = [], N.confirmed
+
+    def watched(pairs, *args):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return judge(pairs, *args)
+
+    monkeypatch.setattr(N, "confirmed", watched)
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, base = some(40), some(200)
+    texts = [" ".join(some(40) + passage) for _ in range(60)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(4):
+            w[rng.randrange(200)] = some(1)[0]
+        texts.append(" ".join(w))
+    docs = docs_of([(i, t, "en", "s") for i, t in enumerate(texts)])
+    kept = {r.doc_id for r in N.keep_first(docs).collect()}
+    assert kept == slow_kept(dict(enumerate(texts)))
+    assert len(asked) == len(set(asked)) and not [p for p in asked if p[0] > p[1]]
+    assert not [p for p in asked if p[0].id < 60 and p[1].id < 60]
