@@ -4,7 +4,7 @@ A *search* is one set of start vertices; every request that starts there shares
 search table holds one row per (search, vertex) with the best seconds so far. One Spark job
 takes the rows improved last time through several rounds of "offer my cost plus the edge to
 every neighbour, keep the minimum per vertex", then merges them into the table. Only that
-moving shell is shuffled per round, and not even that where the graph can be broadcast; the
+moving shell is shuffled per round, once, and not even that where the graph can be broadcast; the
 table itself is shuffled once per job, and is written out after it, which bounds lineage and
 lets Spark choose the next joins from real sizes.
 """
@@ -22,6 +22,8 @@ from footbridge.session import count_true, cut, materialise
 # an offer must beat the known cost by more than this to count
 IMPROVES = 1e-9
 _KEY = ["search", "node", "lv"]
+# vertices of a graph that is small enough to be broadcast; rows of a larger one lie by node
+FEW = 65536
 _PATH = "array<struct<way_id:bigint,from_pos:int,to_pos:int,node:bigint,lv:double>>"
 
 
@@ -45,10 +47,19 @@ def _merge(rows: DataFrame, with_path: bool, also: str = "true", with_origin: bo
         f"also and (known_s is null or seconds < known_s - {IMPROVES}D) as fresh")
 
 
-def _round(shell: DataFrame, next_of: DataFrame, with_path: bool, with_origin: bool = False) -> DataFrame:
+def by_node(next_of: DataFrame, parts: int) -> DataFrame:
+    """``adjacency`` with all floors of a node in one row, parted by node."""
+    floors = F.collect_list(F.struct("lv", "next")).alias("floors")
+    return next_of.repartition(parts, "node").groupBy("node").agg(floors)
+
+
+def _round(
+    shell: DataFrame, next_of: DataFrame, with_path: bool, with_origin: bool = False, parts: int | None = None,
+) -> DataFrame:
     """Every row stays and, if improved and within its limit, offers to its neighbours.
 
-    Rows and offers come out of one pass, so a chain of rounds reads each round once.
+    Rows and offers come out of one pass, so a chain of rounds reads each round once. With ``parts`` rows lie by node, and
+    ``next_of`` comes from ``by_node``: the shuffle that brings a vertex's offers together also serves the next round's join.
     """
     same = ", origin" if with_origin else ""
     stay = "struct(node, lv, seconds, metres, seconds as known_s" + (", path" if with_path else "") + same + ")"
@@ -57,11 +68,16 @@ def _round(shell: DataFrame, next_of: DataFrame, with_path: bool, with_origin: b
         "transform(next, e -> struct(e.dst as node, e.dst_lv as lv, seconds + e.w as seconds, "
         "metres + e.m as metres, cast(null as double) as known_s" + (hop if with_path else "") + same + "))"
     )
-    rows = shell.join(next_of, ["node", "lv"], "left").selectExpr(
+    if parts is None:
+        met = shell.join(next_of, ["node", "lv"], "left")
+    else:
+        here = F.expr("get(filter(floors, f -> f.lv = lv), 0).next").alias("next")
+        met = shell.join(next_of, "node", "left").select(*shell.columns, here)
+    rows = met.selectExpr(
         "search", "limit_s",
         f"explode(concat(array({stay}), if(fresh and seconds <= limit_s and next is not null, {offer}, array()))) as r",
     ).selectExpr("search", "limit_s", "r.*")
-    return _merge(rows, with_path, with_origin=with_origin)
+    return _merge(rows if parts is None else rows.repartition(parts, "node"), with_path, with_origin=with_origin)
 
 
 def lanes(spark: SparkSession) -> int:
@@ -71,7 +87,7 @@ def lanes(spark: SparkSession) -> int:
 
 def spread(
     next_of: DataFrame, starts: DataFrame, with_path: bool = False, goals: DataFrame | None = None,
-    rounds_per_job: int = 8, max_rounds: int | None = None, with_origin: bool = False,
+    rounds_per_job: int = 8, max_rounds: int | None = None, with_origin: bool = False, few: int = FEW,
 ) -> DataFrame:
     """Cheapest seconds from every search's starts to every vertex up to its limit.
 
@@ -80,6 +96,7 @@ def spread(
     dearest goal, as weights are never negative. A vertex first offered beyond the limit is
     kept as the rim of the search but not walked on from; it is what tells a walk cut short by
     the limit from one that does not exist. ``with_origin`` adds the start vertex as ``origin``, of equally near ones the least.
+    In a graph of more than ``few`` vertices rows lie by node between rounds, else by search.
     """
     columns = [*_KEY, "seconds", "metres", "limit_s", *(["path"] if with_path else []), *(["origin"] if with_origin else [])]
     table = starts.groupBy("search", "node").agg(
@@ -92,10 +109,12 @@ def spread(
     # rows of one search stay together, so where the graph is small enough to be broadcast the rounds of
     # a job need no shuffle between them; a given number keeps few starts from being put into one task
     parts = lanes(starts.sparkSession)
+    large = next_of.limit(few + 1).count() > few
+    around = by_node(next_of, parts) if large else next_of
     while True:
-        shell = shell.repartition(parts, "search")
+        shell = shell.repartition(parts, "node" if large else "search")
         for _ in range(rounds_per_job):
-            shell = _round(shell, next_of, with_path, with_origin)
+            shell = _round(shell, around, with_path, with_origin, parts if large else None)
         done += rounds_per_job
         if table is None:
             table = shell

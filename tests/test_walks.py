@@ -136,3 +136,40 @@ def test_few_starts_use_several_tasks(spark):
     assert len(state.inputFiles()) > 1
     got = {(r.search, r.node): r.seconds for r in state.collect()}
     assert got == {(s, n): t for s in range(64) for n, t in ((1, 0.0), (2, 1.0), (3, 3.0))}
+
+
+def test_rows_by_node_or_by_search_give_the_same_table(spark):
+    P = graph.PLAIN
+    rng = random.Random(3)
+    rows = [(rng.randrange(20), rng.choice([P, 0.0, 1.0]), rng.randrange(20), rng.choice([P, 0.0, 1.0]), float(rng.randint(1, 9)), 1.0, 1, 0, 1, False) for _ in range(300)]
+    next_of = cut(walks.adjacency(spark.createDataFrame(rows, EDGE)))
+    starts = spark.createDataFrame([("s", 0, 0.0, 30.0), ("s", 4, 1.0, 30.0), ("t", 7, 0.0, 12.0)], "search string, node bigint, start_s double, limit_s double")
+
+    def got(few):
+        state = walks.spread(next_of, starts, rounds_per_job=3, with_origin=True, few=few)
+        return sorted(tuple(r) for r in state.select("search", "node", "lv", "seconds", "origin").collect())
+
+    assert len(got(10 ** 6)) > 20 and got(0) == got(10 ** 6)
+
+
+def test_a_round_over_a_large_graph_shuffles_its_rows_once(spark):
+    limits = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        next_of = cut(walks.adjacency(edges_of(spark, [(i, i + 1, 1) for i in range(50)])))
+        shell = spark.range(3).selectExpr("'s' as search", "id as node", f"cast({graph.PLAIN} as double) as lv", "0D as seconds", "0D as metres", "9D as limit_s", "true as fresh")
+
+        def chain(n):
+            rows = shell.repartition(4, "node")
+            around = walks.by_node(next_of, 4)
+            for _ in range(n):
+                rows = walks._round(rows, around, False, parts=4)
+            return rows._jdf.queryExecution().executedPlan().toString()
+
+        # what a round adds besides the graph, which all rounds share
+        added = [chain(n).count("Exchange hashpartitioning(node") - chain(n).count("ReusedExchange") for n in (1, 3)]
+        assert chain(3).count("hashpartitioning(search") == 0 and added[1] - added[0] <= 2
+    finally:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
