@@ -90,8 +90,9 @@ def resolve_names(terms: DataFrame, keys: DataFrame) -> DataFrame:
     """The one station a name means: an exact key (main, own name, earliest), else the best hit."""
     q = terms.select("term", fold_name(F.trim("term")).alias("key")).distinct()
     order = F.struct((~F.col("is_main")).alias("minor"), (F.col("own_key") != F.col("key")).alias("by_alias"), "idx")
-    exact = q.join(keys, "key").groupBy("term").agg(F.min_by("idx", order).alias("idx")).withColumn("how", F.lit("exact"))
-    misses = terms.select("term").distinct().join(exact, "term", "left_anti")
+    # both are read several times below
+    exact = cut(q.join(keys, "key").groupBy("term").agg(F.min_by("idx", order).alias("idx")).withColumn("how", F.lit("exact")))
+    misses = cut(terms.select("term").distinct().join(exact, "term", "left_anti"))
     found = search_stations(misses, keys, 1).select("term", "idx").withColumn("how", F.lit("search"))
     return exact.unionByName(found)
 
