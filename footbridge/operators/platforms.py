@@ -107,10 +107,12 @@ def resolve_by_stop(
     misses: DataFrame, boxes: DataFrame, stops: DataFrame, ways: DataFrame, nodes: DataFrame,
 ) -> DataFrame:
     """Refs found only on a stop node: the one nearest the box centre, snapped to a walkable way."""
+    asked = misses.select("relation_id", "ref").distinct()
+    wanted = boxes.join(asked.select("relation_id").distinct(), "relation_id", "left_semi")
+    # stops meet the boxes that hold them first: a ref such as 6 is used at most stations
     inside = (
-        misses.select("relation_id", "ref").distinct().join(boxes, "relation_id")
-        .join(stops.select("ref", F.col("node_id").alias("stop_id"), "lat", "lon"), "ref")
-        .where("lat between lat_lo and lat_hi and lon between lon_lo and lon_hi")
+        in_boxes(stops.select("ref", F.col("node_id").alias("stop_id"), "lat", "lon"), wanted)
+        .join(asked, ["relation_id", "ref"])
         .withColumn("centre_m", haversine(
             (F.col("lat_lo") + F.col("lat_hi")) / 2, (F.col("lon_lo") + F.col("lon_hi")) / 2, "lat", "lon"))
     )

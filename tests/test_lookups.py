@@ -10,6 +10,19 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_stops_meet_the_boxes_that_hold_them_and_no_others(spark):
+    boxes = spark.createDataFrame([(i, 47.0 + i, 47.01 + i, 8.0, 8.01) for i in range(5)], "relation_id long, lat_lo double, lat_hi double, lon_lo double, lon_hi double")
+    stops = spark.createDataFrame([("6", 100 + i, 47.005 + i, 8.005) for i in range(5)] + [("6", 90, 47.001, 8.001), ("7", 91, 47.005, 8.005), (None, 92, 47.005, 8.005), ("6", 93, None, None)], "ref string, node_id long, lat double, lon double")
+    nodes = spark.createDataFrame([(200 + i, 47.00501 + i, 8.005) for i in range(5)], "id long, lat double, lon double").withColumn("tags", F.expr("cast(map() as map<string,string>)"))
+    ways = spark.createDataFrame([(300 + i, [200 + i]) for i in range(5)], "id long, nodes array<long>").withColumn("tags", F.create_map(F.lit("highway"), F.lit("footway")))
+    misses = spark.createDataFrame([(i, r) for i in range(4) for r in ("6", "7")] + [(0, "6"), (0, None)], "relation_id long, ref string")
+    out = platforms.resolve_by_stop(misses, boxes, stops, ways, nodes)
+    got = {(r.relation_id, r.ref, r.anchor, r.way_id) for r in out.collect()}
+    assert got == {(i, "6", 200 + i, 300 + i) for i in range(4)} | {(0, "7", 200, 300)}
+    # a join on the ref alone meets each stop with every box
+    assert "Join Inner, (ref" not in plan_of(out)
+
+
 def test_names_are_looked_up_once(spark):
     keys = spark.createDataFrame([(1, "bern", "bern", True), (2, "berneck", "berneck", False)], "idx long, key string, own_key string, is_main boolean")
     terms = spark.createDataFrame([("Bern",), ("berne",), ("eck",), ("none",), ("Bern",)], "term string")
