@@ -214,7 +214,9 @@ def station_candidates(
     ``queries`` has ``query_id, lat, lon`` (one row per point); distance is the minimum over them.
     """
     index = stations.select("relation_id", "name", "lat", "lon")
-    pairs = radius_join(queries.select("query_id", "lat", "lon"), index, radius_m)
+    # the stations are the side that is repeated for neighbour cells; one shuffle by query serves all that follows
+    pairs = radius_join(index, queries.select("query_id", "lat", "lon"), radius_m).select(
+        "query_id", "relation_id", "name", "dist_m").repartition("query_id")
     per_station = pairs.groupBy("query_id", "relation_id").agg(
         F.min("dist_m").alias("dist_m"), F.first("name", ignorenulls=True).alias("name")
     )

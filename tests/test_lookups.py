@@ -10,6 +10,18 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_station_candidates_repeat_the_stations_only(spark):
+    queries = spark.createDataFrame([(q, 47.0 + q * 0.001 + k * 0.002, 8.0) for q in range(12) for k in (0, 1)] + [(99, None, 8.0), (98, 47.0, -179.9999)], "query_id long, lat double, lon double")
+    stations = spark.createDataFrame([(s, f"H{s}", 47.0 + s * 0.0015, 8.0) for s in range(9)] + [(50, "W", 47.0, 179.9999), (51, "N", None, None)], "relation_id long, name string, lat double, lon double")
+    out = spatial.station_candidates(queries, stations, 600.0, 3)
+    near = queries.crossJoin(stations.withColumnsRenamed({"lat": "b", "lon": "c"})).withColumn("d", haversine("lat", "lon", "b", "c")).where("d <= 600")
+    best = {}
+    for r in near.groupBy("query_id", "relation_id").agg(F.min("d").alias("d")).collect():
+        best.setdefault(r.query_id, []).append((round(r.d, 3), r.relation_id))
+    want = {(q, rel, k + 1) for q, rows in best.items() for k, (_, rel) in enumerate(sorted(rows)[:3])}
+    assert {(r.query_id, r.relation_id, r["rank"]) for r in out.collect()} == want and (98, 50, 1) in want
+
+
 def test_stops_meet_the_boxes_that_hold_them_and_no_others(spark):
     boxes = spark.createDataFrame([(i, 47.0 + i, 47.01 + i, 8.0, 8.01) for i in range(5)], "relation_id long, lat_lo double, lat_hi double, lon_lo double, lon_hi double")
     stops = spark.createDataFrame([("6", 100 + i, 47.005 + i, 8.005) for i in range(5)] + [("6", 90, 47.001, 8.001), ("7", 91, 47.005, 8.005), (None, 92, 47.005, 8.005), ("6", 93, None, None)], "ref string, node_id long, lat double, lon double")
