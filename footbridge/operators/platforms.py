@@ -307,9 +307,10 @@ def harvest_labels(stops: DataFrame, targets: DataFrame, radius_m: float = M.HAR
     Copies of an observation are counted first, and medians are found by selection, so no task holds a busy track.
     """
     seen = stops.where("track is not null").groupBy("track", "lat", "lon").agg(F.count(F.lit(1)).alias("w"))
-    near = radius_join(seen, targets.select("station", "lat", "lon"), radius_m)
+    # the stations are the side that is repeated for neighbour cells
+    near = radius_join(targets.select("station", "lat", "lon"), seen, radius_m)
     axes = near.select("station", "track", "w", F.explode(F.create_map(
-        F.lit("lat"), F.col("lat"), F.lit("lon"), F.col("lon"))).alias("axis", "v"))
+        F.lit("lat"), F.col("r_lat"), F.lit("lon"), F.col("r_lon"))).alias("axis", "v"))
     middle = weighted_medians(axes, ["station", "track", "axis"], MEDIAN_STEP_DEG)
     return middle.groupBy("station", "track").agg(
         *[F.round(F.max(F.when(F.col("axis") == a, F.col("median"))), 6).alias(a) for a in ("lat", "lon")], F.max("n").alias("n"))
