@@ -12,6 +12,7 @@ from footbridge.plans.graph_queries import search_view, stations
 from footbridge.plans.registry import SHARED_VIEWS, hav, query
 from footbridge.plans.stations import assess_changes
 from footbridge.plans.world import World
+from footbridge.session import cut
 
 # ---- shared check views -----------------------------------------------------------
 SHARED_VIEWS["o_leg"] = """
@@ -139,6 +140,7 @@ def recovered_labels(w: World):
     guarded = journeys.guard(journeys.distinct_changes(changes(w))[1]).where("ruled_out is null")
     ends = guarded.selectExpr("arr_ref as feed_ref", "round(arr_lat,6) as lat", "round(arr_lon,6) as lon").unionByName(
         guarded.selectExpr("dep_ref as feed_ref", "round(dep_lat,6) as lat", "round(dep_lon,6) as lon")).where("feed_ref in ('98', '99')").distinct()
+    ends = cut(ends)  # read by both lookups and the join of them
     maps = platforms.nearest_label(ends, way_ops.numeric_track_nodes(w.nodes)).selectExpr("feed_ref", "lat", "lon", "label as map_label")
     quays = platforms.quay_at(ends, w.view("fx_quays")).selectExpr("feed_ref", "lat", "lon", "public_label as operator_label")
     keys = ["feed_ref", "lat", "lon"]
