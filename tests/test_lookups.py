@@ -14,6 +14,8 @@ def test_station_candidates_repeat_the_stations_only(spark):
     queries = spark.createDataFrame([(q, 47.0 + q * 0.001 + k * 0.002, 8.0) for q in range(12) for k in (0, 1)] + [(99, None, 8.0), (98, 47.0, -179.9999)], "query_id long, lat double, lon double")
     stations = spark.createDataFrame([(s, f"H{s}", 47.0 + s * 0.0015, 8.0) for s in range(9)] + [(50, "W", 47.0, 179.9999), (51, "N", None, None)], "relation_id long, name string, lat double, lon double")
     out = spatial.station_candidates(queries, stations, 600.0, 3)
+    # what is repeated for neighbour cells is the side of the stations
+    assert plan_of(out).split("Generate explode")[1].split("LogicalRDD [")[1].startswith("relation_id")
     near = queries.crossJoin(stations.withColumnsRenamed({"lat": "b", "lon": "c"})).withColumn("d", haversine("lat", "lon", "b", "c")).where("d <= 600")
     best = {}
     for r in near.groupBy("query_id", "relation_id").agg(F.min("d").alias("d")).collect():
