@@ -121,30 +121,37 @@ def seat_walks(points: DataFrame, goals: DataFrame, edges: DataFrame, cutoff_s:
     from ``points.goal_key``; without ``cutoff_s`` no walk is too long. Metres include the stretch along the platform.
 
     Without ``cutoff_s`` the search runs once per goal, against the edges, and all seats that ask for a goal share it: a
-    station has a few goals and many spots. A walk not found is then certainly disconnected, so ``reach_s`` is null.
+    station has a few goals and many seats. Seats meet the walks of their segment's two vertices in one row, and each adds its own
+    stretch. A walk not found is then certainly disconnected, so ``reach_s`` is null. A seat and goal have one row.
     """
     starts = points.selectExpr("seat_id as start_key", "node_a as node_id", "to_a_s as start_s").unionByName(
         points.selectExpr("seat_id as start_key", "node_b as node_id", "to_b_s as start_s"))
     if cutoff_s is not None:
         asked = points.select(F.col("seat_id").alias("request_id"), F.col("seat_id").alias("start_key"), "goal_key", F.lit(cutoff_s).alias("cutoff_s"))
         return walks.shortest_walks(asked, starts, goals, edges).withColumnRenamed("request_id", "seat_id")
-    asked = points.select("seat_id", "goal_key")
-    doors = cut(starts.join(asked.distinct().withColumnRenamed("seat_id", "start_key"), "start_key"))
     back = edges.selectExpr(
         "dst as src", "dst_lv as src_lv", "src as dst", "src_lv as dst_lv", "seconds", "metres", "way_id", "to_pos as from_pos", "from_pos as to_pos")
-    targets = cut(doors.select(F.col("goal_key").alias("search"), F.col("node_id").alias("node")).distinct())
-    seeds = goals.join(asked.select("goal_key").distinct(), "goal_key", "left_semi").select(
+    segments = cut(points.select("goal_key", "node_a", "node_b").distinct())
+    targets = cut(segments.selectExpr("goal_key as search", "explode(array(node_a, node_b)) as node").distinct())
+    seeds = goals.join(segments.select("goal_key").distinct(), "goal_key", "left_semi").select(
         F.col("goal_key").alias("search"), F.col("node_id").alias("node"), F.lit(0.0).alias("start_s"), F.lit(float("inf")).alias("limit_s"))
     state = walks.spread(cut(walks.adjacency(back)), seeds, goals=targets, with_origin=True)
-    reached = state.where(F.col("lv") == PLAIN).selectExpr(
-        "search as goal_key", "node as node_id", "seconds as onward_s", "metres as onward_m", "origin")
-    total, order = F.col("start_s") + F.col("onward_s"), F.struct(F.col("start_s") + F.col("onward_s"), "origin")
-    best = doors.join(reached, ["goal_key", "node_id"]).where("start_s is not null").groupBy("start_key", "goal_key").agg(
-        F.min(total).alias("seconds"), F.min_by(F.col("start_s") * M.WALK_SPEED + F.col("onward_m"), order).alias("metres"),
-        F.min_by("origin", order).alias("reached_node")).withColumnRenamed("start_key", "seat_id")
-    found = F.col("seconds").isNotNull()
-    return asked.join(best, ["seat_id", "goal_key"], "left").select(
-        "seat_id", found.alias("found"), "seconds", "metres", "reached_node",
+    reached = cut(state.where(F.col("lv") == PLAIN).join(targets, ["search", "node"], "left_semi").selectExpr(
+        "search as goal_key", "node", "struct(seconds, metres, origin) as onward"))
+    for end in ("a", "b"):
+        segments = segments.join(reached.withColumnsRenamed({"node": f"node_{end}", "onward": f"on_{end}"}), ["goal_key", f"node_{end}"], "left")
+
+    def door(end: str) -> str:
+        return (f"struct(to_{end}_s + on_{end}.seconds as seconds, on_{end}.origin as reached_node, "
+                f"to_{end}_s * {M.WALK_SPEED}D + on_{end}.metres as metres)")
+
+    met = points.join(segments.withColumnsRenamed({"node_a": "sa", "node_b": "sb", "goal_key": "sg"}), F.expr(
+        "goal_key <=> sg and node_a <=> sa and node_b <=> sb"), "left")
+    best = met.select("seat_id", "goal_key", F.expr(f"array_min(filter(array({door('a')}, {door('b')}), d -> d.seconds is not null)) as d")).groupBy(
+        "seat_id", "goal_key").agg(F.min("d").alias("d"))
+    found = F.col("d").isNotNull()
+    return best.select(
+        "seat_id", found.alias("found"), "d.seconds", "d.metres", "d.reached_node",
         F.when(~found, F.lit(M.DISCONNECTED)).alias("reason"), F.lit(None).cast("double").alias("reach_s"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from footbridge import model as M
 from footbridge.operators import boarding, graph, walks
+from footbridge.plans import boarding_queries
 
 EDGE = "src bigint, src_lv double, dst bigint, dst_lv double, seconds double, metres double, way_id bigint, from_pos int, to_pos int, lift boolean"
 
@@ -54,3 +55,22 @@ def test_equally_near_starts_give_the_least(spark):
     starts = spark.createDataFrame([("s", a, 0.0, 900.0) for a in (4, 2, 3)], "search string, node long, start_s double, limit_s double")
     state = walks.spread(walks.adjacency(edges), starts, with_origin=True)
     assert state.where(F.col("node") == 9).first().origin == 2
+
+
+def test_every_seat_of_a_spot_has_its_walk(spark, monkeypatch):
+    P = graph.PLAIN
+    edges = spark.createDataFrame([(a, P, b, P, s, s * 1.4, 1, 0, 1, False) for a, b, s in ((1, 9, 30.0), (2, 9, 25.0))], EDGE)
+    seats = [(10 + i, 0.0 + i, 10.0 - i) for i in range(10)]
+    monkeypatch.setattr(boarding_queries, "alighting", lambda w: spark.createDataFrame(
+        [(s, 1000, 1, 2, a, b) for s, a, b in seats] + [(30, 1000, 5, 6, 1.0, 2.0)],
+        "seat_id long, platform long, node_a long, node_b long, to_a_s double, to_b_s double"))
+    monkeypatch.setattr(boarding_queries, "stations", lambda w: None)
+    monkeypatch.setattr(boarding_queries, "graph_edges", lambda *a: edges)
+
+    class Goals:
+        def view(self, name):
+            return spark.createDataFrame([(1005, 9), (2005, 1)], "way_id long, node_id long")
+
+    got = {r.seat_id: (r.n_seats, r.found, r.seconds, r.metres) for r in boarding_queries.seat_walks(Goals()).collect()}
+    want = {s: (10, True, min(a + 30, b + 25), round(min(a + 30, b + 25) * 1.4, 1)) for s, a, b in seats}
+    assert got == want | {30: (1, False, None, None)}
