@@ -178,6 +178,20 @@ def whole_vector(x: Column, scale: float = 256.0) -> Column:
     return F.when(x.isNotNull() & finite, F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")))
 
 
+def sampled(kept: DataFrame, n: int) -> list[list[int]]:
+    """The vectors of the ``SAMPLE`` rows of (vec_id, vec) with the least hashes, in that order, of ``n`` rows in all.
+
+    The limit is met before rows go to the driver: collected in order, every partition would send as many rows."""
+    low = F.xxhash64("vec").alias("low")
+    few = kept.select(low, "vec_id", "vec")
+    most = -(2**63) + int(2**64 * 4 * SAMPLE / n) if n > 4 * SAMPLE else None
+    for part in ([few.where(F.col("low") <= most)] if most is not None else []) + [few]:
+        chosen, seen = materialise(part.orderBy("low", "vec_id").limit(SAMPLE), n=F.count(F.lit(1)))
+        if seen["n"] >= min(SAMPLE, n):
+            break
+    return [r.vec for r in sorted(chosen.collect(), key=lambda r: (r.low, r.vec_id))]
+
+
 def choose_pivots(sample: list[list[int]], n: int) -> np.ndarray:
     """Farthest-first: each pivot is the sampled vector farthest from those before it."""
     at = padded(sample)
@@ -231,8 +245,7 @@ def top_k(points: DataFrame, asking: Column, k: int) -> DataFrame:
     kept = materialise(kept, n=F.count(F.lit(1)))
     # each query vector by the least id that asks with it
     asked = materialise(points.where("asks").groupBy("vec").agg(F.min("vec_id").alias("vec_id")))[0]
-    sample = [r.vec for r in kept[0].orderBy(F.xxhash64("vec"), "vec_id").limit(SAMPLE).collect()]
-    pivots = choose_pivots(sample, min(PIVOTS, 1 + 2 * (kept[1]["n"] or 0) // SHARD))
+    pivots = choose_pivots(sampled(kept[0], kept[1]["n"] or 0), min(PIVOTS, 1 + 2 * (kept[1]["n"] or 0) // SHARD))
     index = sharded(kept[0], pivots, SHARD)
     # blocks lie around the first, most distant pivots: few large ones, as each meets many shards
     blocks = sharded(asked, pivots[: 1 + 2 * asked.count() // BLOCK], BLOCK)
@@ -268,9 +281,10 @@ def top_k(points: DataFrame, asking: Column, k: int) -> DataFrame:
                 yield pd.DataFrame({"key": key[real], "vec_id": ids[real], "score": out[real]})
 
     shard = index.select("pivot", F.col("salt").alias("shard_salt"), F.col("tree").alias("shard"))
-    started = blocks.join(shard.where("shard_salt = 0"), "pivot").select("pivot", "salt", "tree", "shard")
+    # trees repeat, so files of them are far smaller than their rows, and a table that seems small enough would be broadcast by the driver
+    started = blocks.join(shard.where("shard_salt = 0").hint("merge"), "pivot").select("pivot", "salt", "tree", "shard")
     visits = materialise(started.repartition(F.col("pivot"), F.col("salt")).mapInPandas(first, "block int, block_salt int, queries binary, state binary, pivot int"))[0]
-    pairs = visits.join(shard, "pivot").withColumn("own", (F.col("pivot") == F.col("block")) & (F.col("shard_salt") == 0))
+    pairs = visits.join(shard.hint("merge"), "pivot").withColumn("own", (F.col("pivot") == F.col("block")) & (F.col("shard_salt") == 0))
     pairs = pairs.repartition("block", "block_salt", "pivot", "shard_salt").select("own", "queries", "state", "shard")
     found = pairs.mapInPandas(rest, FOUND)
     order = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "vec_id"))

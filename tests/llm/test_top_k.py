@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footbridge.llm import cover_tree as C
+from footbridge.session import materialise
 
 
 def brute(rows, asks, k):
@@ -63,3 +64,28 @@ def test_bounds_hold_under_every_node():
         c = tree.centre[tree.first[node] : tree.last[node]].astype(float)
         apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(axis=2))[~np.eye(len(c), dtype=bool)]
         assert (apart > tree.radius[node] / C.BASE - 1e-9).all()
+
+
+def test_partitions_do_not_send_a_sample_each(spark, monkeypatch):
+    monkeypatch.setattr(C, "SAMPLE", 400)
+    n = 16000
+    vec = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(1000)))
+    points = materialise(spark.range(n).repartition(16).select(F.col("id").alias("vec_id"), vec.alias("vec")))[0]
+    want = [r.vec for r in points.orderBy(F.xxhash64("vec"), "vec_id").limit(400).collect()]
+    assert points.rdd.getNumPartitions() >= 8
+    plans = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "64m"}  # a partition a file
+    before = {key: spark.conf.get(key) for key in plans}
+    for key, value in plans.items():
+        spark.conf.set(key, value)
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "1m")  # the sample itself takes some 0.2 MB, one of each partition some 1.7
+    try:
+        got = C.sampled(points, n)
+        top = C.top_k(points, F.col("vec_id") < 3, 2)
+        assert sorted((r.query_id, r["rank"]) for r in top.collect()) == [(q, k) for q in range(3) for k in (1, 2)]
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == want
+    assert C.sampled(points.limit(7), 7) == [r.vec for r in points.limit(7).orderBy(F.xxhash64("vec"), "vec_id").collect()]
